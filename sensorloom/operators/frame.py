@@ -74,6 +74,22 @@ def global_row_number(df: DataFrame, keys: Sequence[Column | str], name: str) ->
     return placed.withColumn(name, number.cast("long")).drop("_place")
 
 
+def row_number_within(
+    df: DataFrame, by: Sequence[str], keys: Sequence[Column | str], name: str
+) -> DataFrame:
+    """1-based row number inside each group, and the group's row count in `{name}_of`.
+
+    Numbers all rows over (group, keys) and subtracts the group's first number, so a group that
+    holds most rows is still spread over many tasks.
+    """
+    numbered = global_row_number(df, [*by, *keys], "_all")
+    firsts = numbered.groupBy(*by).agg(
+        (F.min("_all") - 1).alias("_before"), F.count(F.lit(1)).alias(f"{name}_of")
+    )
+    joined = numbered.join(firsts, list(by))
+    return joined.withColumn(name, F.col("_all") - F.col("_before")).drop("_all", "_before")
+
+
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     """Rows in the biggest group (one number to the driver)."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
@@ -123,19 +139,31 @@ def exact_quantiles(
     limit: int = GROUP_ROW_LIMIT,
     accuracy: int = 10_000,
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles per group: one row, one column per probability.
+    """Exact, linearly interpolated quantiles per group: one row, one column per probability."""
+    q = exact_quantile_array(df, by, value, list(probs.values()), "_q", limit, accuracy)
+    return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
+
+
+def exact_quantile_array(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    probs: Sequence[float],
+    name: str,
+    limit: int = GROUP_ROW_LIMIT,
+    accuracy: int = 10_000,
+) -> DataFrame:
+    """Exact, linearly interpolated quantiles per group as one array column, in the order given.
 
     Small groups use `percentile`. Where a group exceeds `limit` rows a sketch first brackets
     each quantile, then only the values inside the bracket are counted and ordered; the values
     below it are merely counted. Nulls are ignored; a group without values gives null.
     """
     by = list(by)
-    names = list(probs)
-    p = [float(probs[n]) for n in names]
+    p = [float(x) for x in probs]
     if largest_group(df, by) <= limit:
-        q = F.percentile(value, F.array(*[F.lit(x) for x in p])).alias("_q")
-        out = df.groupBy(*by).agg(q) if by else df.agg(q)
-        return out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+        q = F.percentile(value, F.array(*[F.lit(x) for x in p])).alias(name)
+        return df.groupBy(*by).agg(q) if by else df.agg(q)
     pad = 4.0 / accuracy
     edges = [max(0.0, x - pad) for x in p] + [min(1.0, x + pad) for x in p]
     sketch = (
@@ -149,27 +177,24 @@ def exact_quantiles(
         .where("_n > 0")
     )
     k = len(p)
-    brackets = sketch.select(
-        *by,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(n).alias("_name"),
-                        (F.lit(x) * (F.col("_n") - 1)).alias("_rank"),
-                        (F.col("_min") if x - pad <= 0 else F.col("_e")[i]).alias("_lo"),
-                        (F.col("_max") if x + pad >= 1 else F.col("_e")[k + i]).alias("_hi"),
-                    )
-                    for i, (n, x) in enumerate(zip(names, p))
-                ]
+    few = F.col("_n") < 2 / pad  # one place matters there: take the whole range
+    bracket = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("_i"),
+                (F.lit(x) * (F.col("_n") - 1)).alias("_rank"),
+                (F.col("_min") if x - pad <= 0 else F.when(few, F.col("_min")).otherwise(F.col("_e")[i])).alias("_lo"),
+                (F.col("_max") if x + pad >= 1 else F.when(few, F.col("_max")).otherwise(F.col("_e")[k + i])).alias("_hi"),
             )
-        ),
+            for i, x in enumerate(p)
+        ]
     )
-    brackets = spool(brackets)
-    keys = [*by, "_name"]
-    brackets_rows = brackets.count()
+    brackets = spool(sketch.select(*by, F.inline(bracket)))
+    n_brackets = brackets.count()
+    keys = [*by, "_i"]
     rows = df.select(*by, F.col(value).alias("_v")).where("_v is not null")
-    hit = rows.join(small(brackets, brackets_rows), by) if by else rows.crossJoin(F.broadcast(brackets))
+    # without groups the brackets are one row per probability
+    hit = rows.join(small(brackets, n_brackets), by) if by else rows.crossJoin(F.broadcast(brackets))
     below = hit.groupBy(*keys).agg(F.count(F.when(F.col("_v") < F.col("_lo"), 1)).alias("_below"))
     inside = (
         hit.where("_v between _lo and _hi")
@@ -188,14 +213,14 @@ def exact_quantiles(
     picked = placed.groupBy(*keys).agg(
         at(low).alias("_a"), at(high).alias("_b"), F.max(F.col("_rank") - low).alias("_f")
     )
-    checked = picked.select(
-        *keys,
-        F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-        .otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
-        .alias("_q"),
+    missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
+    value_at = F.when(F.col("_a").isNull() | F.col("_b").isNull(), missed).otherwise(
+        F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
     )
-    wide = checked.groupBy(*by).pivot("_name", names).agg(F.first("_q"))
-    return df.select(*by).distinct().join(wide, by, "left") if by else wide
+    # one entry per probability
+    listed = F.array_sort(F.collect_list(F.struct("_i", value_at.alias("_q"))))
+    out = picked.groupBy(*by).agg(F.transform(listed, lambda s: s["_q"]).alias(name))
+    return df.select(*by).distinct().join(out, by, "left") if by else out
 
 
 def average_ranks(

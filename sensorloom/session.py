@@ -25,6 +25,7 @@ def local_session(cpus: str | int = "*", app: str = "sensorloom") -> SparkSessio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
