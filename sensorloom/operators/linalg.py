@@ -65,12 +65,14 @@ def vector(cols: Sequence[str]) -> Column:
 def dense(fn: Callable[[np.ndarray], np.ndarray], schema: str) -> Callable[[Column], Column]:
     """Arrow-batched matrix function of a vector column.
 
-    `fn` maps a block (rows x p) to one column or, for a struct schema, to a dict of columns.
+    `fn` maps a block (rows x p) to one column, to a matrix (for `array<double>`), or for a struct
+    schema to a dict of columns.
     """
 
     @pandas_udf(schema)
     def apply(x: pd.Series) -> pd.Series:
-        return pd.Series(fn(np.stack(x.to_numpy())))
+        out = fn(np.stack(x.to_numpy()))
+        return pd.Series(list(out) if out.ndim == 2 else out)
 
     @pandas_udf(schema)
     def apply_struct(x: pd.Series) -> pd.DataFrame:

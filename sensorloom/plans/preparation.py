@@ -53,10 +53,12 @@ def _(spark, sf):
     return prep.rank_transform(fx.wafers(spark, sf), fx.SENSORS).select("raw_row_id", "sensor", "rank")
 
 
+TRAIN_FILLED = "tf as materialized (select f.raw_row_id, f.sensor, f.value, f.target from filled f join era e using (raw_row_id) where e.split = 'train')"
+MED2 = "med2 as (select sensor, median(value) as center, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from tf group by sensor)"
 RANKED = (
-    "tf as (select f.raw_row_id, f.sensor, f.value, f.target from filled f join era e using (raw_row_id) where e.split = 'train')",
-    "rk as (select raw_row_id, sensor, target, rank() over (partition by sensor order by value) + (count(*) over (partition by sensor, value) - 1) / cast(2 as double) as r from tf)",
-    "rho as (select a.sensor as a, b.sensor as b, corr(a.r, b.r) as r from rk a join rk b on a.raw_row_id = b.raw_row_id and a.sensor < b.sensor group by 1, 2)",
+    TRAIN_FILLED,
+    "rk as materialized (select raw_row_id, sensor, target, rank() over (partition by sensor order by value) + (count(*) over (partition by sensor, value) - 1) / cast(2 as double) as r from tf)",
+    "rho as materialized (select a.sensor as a, b.sensor as b, corr(a.r, b.r) as r from rk a join rk b on a.raw_row_id = b.raw_row_id and a.sensor < b.sensor group by 1, 2)",
 )
 
 
@@ -69,7 +71,7 @@ def _(spark, sf):
     return prep.spearman_edges(_train(spark, sf), NAMES, 0.12).withColumn("r", r6("r"))
 
 
-PRIORITY = "prio as (select sensor as feature, row_number() over (order by round(abs(coalesce(corr(value, target), 0)), 12) desc, sensor) as place from tf group by sensor)"
+PRIORITY = "prio as materialized (select sensor as feature, row_number() over (order by round(abs(coalesce(corr(value, target), 0)), 12) desc, sensor) as place from tf group by sensor)"
 
 
 @query("target_priority", with_(WAFER, CELLS, ERA, TRAIN_CELLS, MEDIANS, FILLED, *RANKED, PRIORITY, final="select feature, place::int as place from prio"))
@@ -104,22 +106,22 @@ def _(spark, sf):
     return prep.correlation_example(_train(spark, sf), _pruned(spark, sf)).withColumn("r", r6("r"))
 
 
-@query("robust_scale", with_(WAFER, CELLS, ERA, TRAIN_CELLS, MEDIANS, FILLED, final=f"select raw_row_id, sensor, {sql.r6('(value - median) / case when q3 = q1 then 1 else q3 - q1 end')} as value from filled join med using (sensor)"))
+@query("robust_scale", with_(WAFER, CELLS, ERA, TRAIN_CELLS, MEDIANS, FILLED, TRAIN_FILLED, MED2, final=f"select raw_row_id, sensor, {sql.r6('(value - center) / case when q3 = q1 then 1 else q3 - q1 end')} as value from filled join med2 using (sensor)"))
 def _(spark, sf):
     from ..operators.frame import melt
 
-    s = _split(spark, sf)
-    fitted = prep.fit_robust(s.where("split = 'train'"), NAMES)
-    return melt(prep.robust_scale(_imputed(spark, sf), fitted), ["raw_row_id"], NAMES).withColumn("value", r6("value"))
+    x = _imputed(spark, sf)
+    fitted = prep.fit_robust(x.where("split = 'train'"), NAMES)
+    return melt(prep.robust_scale(x, fitted), ["raw_row_id"], NAMES).withColumn("value", r6("value"))
 
 
-@query("scale_clip", with_(WAFER, CELLS, ERA, TRAIN_CELLS, MEDIANS, FILLED, final=f"select raw_row_id, sensor, {sql.r6('greatest(least((value - median) / case when q3 = q1 then 1 else q3 - q1 end, 1.5), -1.5)')} as value from filled join med using (sensor)"))
+@query("scale_clip", with_(WAFER, CELLS, ERA, TRAIN_CELLS, MEDIANS, FILLED, TRAIN_FILLED, MED2, final=f"select raw_row_id, sensor, {sql.r6('greatest(least((value - center) / case when q3 = q1 then 1 else q3 - q1 end, 1.5), -1.5)')} as value from filled join med2 using (sensor)"))
 def _(spark, sf):
     from ..operators.frame import melt
 
-    s = _split(spark, sf)
-    fitted = prep.fit_robust(s.where("split = 'train'"), NAMES)
-    return melt(prep.robust_scale(_imputed(spark, sf), fitted, 1.5), ["raw_row_id"], NAMES).withColumn("value", r6("value"))
+    x = _imputed(spark, sf)
+    fitted = prep.fit_robust(x.where("split = 'train'"), NAMES)
+    return melt(prep.robust_scale(x, fitted, 1.5), ["raw_row_id"], NAMES).withColumn("value", r6("value"))
 
 
 @query("hub_pairs", with_(WAFER, final=f"select raw_row_id, {sql.r6('c_1 * c_2')} as interact_c_1__c_2, {sql.r6('c_1 * c_3')} as interact_c_1__c_3, {sql.r6('c_2 * c_3')} as interact_c_2__c_3 from wafer"))
