@@ -354,6 +354,12 @@ def definitions_for_facts(facts: DataFrame, id_col: str) -> DataFrame:
     def cited(cond) -> Column:
         return F.coalesce(F.exists(cs, cond), F.lit(False))
 
+    known = facts.schema["facts"].dataType["process_gates"].dataType.names
+    gated = f["process_gates"].isNotNull()
+
+    def gate(name: str) -> Column:
+        return gated & f["process_gates"][name].isNotNull() if name in known else F.lit(False)
+
     outcome_key = F.concat(F.lit("outcome_"), f["outcome"])
     tests = {
         "fail_probability": f["fail_probability"].isNotNull(),
@@ -367,13 +373,12 @@ def definitions_for_facts(facts: DataFrame, id_col: str) -> DataFrame:
         "drifting": (f["n_drifting_contributors"] > 0) | cited(lambda c: c["drifting"]),
         "drift_shift": cited(lambda c: c["drift_shift"].isNotNull()),
         "attribution_robust": cited(lambda c: c["attribution_robust"].isNotNull()),
-        "process_gate": f["process_gates"].isNotNull(),
-        "q_spe": f["process_gates"].isNotNull(),
-        "bgm_density": f["process_gates"].isNotNull(),
+        "process_gate": gated,
+        "hotelling_t2": gate("pca"),
+        "bgm_density": gate("bayes"),
+        "q_spe": gate("pca") | gate("bayes"),
     }
-    # the order a record lists them: the gate's own statistics come density first
-    order = [k for k in tests if k != "q_spe"] + ["q_spe"]
-    keys = F.array_compact(F.array(*[F.when(tests[k], F.lit(k)) for k in order]))
+    keys = F.array_compact(F.array(*[F.when(test, F.lit(k)) for k, test in tests.items()]))
     return facts.select(id_col, keys.alias("definition_keys"))
 
 

@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-FAMILIES = ("scans", "profiles", "splits", "scores", "preparation", "gates", "drifts")
+FAMILIES = ("scans", "profiles", "splits", "scores", "preparation", "gates", "drifts", "attributions", "fits")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
