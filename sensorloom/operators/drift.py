@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ID, TARGET, TS
-from .frame import exact_quantiles, global_row_number, melt, running_totals, wide_stats
+from .frame import exact_quantiles, global_row_number, melt, running_totals, sensor_stats
 from .metrics import auc_metrics
 from .prep import as_dict, fit_median
 from .profile import sensor_quantiles
@@ -38,9 +38,9 @@ def era_table(df: DataFrame, sensors: Sequence[str], test_size: float = 0.2) ->
 def _shift_of(eras: DataFrame, sensors: Sequence[str]) -> DataFrame:
     """Per sensor: training mean and SD, and the shift of the holdout mean in those SDs.
 
-    The mean of z-scores is the z-score of the mean, so one scan of the wide table is enough.
+    The mean of z-scores is the z-score of the mean, so one scan is enough.
     """
-    train = wide_stats(
+    train = sensor_stats(
         eras,
         sensors,
         {
@@ -48,6 +48,7 @@ def _shift_of(eras: DataFrame, sensors: Sequence[str]) -> DataFrame:
             "sd": lambda c: F.stddev_pop(F.when(F.col("era") == "train", F.col(c))),
             "later": lambda c: F.avg(F.when(F.col("era") == "holdout", F.col(c))),
         },
+        ids=["era"],
     ).where("sd > 0")
     return train.select("sensor", "mean", "sd", ((F.col("later") - F.col("mean")) / F.col("sd")).alias("shift"))
 
@@ -98,7 +99,7 @@ def drift_heatmap(df: DataFrame, sensors: Sequence[str], top: int = 30, bins: in
         F.date_format(F.max_by(TS, "_rn"), "yyyy-MM-dd").alias("bin_end"), F.max("_rn").alias("_last")
     )
     first = ends.where(F.col("_last") > n_train).agg(F.min("bin").alias("_first"))  # one row
-    means = wide_stats(binned, names, {"m": F.avg}, ["bin"])
+    means = sensor_stats(binned, names, {"m": F.avg}, ["bin"])
     scale = F.array(*[F.struct(F.lit(r.sensor).alias("sensor"), F.lit(r.mean).alias("mean"), F.lit(r.sd).alias("sd")) for r in best])
     params = df.sparkSession.range(1).select(F.inline(scale))
     zmean = (F.col("m") - F.col("mean")) / F.col("sd")
@@ -158,7 +159,7 @@ def factor_drift_ranking(long_scores: DataFrame, is_holdout: Column, top_sensors
 def fit_spc(reference: DataFrame, sensors: Sequence[str], least: int = 5) -> DataFrame:
     """`(sensor, median, scale)` of the passing training rows; no row where z is undefined."""
     q = sensor_quantiles(reference, sensors, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    s = wide_stats(reference, sensors, {"n": F.count, "sd": F.stddev_pop})
+    s = sensor_stats(reference, sensors, {"n": F.count, "sd": F.stddev_pop})
     iqr = F.col("q3") - F.col("q1")
     scale = F.when(iqr > 0, iqr / NORMAL_IQR).otherwise(F.col("sd"))
     return q.join(s, "sensor").where(F.col("n") >= least).select("sensor", "median", scale.alias("scale")).where("scale > 0")

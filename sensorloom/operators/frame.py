@@ -23,25 +23,22 @@ def widen(long: DataFrame, ids: Sequence[str], sensors: Sequence[str]) -> DataFr
     return long.groupBy(*ids).pivot("sensor", list(sensors)).agg(F.first("value"))
 
 
-def wide_stats(
+def sensor_stats(
     df: DataFrame,
     sensors: Sequence[str],
     stats: Mapping[str, Callable[[str], Column]],
     by: Sequence[str] = (),
+    ids: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per sensor (and group) from a single scan of the wide table.
+    """One row per sensor (and group) from a single scan.
 
-    Each map task reduces its rows to one row of partial aggregates, so nothing row-sized is
-    shuffled; the wide result is then turned into rows.
+    Aggregates of the melted table: each map task reduces its cells to one partial row per sensor
+    before the shuffle, and the generated code does not grow with the number of sensors, as one
+    aggregate expression per column would. `stats` functions get the value column's name; `ids`
+    are other columns they read.
     """
-    structs = F.array(
-        *[
-            F.struct(F.lit(s).alias("sensor"), *[fn(s).alias(name) for name, fn in stats.items()])
-            for s in sensors
-        ]
-    ).alias("_stats")
-    agg = df.groupBy(*by).agg(structs) if by else df.agg(structs)
-    return agg.select(*by, F.inline("_stats"))
+    long = melt(df.select(*by, *ids, *sensors), [*by, *ids], sensors)
+    return long.groupBy(*by, "sensor").agg(*[fn("value").alias(n) for n, fn in stats.items()])
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .frame import wide_stats
+from .frame import sensor_stats
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,7 @@ def moments(df: DataFrame, cols: Sequence[str]) -> Moments:
     """n, means and covariance of columns without nulls."""
     stats = {
         r.sensor: r
-        for r in wide_stats(
+        for r in sensor_stats(
             df, cols, {"n": F.count, "mean": F.avg, "sd": F.stddev_samp}
         ).collect()  # one row per column
     }

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import ID, SENSOR, TARGET, sensor_columns
 from ..functions.scalar import clip
 from ..session import spool
-from .frame import average_ranks, melt, wide_stats, widen
+from .frame import average_ranks, melt, sensor_stats, widen
 from .linalg import Moments, correlation_matrix, dense, moments, vector
 from .profile import sensor_quantiles
 
@@ -43,7 +43,7 @@ def median_impute(df: DataFrame, sensors: Sequence[str], params: DataFrame) -> D
 
 def varying_sensors(df: DataFrame, sensors: Sequence[str]) -> DataFrame:
     """Sensors whose minimum and maximum differ."""
-    span = wide_stats(df, sensors, {"lo": F.min, "hi": F.max})
+    span = sensor_stats(df, sensors, {"lo": F.min, "hi": F.max})
     return span.where(F.col("lo") != F.col("hi")).select("sensor")
 
 
@@ -98,7 +98,7 @@ def spearman_edges(df: DataFrame, sensors: Sequence[str], threshold: float, id_c
 
 def target_priority(df: DataFrame, sensors: Sequence[str], label: str = TARGET) -> DataFrame:
     """`(feature, place)`: by falling |r| with the label, ties by name; from one scan."""
-    r = wide_stats(df, sensors, {"r": lambda c: F.corr(c, label)})
+    r = sensor_stats(df, sensors, {"r": lambda c: F.corr(c, label)}, ids=[label])
     strength = F.when(F.col("r").isNull() | F.isnan("r"), F.lit(0.0)).otherwise(F.round(F.abs("r"), 12))
     w = Window.orderBy(strength.desc(), "sensor")  # one row per column
     return r.select(F.col("sensor").alias("feature"), F.row_number().over(w).alias("place"))

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ID, TARGET, TS, require_columns, sensor_columns
 from ..functions.scalar import hash_order, ratio
-from .frame import exact_quantiles, global_row_number, melt, wide_stats
+from .frame import exact_quantiles, global_row_number, melt, sensor_stats
 
 MAX_MISSING = 0.10
 
@@ -25,34 +26,22 @@ def column_profile(
 
     One pass over the long form. Exact distinct counting merges equal `(sensor, value)` pairs
     before and after the shuffle, so no task holds a whole sensor. `approx_distinct` uses a
-    sketch on the wide table, which shuffles nothing row-sized. `where` limits the rows the
-    profile may see (for example to the training rows).
+    sketch, which shuffles nothing row-sized. `where` limits the rows the profile may see (for
+    example to the training rows).
     """
     sensors = require_columns(sensors or sensor_columns(df), "sensor columns")
     if where is not None:
         df = df.where(where)
-    if approx_distinct:
-        counts = wide_stats(
-            df,
-            sensors,
-            {
-                "n_rows": lambda c: F.count(F.lit(1)),
-                "n_null": lambda c: F.count(F.lit(1)) - F.count(c),
-                "n_distinct": F.approx_count_distinct,
-                "raw_variance": F.var_pop,
-            },
-        )
-    else:
-        counts = (
-            melt(df.select(*sensors), [], sensors)
-            .groupBy("sensor")
-            .agg(
-                F.count(F.lit(1)).alias("n_rows"),
-                (F.count(F.lit(1)) - F.count("value")).alias("n_null"),
-                F.count_distinct("value").alias("n_distinct"),
-                F.var_pop("value").alias("raw_variance"),
-            )
-        )
+    counts = sensor_stats(
+        df,
+        sensors,
+        {
+            "n_rows": lambda c: F.count(F.lit(1)),
+            "n_null": lambda c: F.count(F.lit(1)) - F.count(c),
+            "n_distinct": F.approx_count_distinct if approx_distinct else F.count_distinct,
+            "raw_variance": F.var_pop,
+        },
+    )
     return counts.select(
         F.col("sensor").alias("column_name"),
         "n_rows",
@@ -109,7 +98,7 @@ def null_pattern_hash(df: DataFrame, sensors: Sequence[str], id_col: str = ID) -
     def total(c: str, d: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col(c).isNull(), F.col(d))), F.lit(0).cast("decimal(30,0)"))
 
-    sums = wide_stats(
+    sums = sensor_stats(
         draws,
         sensors,
         {
@@ -117,6 +106,7 @@ def null_pattern_hash(df: DataFrame, sensors: Sequence[str], id_col: str = ID) -
             "s1": lambda c: total(c, "_d1"),
             "s2": lambda c: total(c, "_d2"),
         },
+        ids=["_d1", "_d2"],
     )
     text = F.concat_ws(":", F.col("n_null").cast("string"), F.col("s1").cast("string"), F.col("s2").cast("string"))
     return sums.select("sensor", "n_null", F.md5(text).alias("pattern_hash"))
@@ -132,7 +122,7 @@ def null_pattern_classes(hashes: DataFrame) -> DataFrame:
 def snapshot_stats(df: DataFrame, sensors: Sequence[str] | None = None) -> DataFrame:
     """One row: counts, fail rate, period, share of missing cells and of sparse sensors."""
     sensors = list(sensors or sensor_columns(df))
-    rates = wide_stats(df, sensors, {"rate": lambda c: F.avg(F.col(c).isNull().cast("double"))})
+    rates = sensor_stats(df, sensors, {"rate": lambda c: F.avg(F.col(c).isNull().cast("double"))})
     cells = rates.agg(
         (100 * F.avg("rate")).alias("missing_cell_pct"),
         (100 * F.avg((F.col("rate") > 0.5).cast("double"))).alias("high_miss_sensor_pct"),
@@ -173,7 +163,7 @@ def weekly_fail_rate(df: DataFrame) -> DataFrame:
 
 def missing_rate(df: DataFrame, sensors: Sequence[str] | None = None) -> DataFrame:
     sensors = sensors or sensor_columns(df)
-    return wide_stats(df, sensors, {"missing_rate": lambda c: F.avg(F.col(c).isNull().cast("double"))})
+    return sensor_stats(df, sensors, {"missing_rate": lambda c: F.avg(F.col(c).isNull().cast("double"))})
 
 
 def missing_matrix(df: DataFrame, stride: int = 10, sensors: Sequence[str] | None = None) -> DataFrame:
@@ -214,9 +204,9 @@ def missing_rate_hist(rates: DataFrame, bins: int = 20, spike_n: int = 100, spik
 
 def variance_ranking(df: DataFrame, sensors: Sequence[str] | None = None) -> DataFrame:
     """Sensors by sample variance, largest first, ties by name."""
-    ranked = wide_stats(df, sensors or sensor_columns(df), {"variance": F.var_samp})
+    ranked = sensor_stats(df, sensors or sensor_columns(df), {"variance": F.var_samp, "mean": F.avg})
     w = Window.orderBy(F.desc_nulls_last("variance"), "sensor")  # one row per sensor
-    return ranked.select("sensor", "variance", F.row_number().over(w).alias("rank"))
+    return ranked.select("sensor", "variance", "mean", F.row_number().over(w).alias("rank"))
 
 
 def sensor_histogram(df: DataFrame, sensor: str, bins: int = 40) -> DataFrame:
@@ -233,29 +223,39 @@ def sensor_histogram(df: DataFrame, sensor: str, bins: int = 40) -> DataFrame:
 def sensor_correlation(df: DataFrame, top_n: int = 36, min_n: int = 100, sensors: Sequence[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson r between the `top_n` sensors of largest variance.
 
-    All pairs are partial aggregates of a single scan. A pair with under `min_n` common rows, or
-    without variance, gets 0.
+    Each task sums its batches into one small matrix per sum and emits one row per pair, so the
+    shuffle is tasks x pairs. A pair with under `min_n` common rows, or without variance, gets 0.
     """
     ranked = variance_ranking(df, sensors or sensor_columns(df))
-    names = [r[0] for r in ranked.where((F.col("rank") <= top_n) & (F.col("variance") > 0)).orderBy("rank").collect()]
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("a"),
-                F.lit(b).alias("b"),
-                F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n"),
-                F.corr(a, b).alias("raw_r"),
-            )
-            for a, b in combinations(names, 2)
-        ]
-    )
-    return df.agg(pairs.alias("_p")).select(F.inline("_p")).select(
-        "a",
-        "b",
-        "n",
-        F.when((F.col("n") < min_n) | F.col("raw_r").isNull() | F.isnan("raw_r"), F.lit(0.0))
-        .otherwise(F.col("raw_r"))
-        .alias("r"),
+    top = ranked.where((F.col("rank") <= top_n) & (F.col("variance") > 0)).orderBy("rank").collect()
+    names = [r.sensor for r in top]
+    pilot = np.array([r.mean for r in top])  # centring keeps the digits of the second moments
+    i, j = np.triu_indices(len(names), 1)
+
+    def sums(batches):
+        total = None
+        for pdf in batches:
+            raw = pdf.to_numpy(dtype=float)
+            has = ~np.isnan(raw)
+            x, m = np.where(has, raw - pilot, 0.0), has.astype(float)
+            part = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+            total = part if total is None else total + part
+        if total is not None:
+            n, sx, sy, sxx, syy, sxy = total[:, i, j]
+            yield pd.DataFrame({"i": i, "j": j, "n": n, "sx": sx, "sy": sy, "sxx": sxx, "syy": syy, "sxy": sxy})
+
+    cols = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    parts = df.select(*names).mapInPandas(sums, "i int, j int, " + ", ".join(f"{c} double" for c in cols))
+    t = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in cols])
+    n = F.col("n")
+    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
+    r = (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy)
+    named = F.lit(np.array(names))
+    return t.select(
+        F.element_at(named, F.col("i") + 1).alias("a"),
+        F.element_at(named, F.col("j") + 1).alias("b"),
+        n.cast("long").alias("n"),
+        F.when((n >= min_n) & (vx > 0) & (vy > 0), r).otherwise(F.lit(0.0)).alias("r"),
     )
 
 

@@ -263,10 +263,10 @@ PSI_FIT = "psi as (select sensor, var_pop(value) as psi from cells where sensor
 
 
 def _psi(spark, sf):
-    from ..operators.frame import wide_stats
+    from ..operators.frame import sensor_stats
 
     names = [s for s in fx.SENSORS if s != "c_13"]
-    return wide_stats(fx.wafers(spark, sf), names, {"psi": F.var_pop})
+    return sensor_stats(fx.wafers(spark, sf), names, {"psi": F.var_pop})
 
 
 @query("noise_ranking", with_(*BASE, PSI_FIT, final=f"select sensor, {sql.r6('psi')} as psi, row_number() over (order by psi desc, sensor)::int as rank, {sql.r6('max(psi) over () / min(psi) filter (psi > 0) over ()', 4)} as spread from psi"))
@@ -389,10 +389,10 @@ def _(spark, sf):
 
 
 def _data_loadings(spark, sf):
-    from ..operators.frame import wide_stats
+    from ..operators.frame import sensor_stats
 
     names = [s for s in fx.SENSORS if s != "c_5"]
-    c = wide_stats(fx.wafers(spark, sf), names, {"w1": lambda s: F.corr(s, "raw_row_id"), "w2": lambda s: F.corr(s, "target")})
+    c = sensor_stats(fx.wafers(spark, sf), names, {"w1": lambda s: F.corr(s, "raw_row_id"), "w2": lambda s: F.corr(s, "target")}, ids=["raw_row_id", "target"])
     return c.select("sensor", F.inline(F.array(F.struct(F.lit(1).alias("k"), F.col("w1").alias("w")), F.struct(F.lit(2).alias("k"), F.col("w2").alias("w")))))
 
 

@@ -198,12 +198,12 @@ MISS = "ms as (select sensor as feature, row_number() over (order by avg(value)
 
 def _two_rankings(spark, sf):
     from ..operators import profile
-    from ..operators.frame import wide_stats
+    from ..operators.frame import sensor_stats
     from pyspark.sql import Window
 
     w = fx.wafers(spark, sf)
     first = profile.variance_ranking(w).select(F.col("sensor").alias("feature"), "rank").where("rank <= 30")
-    mean = wide_stats(w, fx.SENSORS, {"m": F.avg})
+    mean = sensor_stats(w, fx.SENSORS, {"m": F.avg})
     second = mean.select(F.col("sensor").alias("feature"), F.row_number().over(Window.orderBy(F.desc_nulls_last("m"), "sensor")).alias("rank")).where("rank <= 30")
     return first, second
 

@@ -242,7 +242,7 @@ def _(spark, sf):
 
 @query("variance_ranking", with_(WAFER, CELLS, final=f"select sensor, {sql.r6('var_samp(value)')} as variance, row_number() over (order by var_samp(value) desc nulls last, sensor)::int as rank from cells group by sensor"))
 def _(spark, sf):
-    return profile.variance_ranking(fx.wafers(spark, sf)).withColumn("variance", r6("variance"))
+    return profile.variance_ranking(fx.wafers(spark, sf)).withColumn("variance", r6("variance")).drop("mean")
 
 
 @query("sensor_histogram", with_(WAFER, "span as (select min(c_13) as lo, max(c_13) as hi from wafer)",
