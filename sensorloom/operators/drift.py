@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ID, TARGET, TS
-from .frame import exact_quantiles, global_row_number, melt, running_totals, sensor_stats
+from .frame import beyond_row, melt, running_totals, sensor_stats, with_row_number
 from .metrics import auc_metrics
 from .prep import as_dict, fit_median
 from .profile import sensor_quantiles
@@ -19,19 +19,19 @@ NORMAL_IQR = 1.349
 
 
 def era_table(df: DataFrame, sensors: Sequence[str], test_size: float = 0.2) -> DataFrame | None:
-    """Rows with their time place `_rn` and `era`, sensors filled by the median of all rows.
+    """Rows with their `era`, sensors filled by the median of all rows.
 
     None when the period is too short to compare.
     """
-    numbered = global_row_number(df.select(TS, ID, *sensors), [TS, ID], "_rn")
-    n = numbered.count()
+    n = df.count()
     n_train = round(n * (1.0 - test_size))
     if n < 4 or n_train < 2 or n_train >= n:
         return None
-    fill = as_dict(fit_median(numbered, sensors), "median")
-    era = F.when(F.col("_rn") <= n_train, "train").otherwise("holdout")
-    return numbered.select(
-        "_rn", TS, ID, era.alias("era"), *[F.coalesce(F.col(c), F.lit(fill[c])).alias(c) for c in sensors if c in fill]
+    marked = beyond_row(df.select(TS, ID, *sensors), [TS, ID], lambda _: n_train)
+    fill = as_dict(fit_median(df, sensors), "median")
+    era = F.when(F.col("_beyond"), "holdout").otherwise("train")
+    return marked.select(
+        TS, ID, era.alias("era"), *[F.coalesce(F.col(c), F.lit(fill[c])).alias(c) for c in sensors if c in fill]
     )
 
 
@@ -87,14 +87,15 @@ def drift_heatmap(df: DataFrame, sensors: Sequence[str], top: int = 30, bins: in
     shift = _shift_of(eras, [c for c in sensors if c in eras.columns])
     best = shift.orderBy(F.abs("shift").desc(), "sensor").limit(top).collect()
     names = [r.sensor for r in best]
-    n = eras.count()
+    numbered = with_row_number(eras.select(TS, ID, *names), [TS, ID], ID, "_rn")
+    n = numbered.count()
     n_train = round(n * (1.0 - test_size))
     k = min(bins, n)
     size, extra = divmod(n, k)
     z = F.col("_rn") - 1
     edge = extra * (size + 1)
     bin_no = F.when(z < edge, F.floor(z / F.lit(size + 1))).otherwise(extra + F.floor((z - edge) / F.lit(size)))
-    binned = eras.select((bin_no + 1).cast("int").alias("bin"), "_rn", TS, *names)
+    binned = numbered.select((bin_no + 1).cast("int").alias("bin"), "_rn", TS, *names)
     ends = binned.groupBy("bin").agg(
         F.date_format(F.max_by(TS, "_rn"), "yyyy-MM-dd").alias("bin_end"), F.max("_rn").alias("_last")
     )

@@ -71,6 +71,29 @@ def global_row_number(df: DataFrame, keys: Sequence[Column | str], name: str) ->
     return placed.withColumn(name, number.cast("long")).drop("_place")
 
 
+def with_row_number(
+    df: DataFrame, keys: Sequence[str], id_col: str, name: str
+) -> DataFrame:
+    """`global_row_number` for wide rows: only the keys are sorted and written, the number is joined
+    back on the unique id."""
+    numbers = global_row_number(df.select(*dict.fromkeys([*keys, id_col])), keys, name)
+    return df.join(numbers.select(id_col, name), id_col)
+
+
+def beyond_row(df: DataFrame, keys: Sequence[str], place: Callable[[int], int]) -> DataFrame:
+    """Add `_beyond`: whether the row comes after the `place(n)`-th of the n rows in key order.
+
+    The keys alone are numbered to find the one boundary row; every row is then compared with it,
+    so a wide table is not moved.
+    """
+    numbers = global_row_number(df.select(*keys), keys, "_rn")
+    cut = place(numbers.count())
+    if cut < 1:
+        return df.withColumn("_beyond", F.lit(True))
+    edge = numbers.where(F.col("_rn") == cut).select(F.struct(*keys).alias("_edge"))  # one row
+    return df.crossJoin(F.broadcast(edge)).withColumn("_beyond", F.struct(*keys) > F.col("_edge")).drop("_edge")
+
+
 def row_number_within(
     df: DataFrame, by: Sequence[str], keys: Sequence[Column | str], name: str
 ) -> DataFrame:

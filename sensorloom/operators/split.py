@@ -9,35 +9,40 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ID, TARGET, TS
 from ..functions.scalar import hash_draw, hash_order
-from .frame import global_row_number, row_number_within
+from .frame import beyond_row, row_number_within
 
 
 def temporal_split(df: DataFrame, test_size: float = 0.2, ts: str = TS, id_col: str = ID) -> DataFrame:
     """`split` = test for the latest `max(1, round(test_size * n))` rows by (time, id)."""
-    numbered = global_row_number(df, [ts, id_col], "_rn")
-    n = numbered.count()
-    cut = n - max(1, round(test_size * n))
-    return numbered.withColumn("split", F.when(F.col("_rn") > cut, "test").otherwise("train")).drop("_rn")
+    marked = beyond_row(df, [ts, id_col], lambda n: n - max(1, round(test_size * n)))
+    return marked.withColumn("split", F.when(F.col("_beyond"), "test").otherwise("train")).drop("_beyond")
 
 
 def stratified_split(
     df: DataFrame, test_size: float = 0.2, seed: int = 42, id_col: str = ID, label: str = TARGET
 ) -> DataFrame:
-    """Random holdout with the class mix of the whole table; the shuffle is a hash of the id."""
-    keyed = df.withColumn("_h", hash_order(seed, id_col))
-    placed = row_number_within(keyed, [label], ["_h", id_col], "_rn")
-    test = F.col("_rn") <= F.bround(F.lit(float(test_size)) * F.col("_rn_of"))
-    return placed.withColumn("split", F.when(test, "test").otherwise("train")).drop("_h", "_rn", "_rn_of")
+    """Random holdout with the class mix of the whole table; the shuffle is a hash of the id.
+
+    The keys are numbered per class to find each class's boundary; rows are compared with it.
+    """
+    h = hash_order(seed, id_col)
+    placed = row_number_within(df.select(label, h.alias("_h"), id_col), [label], ["_h", id_col], "_rn")
+    at_cut = F.col("_rn") == F.bround(F.lit(float(test_size)) * F.col("_rn_of"))
+    edges = placed.where(at_cut).select(label, F.struct("_h", id_col).alias("_edge"))  # one row per class
+    test = F.struct(h.alias("_h"), F.col(id_col)) <= F.col("_edge")
+    marked = df.join(F.broadcast(edges), label, "left")
+    return marked.withColumn("split", F.when(test, "test").otherwise("train")).select(*df.columns, "split")
 
 
 def repeated_stratified_folds(
     df: DataFrame, k: int = 5, repeats: int = 2, seed: int = 42, id_col: str = ID, label: str = TARGET
 ) -> DataFrame:
     """One row per (row, repeat) with its fold 0..k-1, every fold with the same class mix."""
-    copies = df.select("*", F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("repeat"))
+    copies = df.select(id_col, label, F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("repeat"))
     keyed = copies.withColumn("_h", hash_order(seed, "repeat", id_col))
     placed = row_number_within(keyed, ["repeat", label], ["_h", id_col], "_rn")
-    return placed.withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_h", "_rn", "_rn_of")
+    folds = placed.select(id_col, "repeat", ((F.col("_rn") - 1) % k).cast("int").alias("fold"))
+    return df.join(folds, id_col)
 
 
 def time_decay_weights(df: DataFrame, decay: float, ts: str = TS) -> DataFrame:
