@@ -158,9 +158,10 @@ def exact_quantiles(
     probs: Mapping[str, float],
     limit: int = GROUP_ROW_LIMIT,
     accuracy: int = 10_000,
+    largest: int | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group: one row, one column per probability."""
-    q = exact_quantile_array(df, by, value, list(probs.values()), "_q", limit, accuracy)
+    q = exact_quantile_array(df, by, value, list(probs.values()), "_q", limit, accuracy, largest)
     return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
 
 
@@ -172,16 +173,18 @@ def exact_quantile_array(
     name: str,
     limit: int = GROUP_ROW_LIMIT,
     accuracy: int = 10_000,
+    largest: int | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group as one array column, in the order given.
 
     Small groups use `percentile`. Where a group exceeds `limit` rows a sketch first brackets
     each quantile, then only the values inside the bracket are counted and ordered; the values
-    below it are merely counted. Nulls are ignored; a group without values gives null.
+    below it are merely counted. Nulls are ignored; a group without values gives null. `largest`
+    is an upper bound of the group size where the caller knows one, which saves counting.
     """
     by = list(by)
     p = [float(x) for x in probs]
-    if largest_group(df, by) <= limit:
+    if (largest_group(df, by) if largest is None else largest) <= limit:
         q = F.percentile(value, F.array(*[F.lit(x) for x in p])).alias(name)
         return df.groupBy(*by).agg(q) if by else df.agg(q)
     pad = 4.0 / accuracy

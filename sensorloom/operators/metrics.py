@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
+from ..session import spool
 from .frame import exact_quantile_array, running_totals
 from .split import bootstrap_samples
 
@@ -236,7 +237,7 @@ def bootstrap_metrics(
 
     A key with only one class gives nulls. `threshold` may be a column of `scores`.
     """
-    draws = bootstrap_samples(scores, by, n_boot, seed, id_col)
+    draws = spool(bootstrap_samples(scores, by, n_boot, seed, id_col))  # read three times below
     keys = [*by, "draw"]
     w = F.col("w")
     per_draw = auc_metrics(draws, keys, w).join(

@@ -289,5 +289,9 @@ def split_summary(df: DataFrame) -> DataFrame:
 
 
 def sensor_quantiles(df: DataFrame, sensors: Sequence[str], probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles of each sensor (and group) from the long form."""
-    return exact_quantiles(melt(df.select(*by, *sensors), by, sensors), [*by, "sensor"], "value", probs)
+    """Exact quantiles of each sensor (and group) from the long form.
+
+    No group is larger than the table, whose count reads no sensor column.
+    """
+    long = melt(df.select(*by, *sensors), by, sensors)
+    return exact_quantiles(long, [*by, "sensor"], "value", probs, largest=df.count())

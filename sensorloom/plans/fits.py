@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import models, prep, split
+from ..session import spool
 from . import preparation as p
 from .catalog import query
 
@@ -13,7 +14,7 @@ NAMES = p.NAMES[:12]
 
 def _train_test(spark, sf):
     x = p._imputed(spark, sf)
-    x = prep.robust_scale(x, prep.fit_robust(x.where("split = 'train'"), p.NAMES), 5.0)
+    x = spool(prep.robust_scale(x, prep.fit_robust(x.where("split = 'train'"), p.NAMES), 5.0).drop("measurement_ts"))
     return x.where("split = 'train'"), x.where("split = 'test'")
 
 
@@ -66,7 +67,8 @@ def _mart_split(spark, sf):
     """A slice of the columns of the test shape, as the designs see them: raw sensors and flags."""
     from ..operators import mart
 
-    x = split.temporal_split(mart.cyclical_encoding(mart.calendar_features(p._split(spark, sf, NAMES).drop("split"))))
+    x = mart.cyclical_encoding(mart.calendar_features(p._split(spark, sf, NAMES).drop("split")))
+    x = spool(split.temporal_split(x))
     return x.where("split = 'train'"), x.where("split = 'test'")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import r6
 from ..operators import ordering, prep, reporting, split
+from ..session import spool
 from ..sources import fixtures as fx
 from . import sql
 from .catalog import query
@@ -16,7 +17,8 @@ NAMES = [c for i, c in enumerate(fx.SENSORS) if i % 16 != 0 and i != 5]
 
 
 def _split(spark, sf, names=NAMES):
-    return split.temporal_split(fx.wafers(spark, sf).select("raw_row_id", "measurement_ts", "target", *names))
+    """Split table, written once: the fits below read it many times."""
+    return spool(split.temporal_split(fx.wafers(spark, sf).select("raw_row_id", "measurement_ts", "target", *names)))
 
 
 TRAIN_CELLS = "fitcells as (select c.* from cells c join era e using (raw_row_id) where e.split = 'train' and sensor in (" + ", ".join(f"'{c}'" for c in NAMES) + "))"
