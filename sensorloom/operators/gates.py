@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import TARGET
+from ..session import spool
 from .frame import exact_quantile_array, exact_quantiles, row_number_within, running_totals
 from .linalg import dense, moments, vector, with_struct
 from .metrics import MIN_POSITIVES, auc_metrics, bootstrap_metrics
@@ -240,7 +241,8 @@ def fit_factor_gate(ref: DataFrame, sensors: Sequence[str], k: int = N_FACTORS,
     members = []
     for s in range(seeds):
         w, psi = _factor_em(second, k, seed + s)
-        scored = factor_score(ref.select(*sensors), sensors, w, psi).select(array_to_vector("z").alias("z"))
+        # written once: the mixture fit reads the scores many times
+        scored = spool(factor_score(ref.select(*sensors), sensors, w, psi).select("z")).select(array_to_vector("z").alias("z"))
         gm = GaussianMixture(k=max(1, min(modes, m.n)), featuresCol="z", seed=seed + s, maxIter=50).fit(scored)
         rows = gm.gaussiansDF.collect()  # one row per mode
         covs = np.array([r["cov"].toArray() for r in rows]) + 1e-4 * np.eye(k)

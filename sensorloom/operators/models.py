@@ -139,7 +139,7 @@ def poisson_weight(seed: int, draw: int, id_col: str = ID) -> Column:
     out, cum, p = F.lit(0), 0.0, float(np.exp(-1.0))
     for k in range(12):
         cum += p
-        out = F.when(u >= cum, F.lit(k + 1)).otherwise(out) if k == 0 else F.when(u >= cum, F.lit(k + 1)).otherwise(out)
+        out = F.when(u >= cum, F.lit(k + 1)).otherwise(out)
         p /= k + 1
     return out.cast("double")
 
@@ -237,11 +237,10 @@ def fit_design(train: DataFrame, front: str, k: int = 20, hubs: int = 0, corr_th
             return hub_pairs(hotelling_t2(df, t2), hub_names)
 
     features = [*made, *aux]
-    fill_aux = [c for c in aux]
     scale = fit_robust(build(x).select(*[F.col(c).cast("double").alias(c) for c in features]), features)
 
     def apply(df: DataFrame) -> DataFrame:
-        rest = [c for c in df.columns if c not in sensors and c not in fill_aux]
+        rest = [c for c in df.columns if c not in sensors and c not in aux]
         y = build(median_impute(df, sensors, fill))
         return robust_scale(y.select(*rest, *[F.col(c).cast("double").alias(c) for c in features]), scale)
 
@@ -261,7 +260,7 @@ def fit_model(train: DataFrame, model_id: str, calibrate: int = 0, label: str =
     """One cell of the grid: front-end and head by name."""
     front, head = model_id.split("_")
     d = design or fit_design(train, front, params.pop("k", 20), params.pop("hubs", 0), label=label, id_col=id_col)
-    x = d.apply(train)
+    x = spool(d.apply(train))  # written once: fits read it many times
 
     def fit(rows: DataFrame) -> Scorer:
         return HEADS[head](rows, d.features, label, id_col, **params)
