@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ID, TARGET, TS
+from ..functions.columns import ID, TS
 from .frame import beyond_row, melt, running_totals, sensor_stats, with_row_number
 from .metrics import auc_metrics
 from .prep import as_dict, fit_median

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.scalar import r6
-from ..operators import attribution, drift, metrics, models, ordering, prep, split
+from ..operators import attribution, models, ordering, prep, split
 from ..operators.linalg import loadings_table
 from ..sources import fixtures as fx
 from . import drifts, gates as g

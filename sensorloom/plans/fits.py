@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import models, prep, split
 from ..session import spool
 from . import preparation as p

@@ -373,12 +373,14 @@ def _(spark, sf):
     return out.select("raw_row_id", r6("density").alias("density"), "place")
 
 
-@query("triage_filter", with_(*BASE, *FACTOR, DENSITY, FFLAGS, GSCORES,
-    final="""select g.id from gscores g left join (select raw_row_id, ooc from fflags where raw_row_id % 3 <> 0) f on f.raw_row_id = g.id
+# the gate knows the later rows only; the others count as in control
+@query("triage_filter", with_(*BASE, ERA, *FACTOR, DENSITY, FFLAGS, GSCORES,
+    final="""select g.id from gscores g left join (select raw_row_id, ooc from fflags join era using (raw_row_id) where split = 'test') f on f.raw_row_id = g.id
       where pipeline = 'alpha' and y_true = 0 and y_score >= 0.1 and not coalesce(ooc, false)"""))
 def _(spark, sf):
     o = metrics.outcome_labels(_gscores(spark, sf).where("pipeline = 'alpha'"), 0.1)
-    flags = _fflags(spark, sf).where("raw_row_id % 3 <> 0").select(F.col("raw_row_id").alias("id"), "ooc")
+    later = split.temporal_split(_fflags(spark, sf).drop("z")).where("split = 'test'")
+    flags = later.select(F.col("raw_row_id").alias("id"), "ooc")
     return gates.triage_filter(o, flags, "false_alarm", "in_control").select("id")
 
 

@@ -11,7 +11,7 @@ from ..operators.frame import exact_quantiles
 from ..sources import fixtures as fx
 from . import sql
 from .catalog import query
-from .sql import CELLS, ERA, KEPT, PROFILE, WAFER, with_
+from .sql import CELLS, KEPT, PROFILE, WAFER, with_
 
 RULE = """ruled as (
   select column_name, n_rows, n_null, missing_rate, n_distinct,
@@ -203,12 +203,12 @@ def _(spark, sf):
 
 
 @query("weekly_fail_rate", with_(
-    """rows_ as (select o_orderdate as ts, case when o_orderstatus = 'F' then 1 else 0 end as target from orders where month(o_orderdate) <> 2)""",
+    """rows_ as (select o_orderdate as ts, case when o_orderstatus = 'F' then 1 else 0 end as target from orders)""",
     """weeks as (select (date_trunc('week', ts) + interval 6 day)::date as week_end, avg(target) as fail_rate, count(*) as n from rows_ group by 1)""",
     """cal as (select unnest(generate_series((select min(week_end) from weeks)::timestamp, (select max(week_end) from weeks)::timestamp, interval 7 day))::date as week_end)""",
     final=f"select cal.week_end, {sql.r6('fail_rate')} as fail_rate, coalesce(n, 0) as n, (select {sql.r6('avg(target)')} from rows_) as baseline from cal left join weeks using (week_end)"))
 def _(spark, sf):
-    rows = fx.table(spark, sf, "orders").where(F.month("o_orderdate") != 2).select(
+    rows = fx.table(spark, sf, "orders").select(
         F.col("o_orderdate").alias("measurement_ts"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("target")
     )
     out = profile.weekly_fail_rate(rows)
