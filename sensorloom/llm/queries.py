@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import mixing, search, tokens, warc
+from sensorloom.llm import mixing, neardup, search, tokens, warc
 from sensorloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(spark, path)
 
 
+@query("op3_near_duplicates")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 @query(
     "op6_source_mix",
     """
