@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sensorloom.llm import mixing, neardup, search, tokens, warc
-from sensorloom.llm.common import table
+from sensorloom.llm import langid, mixing, neardup, search, tokens, warc
+from sensorloom.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +111,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return search.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
+    held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    return langid.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
