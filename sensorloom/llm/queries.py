@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import langid, mixing, neardup, search, tokens, warc
+from sensorloom.llm import decontam, langid, mixing, neardup, search, tokens, warc
 from sensorloom.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+@query("op4_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.selectExpr("doc_id", "size(hits) > 0 as contaminated", "array_sort(hits.item_id) as item_ids", "array_min(hits.edits) as edits")
+
+
 @query(
     "op6_source_mix",
     """
