@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import decontam, langid, mixing, neardup, search, tokens, warc
+from sensorloom.llm import decontam, langid, mixing, neardup, search, tokens, toxicity, warc
 from sensorloom.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +120,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
 
 
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs.where(crc_mod(F.col("doc_id"), 3) != 1), table(spark, sf_dir, "labels"))
+    held = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 @query("op10_language_id")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
