@@ -17,9 +17,10 @@ comes first; an empty table gives no rows. Extra columns are not written.
 from __future__ import annotations
 
 import os
-import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 
 from sensorloom.session import spool_root
 
-# Pieces whose ids a worker remembers; it only saves work, and is emptied when full.
-MEMORY = 600_000
+# Pieces whose ids a worker remembers; it only saves work. When it is full, those not used since the last time are forgotten.
+MEMORY = 450_000
 
-_ODD = re.compile(r"[^\S \n]|\s\s|\x00")
+# Texts with any of these are encoded whole: repeated white space, white space but blank and line break, and the mark.
+_ODD = ["  ", " \n", "\n ", "\n\n", "\x00", *(chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n")]
 _workers: dict[str, tuple] = {}
 
 
@@ -49,34 +51,45 @@ def _tokenizer(path: str) -> tuple:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _workers[path] = t, {}
+        _workers[path] = t, {}, {}
     return _workers[path]
 
 
 def _encode_texts(path: str, texts: list[str]) -> list[bytes]:
     """Ids of each text, as little-endian unsigned 32-bit integers."""
-    tokenizer, known = _tokenizer(path)
+    tokenizer, known, older = _tokenizer(path)
     out: list[bytes | None] = [None] * len(texts)
     cut: list[tuple[int, list[str]]] = []
     for i, text in enumerate(texts):
-        if _ODD.search(text):
-            out[i] = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if any(x in text for x in _ODD):
+            out[i] = _as_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
         else:
             cut.append((i, text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")))
     new = set().union(*(pieces for _, pieces in cut)).difference(known)
     if len(known) + len(new) > MEMORY:
+        older.clear()
+        older.update(known)
         known.clear()
         new = set().union(*(pieces for _, pieces in cut))
-    if new:
-        batch = list(new)
-        for piece, e in zip(batch, tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-            known[piece] = np.array(e.ids, "<u4").tobytes()
+    again = new.intersection(older)
+    known.update((piece, older[piece]) for piece in again)
+    batch = list(new - again)
+    if batch:
+        encoded = tokenizer.encode_batch_fast(batch, add_special_tokens=False)
+        known.update((piece, _as_bytes(e.ids)) for piece, e in zip(batch, encoded, strict=True))
     get = known.__getitem__
     for i, pieces in cut:
         out[i] = b"".join(map(get, pieces))
     return out
 
 
+def _as_bytes(ids: list[int]) -> bytes:
+    words = array("I", ids)
+    if sys.byteorder == "big":
+        words.byteswap()
+    return words.tobytes()
+
+
 def _encoder(path: str, end_id: int):
     tail = np.array([end_id], "<u4").tobytes()
 
