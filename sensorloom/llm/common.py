@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of a table that may be broadcast after its rows were counted; beyond, the join shuffles both sides.
-BROADCAST_ROWS = 1_000_000
+# Rows of a narrow table (a few numbers or short strings) that may be broadcast after its rows were counted; beyond, the
+# join shuffles both sides.
+BROADCAST_ROWS = 500_000
 
 # White space of the word rule [^\x20\x09-\x0D]+.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def join_counted(left: DataFrame, right: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join with a stored `right`: broadcast when its counted rows are few, by shuffle otherwise."""
+    """Join with a stored, narrow `right`: broadcast when its counted rows are few, by shuffle otherwise."""
     if right.count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), on, how)
     return left.join(right, on, how)

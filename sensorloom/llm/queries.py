@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import decontam, langid, mixing, neardup, search, tokens, toxicity, warc
+from sensorloom.llm import decontam, html, langid, linedup, mixing, neardup, search, tokens, toxicity, warc
 from sensorloom.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "size(hits) > 0 as contaminated", "array_sort(hits.item_id) as item_ids", "array_min(hits.edits) as edits")
 
 
+@query("op5_main_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 @query(
     "op6_source_mix",
     """
@@ -128,6 +133,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+@query("op9_line_templates")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.without_repeated_lines(table(spark, sf_dir, "documents"))
+
+
 @query("op10_language_id")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
