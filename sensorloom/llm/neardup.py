@@ -9,9 +9,10 @@ Jaccard similarity, also for short documents.
 2. Bands of registers give buckets. Each class is paired with the first class of each of its buckets; of these pairs,
    that with the highest estimate (share of equal registers less the expected chance collisions) is verified on the full
    sets, and verified pairs are joined to components.
-3. In buckets that still hold several components, all pairs across components are estimated, in blocks of bounded size
-   on both sides, and those within the error of the estimate are verified. A pair is looked at in its first common
-   bucket only. Thus every pair that shares a bucket is either in one component or was decided on its full sets.
+3. In a bucket that still holds several components, the classes outside its largest component visit that component: each
+   is verified against the full sets of all its members. Pairs of such classes are estimated, in their first common bucket,
+   and verified if within the error of the estimate. Both go in blocks of bounded size on both sides. Thus every pair that
+   shares a bucket is in one component, or was decided on its full sets or by its estimate.
 
 With 40 bands of 6, a pair of similarity 0.8 shares no bucket with a chance of 5e-6; the estimate is cut 4.5 standard
 errors below the threshold.
@@ -38,6 +39,7 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SIGMAS = 4.5
 BLOCK = 512
+EDGE_ROWS = 100_000
 # Fixed value of the published collision estimate of HyperMinHash.
 COLLISION = 0.169919487159739093975315012348
 
@@ -194,12 +196,14 @@ def _across(percent: int):
         side, size = group["side"].to_numpy(), group["n_shingles"].to_numpy()
         band, same = group["band"][0].as_py(), group["same"][0].as_py()
         regs = _stack(group["registers"])
-        left = np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
+        right = np.flatnonzero(side == 0)
+        left = right if same else np.flatnonzero(side == 1)
         floor = percent / 100 - SIGMAS * np.sqrt(0.16 / REGISTERS)
         found: list[list[np.ndarray]] = [[], [], []]
         for i in left:
             js = right[(root[right] != root[i]) & ((cls[right] > cls[i]) if same else True)]
+            low, high = np.minimum(size[js], size[i]), np.maximum(size[js], size[i])
+            js = js[100 * low >= percent * high]
             if not len(js):
                 continue
             equal = regs[js] == regs[i]
@@ -219,24 +223,28 @@ def _across(percent: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (smallest node reachable) of every node of `edges` (a, b), by alternating star contraction.
+    """node and root (smallest node reachable) of every node of `edges` (a, b) but the roots, by alternating star contraction.
 
-    Each round is written to the shared folder; rounds end when the edges no longer change.
+    Each round is written to the shared folder, in files of about EDGE_ROWS; rounds end when only stars are left.
     """
-    least, most = F.least("a", "b"), F.greatest("a", "b")
-    now = spool(edges.where("a <> b").select(most.alias("u"), least.alias("v")).distinct())
-    state = None
+    now = spool(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    files = max(1, -(-now.count() // EDGE_ROWS))
+
+    def keep(df: DataFrame) -> DataFrame:
+        return spool(df.coalesce(files))
+
     while True:
+        # A star: every node has one edge to a smaller node, which has none itself.
+        ends = now.select("u", F.lit(1).alias("n"), F.lit(0).alias("root")).union(now.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("u").agg(F.sum("n").alias("n"), F.max("root").alias("root")).where("n + root > 1").isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = now.union(now.select("v", "u"))
-        low = spool(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = spool(join_counted(both.where("v > u"), low, "u", "inner").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = spool(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = keep(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = join_counted(both.where("v > u"), low, "u", "inner").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = keep(large.distinct())
+        low = keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = join_counted(large, low, "u", "inner").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = spool(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if seen == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = seen
+        now = keep(small.union(low.select("u", F.col("m").alias("v"))).distinct())
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -248,6 +256,90 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return spool(held.mapInArrow(_verifier(width, percent), "a long, b long").distinct())
 
 
+def _setter(width: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, run in text_batches(batch["text"]):
+                held = [s.tobytes() for s in shingle_sets(run, width)]
+                yield pa.RecordBatch.from_arrays([batch["id"][begin : begin + len(run)], pa.array(held, pa.binary())], ["cls", "set"])
+
+    return sets
+
+
+def _visits(percent: int):
+    """The links between the visitors (side 1) and the members (side 0) of one group, one for each visitor."""
+
+    def visit(group: pa.Table) -> pa.Table:
+        cls, side = group["cls"].to_numpy(), group["side"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in group["set"].to_pylist()]
+        members = np.flatnonzero(side == 0)
+        links = []
+        if len(members):
+            flat = np.concatenate([sets[i] for i in members])
+            size = np.array([len(sets[i]) for i in members])
+            starts = np.cumsum(size) - size
+            for v in np.flatnonzero(side == 1):
+                mine = sets[v]
+                at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                both = np.add.reduceat((mine[at] == flat).astype(np.int64), starts)
+                ok = np.flatnonzero(100 * both >= percent * (size + len(mine) - both))
+                if len(ok):
+                    links.append(sorted((int(cls[v]), int(cls[members[ok[0]]]))))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    return visit
+
+
+def _blocks(n):
+    return F.ceil(n / BLOCK).cast("int")
+
+
+def _dealt(n):
+    return F.pmod(F.xxhash64("cls"), n).cast("int")
+
+
+def _upto(n):
+    return F.sequence(F.lit(0), n - 1)
+
+
+def _across_components(rows: DataFrame, sketches: DataFrame, roots: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one bucket (`rows`: cls, band, key) that lie in different components."""
+    named = roots.withColumnRenamed("node", "cls")
+    held = spool(join_counted(rows, named, "cls").select("cls", "band", "key", F.coalesce("root", "cls").alias("root")))
+    sizes = held.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
+    parts = sizes.groupBy("band", "key").agg(F.max_by("root", F.struct("n", "root")).alias("mass"), F.max("n").alias("n_mass"), F.sum("n").alias("n_all"))
+    mixed = spool(parts.where("n_all > n_mass").selectExpr("band", "key", "mass", "n_all - n_mass as strays"))
+    strays = spool(join_counted(held, mixed, ["band", "key"], "inner").where("root <> mass"))
+
+    # Visitors against all members of the component.
+    visitors = spool(strays.select(F.col("mass").alias("of"), "cls").distinct())
+    of = spool(visitors.groupBy("of").agg(_blocks(F.count("*")).alias("vb")))
+    members = join_counted(named.select(F.col("root").alias("of"), "cls"), of, "of", "left_semi")
+    members = spool(members.union(of.select("of", F.col("of").alias("cls"))).distinct())
+    counts = spool(members.groupBy("of").agg(_blocks(F.count("*")).alias("mb")).join(of, "of"))
+    party = spool(members.select("of", "cls", F.lit(0).alias("side")).union(visitors.select("of", "cls", F.lit(1))))
+    ids = spool(party.select(F.col("cls").alias("id")).distinct())
+    texts = join_counted(docs.select(F.col("doc_id").alias("id"), "text"), ids, "id", "left_semi")
+    sets = spool(texts.mapInArrow(_setter(width), "cls long, set binary").where("length(set) > 0"))
+    party = join_counted(party, counts, "of", "inner").join(sets, "cls")
+    place = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    as_member = F.transform(_upto(F.col("vb")), lambda y: place(_dealt(F.col("mb")), y))
+    as_visitor = F.transform(_upto(F.col("mb")), lambda x: place(x, _dealt(F.col("vb"))))
+    places = F.explode(F.when(F.col("side") == 0, as_member).otherwise(as_visitor)).alias("to")
+    visits = party.select("of", "cls", "side", "set", places).select("of", "to.*", "cls", "side", "set")
+    links = spool(visits.groupBy("of", "x", "y").applyInArrow(_visits(percent), "a long, b long"))
+
+    # The others among themselves.
+    several = strays.where("strays > 1").join(sketches, "cls").withColumn("sb", _blocks(F.col("strays")))
+    me = _dealt(F.col("sb"))
+    spot = lambda side, same, x, y: F.struct(side.alias("side"), F.lit(same).alias("same"), x.cast("int").alias("x"), y.cast("int").alias("y"))
+    others = F.transform(F.filter(_upto(F.col("sb")), lambda o: o != me), lambda o: spot(F.when(me < o, 0).otherwise(1), False, F.least(me, o), F.greatest(me, o)))
+    places = F.explode(F.concat(others, F.array(spot(F.lit(0), True, me, me)))).alias("to")
+    common = ["band", "key", "cls", "root", "n_shingles", "registers"]
+    near = several.select(*common, places).select(*common, "to.*").groupBy("band", "key", "x", "y").applyInArrow(_across(percent), "a long, b long, est double")
+    return links.union(_verified(spool(near.select("a", "b").distinct()), docs, width, percent))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), kept, of every row of `docs` (doc_id, text)."""
     every = spool(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketcher(width), "doc_id long, n_shingles long, k1 long, k2 long, registers binary"))
@@ -269,33 +361,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     links = _verified(best, docs, width, percent)
     roots = components(links)
 
-    # Second pass: pairs across the components that share a bucket.
-    held = spool(join_counted(rows, roots.withColumnRenamed("node", "cls"), "cls").select("cls", "band", "key", F.coalesce("root", "cls").alias("root")))
-    sizes = held.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-    parts = sizes.groupBy("band", "key").agg(F.max_by("root", "n").alias("mass"), F.max("n").alias("n_mass"), F.sum("n").alias("n_all"), F.count("*").alias("n_roots"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    mixed = parts.where("n_roots > 1").select("band", "key", "mass", blocks(F.col("n_mass")).alias("mb"), blocks(F.col("n_all") - F.col("n_mass")).alias("sb"))
-    inside = spool(join_counted(held, spool(mixed), ["band", "key"], "inner"))
-    inside = spool(inside.join(sketches, "cls"))
-    number = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
-    common = ["band", "key", "cls", "root", "n_shingles", "registers"]
-    mass, stray = inside.where("root = mass"), inside.where("root <> mass")
-    none = F.lit(-1)
-    dealt = (
-        mass.select(*common, F.lit(0).alias("side"), F.lit(False).alias("same"), number(F.col("mb")).alias("x"), F.explode(upto(F.col("sb"))).alias("y"))
-        .union(stray.select(*common, F.lit(1), F.lit(False), F.explode(upto(F.col("mb"))), number(F.col("sb"))))
-        .union(stray.select(*common, F.lit(0), F.lit(True), none - number(F.col("sb")), none))
-        .union(
-            stray.where("sb > 1")
-            .select(*common, "sb", number(F.col("sb")).alias("me"), F.explode(upto(F.col("sb"))).alias("other"))
-            .where("me <> other")
-            .select(*common, F.when(F.col("me") < F.col("other"), 0).otherwise(1), F.lit(False), none - F.least("me", "other"), none - F.greatest("me", "other") - 1)
-        )
-    )
-    crossing = dealt.groupBy("band", "key", "x", "y").applyInArrow(_across(percent), "a long, b long, est double")
-    late = _verified(spool(crossing.select("a", "b").distinct()), docs, width, percent)
-    roots = spool(components(links.union(late)).withColumnRenamed("node", "cls"))
+    # Second pass: across the components that share a bucket.
+    late = _across_components(rows, sketches, roots, docs, width, percent)
+    roots = components(links.union(late)).withColumnRenamed("node", "cls")
 
     named = join_counted(classes.select("k1", "k2", "cls"), roots, "cls").select("k1", "k2", F.coalesce("root", "cls").alias("root"))
     out = join_counted(every.select("doc_id", "n_shingles", "k1", "k2"), spool(named), ["k1", "k2"])
