@@ -148,3 +148,29 @@ def sorted_lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     at[at == len(keys)] = 0
     at[keys[at] != wanted] = -1
     return at
+
+
+class SortedHashes:
+    """Sorted array of 64-bit hashes with the first place of each value of their leading bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(8, int(len(keys)).bit_length() + 1))
+        bounds = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
+        self.first = np.append(np.searchsorted(keys, bounds), len(keys))
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Place of each wanted hash, or -1."""
+        if not len(self.keys):
+            return np.full(len(wanted), -1, np.int64)
+        cell = (wanted >> self.shift).astype(np.int64)
+        at, end = self.first[cell], self.first[cell + 1]
+        out = np.where((at < end) & (self.keys[np.minimum(at, len(self.keys) - 1)] == wanted), at, -1)
+        left = np.flatnonzero((out < 0) & (at + 1 < end))
+        while len(left):
+            at[left] += 1
+            hit = self.keys[at[left]] == wanted[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            left = left[at[left] + 1 < end[left]]
+        return out
