@@ -31,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import ascii_lower, join_counted, mix, pair_hash, space_table, text_batches, words_of
+from sensorloom.llm.common import ascii_lower, join_counted, mix, pair_hash, sorted_lookup, space_table, text_batches, words_of
 from sensorloom.session import spool
 
 BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SIGMAS = 4.5
-BLOCK = 512
+# Classes, and shingles, of one side of a group of blocks; both only set how work is cut.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 EDGE_ROWS = 100_000
 # Fixed value of the published collision estimate of HyperMinHash.
 COLLISION = 0.169919487159739093975315012348
@@ -256,32 +257,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return spool(held.mapInArrow(_verifier(width, percent), "a long, b long").distinct())
 
 
-def _setter(width: int):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, run in text_batches(batch["text"]):
-                held = [s.tobytes() for s in shingle_sets(run, width)]
-                yield pa.RecordBatch.from_arrays([batch["id"][begin : begin + len(run)], pa.array(held, pa.binary())], ["cls", "set"])
-
-    return sets
-
-
-def _visits(percent: int):
+def _visits(width: int, percent: int):
     """The links between the visitors (side 1) and the members (side 0) of one group, one for each visitor."""
 
     def visit(group: pa.Table) -> pa.Table:
         cls, side = group["cls"].to_numpy(), group["side"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in group["set"].to_pylist()]
-        members = np.flatnonzero(side == 0)
+        sets = [s for _, run in text_batches(group["text"]) for s in shingle_sets(run, width)]
+        there = np.array([len(s) > 0 for s in sets], bool)
+        members = np.flatnonzero((side == 0) & there)
         links = []
         if len(members):
             flat = np.concatenate([sets[i] for i in members])
             size = np.array([len(sets[i]) for i in members])
             starts = np.cumsum(size) - size
-            for v in np.flatnonzero(side == 1):
+            for v in np.flatnonzero((side == 1) & there):
                 mine = sets[v]
-                at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
-                both = np.add.reduceat((mine[at] == flat).astype(np.int64), starts)
+                both = np.add.reduceat(sorted_lookup(mine, flat) >= 0, starts, dtype=np.int64)
                 ok = np.flatnonzero(100 * both >= percent * (size + len(mine) - both))
                 if len(ok):
                     links.append(sorted((int(cls[v]), int(cls[members[ok[0]]]))))
@@ -313,21 +304,21 @@ def _across_components(rows: DataFrame, sketches: DataFrame, roots: DataFrame, d
 
     # Visitors against all members of the component.
     visitors = spool(strays.select(F.col("mass").alias("of"), "cls").distinct())
-    of = spool(visitors.groupBy("of").agg(_blocks(F.count("*")).alias("vb")))
-    members = join_counted(named.select(F.col("root").alias("of"), "cls"), of, "of", "left_semi")
-    members = spool(members.union(of.select("of", F.col("of").alias("cls"))).distinct())
-    counts = spool(members.groupBy("of").agg(_blocks(F.count("*")).alias("mb")).join(of, "of"))
-    party = spool(members.select("of", "cls", F.lit(0).alias("side")).union(visitors.select("of", "cls", F.lit(1))))
+    masses = spool(visitors.select("of").distinct())
+    members = join_counted(named.select(F.col("root").alias("of"), "cls"), masses, "of", "left_semi").union(masses.select("of", F.col("of").alias("cls")))
+    party = members.select("of", "cls", F.lit(0).alias("side")).union(visitors.select("of", "cls", F.lit(1)))
+    party = spool(party.join(sketches.select("cls", "n_shingles"), "cls"))
+    sizes = party.groupBy("of", "side").agg(F.greatest(_blocks(F.count("*")), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int")).alias("n"))
+    counts = spool(sizes.groupBy("of").agg(F.max(F.when(F.col("side") == 0, F.col("n"))).alias("mb"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("vb")))
     ids = spool(party.select(F.col("cls").alias("id")).distinct())
-    texts = join_counted(docs.select(F.col("doc_id").alias("id"), "text"), ids, "id", "left_semi")
-    sets = spool(texts.mapInArrow(_setter(width), "cls long, set binary").where("length(set) > 0"))
-    party = join_counted(party, counts, "of", "inner").join(sets, "cls")
+    texts = spool(join_counted(docs.select(F.col("doc_id").alias("id"), "text"), ids, "id", "left_semi").select(F.col("id").alias("cls"), "text"))
+    party = join_counted(party, counts, "of", "inner").join(texts, "cls")
     place = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
     as_member = F.transform(_upto(F.col("vb")), lambda y: place(_dealt(F.col("mb")), y))
     as_visitor = F.transform(_upto(F.col("mb")), lambda x: place(x, _dealt(F.col("vb"))))
     places = F.explode(F.when(F.col("side") == 0, as_member).otherwise(as_visitor)).alias("to")
-    visits = party.select("of", "cls", "side", "set", places).select("of", "to.*", "cls", "side", "set")
-    links = spool(visits.groupBy("of", "x", "y").applyInArrow(_visits(percent), "a long, b long"))
+    visits = party.select("of", "cls", "side", "text", places).select("of", "to.*", "cls", "side", "text")
+    links = spool(visits.groupBy("of", "x", "y").applyInArrow(_visits(width, percent), "a long, b long"))
 
     # The others among themselves.
     several = strays.where("strays > 1").join(sketches, "cls").withColumn("sb", _blocks(F.col("strays")))
