@@ -58,8 +58,8 @@ def hash_order(seed: int | str, *parts: Column | str) -> Column:
 
 
 def hash_draw(key: Column) -> Column:
-    """32-bit integer from an md5 text."""
-    return F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
+    """60-bit integer from an md5 text."""
+    return F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
 
 
 def r6(c: Column | str, digits: int = 6) -> Column:

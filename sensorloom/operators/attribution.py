@@ -157,7 +157,7 @@ def global_importance(coefs: DataFrame, top: int = GLOBAL_TOP) -> DataFrame:
     return coefs.withColumn("abs_coefficient", F.abs("coefficient")).orderBy(F.desc("abs_coefficient"), "feature").limit(top)
 
 
-def sensor_groups(edges: DataFrame, sensors: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def sensor_groups(edges: DataFrame, sensors: DataFrame) -> DataFrame:
     """Connected components of the correlation edges `(a, b)`; the rolling twin shares the group.
 
     Labels spread along the edges and jump to the label of their label until nothing changes.
@@ -165,7 +165,7 @@ def sensor_groups(edges: DataFrame, sensors: DataFrame, max_rounds: int = 1000)
     """
     both = spool(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = spool(sensors.select("sensor", F.col("sensor").alias("label")))
-    for _ in range(max_rounds):
+    while True:  # labels only fall
         near = both.join(labels.select(F.col("sensor").alias("b"), "label"), "b").groupBy(F.col("a").alias("sensor")).agg(F.min("label").alias("_n"))
         step = labels.join(near, "sensor", "left").select("sensor", F.least("label", "_n").alias("_l"), F.col("label").alias("_old"))
         jump = labels.select(F.col("sensor").alias("_l"), F.col("label").alias("_j"))
@@ -174,8 +174,6 @@ def sensor_groups(edges: DataFrame, sensors: DataFrame, max_rounds: int = 1000)
         labels = new.drop("_old")
         if not changed:
             break
-    else:
-        raise RuntimeError("groups did not settle")
     w = Window.orderBy("label")  # one row per group
     ids = labels.select("label").distinct().withColumn("group", F.concat(F.lit("G"), F.row_number().over(w)))
     grouped = labels.join(ids, "label").select("sensor", "group")

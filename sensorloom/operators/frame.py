@@ -46,6 +46,13 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROW_LIMIT else df
 
 
+def join_keys(rows: DataFrame, keyed: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with a table of one row per key: written once, counted, and broadcast if small, so that no row moves."""
+    kept = spool(keyed)
+    right = small(kept, kept.count())
+    return rows.join(right, list(by), how) if by else rows.crossJoin(right)
+
+
 def global_row_number(df: DataFrame, keys: Sequence[Column | str], name: str) -> DataFrame:
     """1-based row number over a total order, without one task seeing all rows.
 
@@ -106,7 +113,7 @@ def row_number_within(
     firsts = numbered.groupBy(*by).agg(
         (F.min("_all") - 1).alias("_before"), F.count(F.lit(1)).alias(f"{name}_of")
     )
-    joined = numbered.join(firsts, list(by))
+    joined = join_keys(numbered, firsts, by)
     return joined.withColumn(name, F.col("_all") - F.col("_before")).drop("_all", "_before")
 
 
@@ -236,10 +243,12 @@ def exact_quantile_array(
     picked = placed.groupBy(*keys).agg(
         at(low).alias("_a"), at(high).alias("_b"), F.max(F.col("_rank") - low).alias("_f")
     )
-    missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
-    value_at = F.when(F.col("_a").isNull() | F.col("_b").isNull(), missed).otherwise(
-        F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
-    )
+    picked = spool(picked)
+    if not picked.where("_a is null or _b is null").isEmpty():
+        if accuracy <= 16:
+            raise ValueError("no value at a quantile's rank")
+        return exact_quantile_array(df, by, value, probs, name, limit, accuracy // 16, largest)  # wider brackets
+    value_at = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
     # one entry per probability
     listed = F.array_sort(F.collect_list(F.struct("_i", value_at.alias("_q"))))
     out = picked.groupBy(*by).agg(F.transform(listed, lambda s: s["_q"]).alias(name))

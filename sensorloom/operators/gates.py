@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import TARGET
 from ..session import spool
-from .frame import exact_quantile_array, exact_quantiles, row_number_within, running_totals
+from .frame import exact_quantile_array, exact_quantiles, join_keys, row_number_within, running_totals
 from .linalg import dense, moments, vector, with_struct
 from .metrics import MIN_POSITIVES, auc_metrics, bootstrap_metrics
 from .prep import as_dict, corr_prune, fit_median, fit_robust, median_impute, robust_scale, spearman_edges, target_priority
@@ -50,7 +50,7 @@ class GateSpace:
     bound: float
 
 
-def fit_gate_space(train: DataFrame, sensors: Sequence[str], corr_threshold: float = 0.95, bound: float = CLIP, id_col: str = "raw_row_id") -> GateSpace:
+def fit_gate_space(train: DataFrame, sensors: Sequence[str], corr_threshold: float = 0.99, bound: float = CLIP, id_col: str = "raw_row_id") -> GateSpace:
     fill = fit_median(train, sensors)
     have = sorted(as_dict(fill, "median"))
     filled = median_impute(train, have, fill)
@@ -189,18 +189,21 @@ def fit_pca_gate(ref: DataFrame, sensors: Sequence[str], n_components: int = N_C
     return PcaGate(list(sensors), m.mean, v, eigen, lim.t2_ucl, lim.q_ucl, m.n)
 
 
-def _factor_em(second: np.ndarray, k: int, seed: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Factor analysis by EM on the p x p second-moment matrix."""
+def _factor_em(second: np.ndarray, k: int, seed: int, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Factor analysis by EM on the p x p second-moment matrix, until the noise stands still."""
     p = second.shape[0]
     rng = np.random.default_rng(seed)
     diag = np.diag(second).copy()
     w = rng.normal(0, 0.3, (p, k)) * np.sqrt(np.clip(diag, 1e-6, None))[:, None]
     psi = np.clip(diag, 1e-6, None).copy()
-    for _ in range(rounds):
+    change = np.inf
+    while change > tolerance:
+        before = psi
         beta = factor_projection(w, psi)
         ezz = np.eye(k) - beta @ w + beta @ second @ beta.T
         w = second @ beta.T @ np.linalg.inv(ezz)
         psi = np.clip(diag - np.einsum("ij,ji->i", w, beta @ second), 1e-4, None)
+        change = float(np.max(np.abs(psi - before) / before))
     return w, psi
 
 
@@ -243,7 +246,7 @@ def fit_factor_gate(ref: DataFrame, sensors: Sequence[str], k: int = N_FACTORS,
         w, psi = _factor_em(second, k, seed + s)
         # written once: the mixture fit reads the scores many times
         scored = spool(factor_score(ref.select(*sensors), sensors, w, psi).select("z")).select(array_to_vector("z").alias("z"))
-        gm = GaussianMixture(k=max(1, min(modes, m.n)), featuresCol="z", seed=seed + s, maxIter=50).fit(scored)
+        gm = GaussianMixture(k=max(1, min(modes, m.n)), featuresCol="z", seed=seed + s, maxIter=10_000).fit(scored)  # ends by its tolerance
         rows = gm.gaussiansDF.collect()  # one row per mode
         covs = np.array([r["cov"].toArray() for r in rows]) + 1e-4 * np.eye(k)
         members.append((w, psi, Mixture(np.array(gm.weights), np.array([r["mean"].toArray() for r in rows]), covs)))
@@ -307,7 +310,7 @@ def ooc_severity(ref: DataFrame, rows: DataFrame, keys: Sequence[str], uppers: S
         .groupBy("stat", "_x")
         .agg(F.sum("_r").alias("_c"))
     )
-    share = running_totals(counts, ["stat"], ["_x"], {"_cum": "_c"}).join(n_ref, "stat").select(
+    share = join_keys(running_totals(counts, ["stat"], ["_x"], {"_cum": "_c"}), n_ref, ["stat"]).select(
         "stat", "_x", (F.col("_cum") / F.col("_n")).alias("_share")
     )
     return row_long.join(share, ["stat", "_x"]).groupBy(*keys).agg(F.max("_share").alias("severity"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
 from ..session import spool
-from .frame import exact_quantile_array, running_totals
+from .frame import exact_quantile_array, join_keys, running_totals
 from .split import bootstrap_samples
 
 MIN_POSITIVES = 5
@@ -117,7 +117,7 @@ def pr_curve(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     c = ranked_counts(scores, by)
     totals = c.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     base = (F.col("_p") / (F.col("_p") + F.col("_n"))).alias("baseline")
-    points = c.join(totals, list(by)).select(
+    points = join_keys(c, totals, by).select(
         *by,
         F.col("y_score").alias("threshold"),
         ratio(F.col("tp"), F.col("_p"), 1.0).alias("recall"),
@@ -150,32 +150,24 @@ def pr_curve_payload(cv: DataFrame, holdout: DataFrame, by: Sequence[str], thres
     return parts[0].unionByName(parts[1]).unionByName(point.select(cols))
 
 
-def operating_curve(scores: DataFrame, by: Sequence[str], cap: int = 400) -> DataFrame:
-    """Catch and overkill at each distinct score clipped to [0, 1] and at 0 and 1.
-
-    A key with more than `cap` distinct scores is read at `cap` quantiles of them instead.
-    """
+def _score_cells(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     clipped = scores.withColumn("y_score", F.greatest(F.least("y_score", F.lit(1.0)), F.lit(0.0)))
-    merged = clipped.groupBy(*by, "y_score").agg(
-        F.sum("y_true").alias("pos"), F.sum(1 - F.col("y_true")).alias("neg")
-    )
-    sizes = merged.groupBy(*by).agg(F.count(F.lit(1)).alias("_d"))
-    few = merged.join(sizes.where(F.col("_d") <= cap), list(by)).select(*by, "y_score")
-    many = merged.join(sizes.where(F.col("_d") > cap), list(by), "left_semi")
-    q = exact_quantile_array(many, by, "y_score", [i / (cap - 1) for i in range(cap)], "_q")
-    many_grid = q.select(*by, F.explode("_q").alias("y_score"))
-    ends = sizes.select(*by, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("y_score"))
-    grid = few.unionByName(many_grid).unionByName(ends).select(
-        *by, "y_score", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"), F.lit(1).alias("_g")
-    )
-    both = merged.withColumn("_g", F.lit(0)).unionByName(grid).groupBy(*by, "y_score").agg(
+    return clipped.groupBy(*by, "y_score").agg(F.sum("y_true").alias("pos"), F.sum(1 - F.col("y_true")).alias("neg"))
+
+
+def _curve_at(cells: DataFrame, grid: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rates at the scores of `grid`, and at 0 and 1, from the counts per distinct score."""
+    zero = F.lit(0).cast("long")
+    ends = cells.select(*by).distinct().select(*by, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("y_score"))
+    wanted = grid.select(*by, "y_score").unionByName(ends).select(*by, "y_score", zero.alias("pos"), zero.alias("neg"), F.lit(1).alias("_g"))
+    both = cells.withColumn("_g", F.lit(0)).unionByName(wanted).groupBy(*by, "y_score").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("_g").alias("_g")
     )
     run = running_totals(both, by, [F.col("y_score").desc()], {"tp": "pos", "fp": "neg"})
-    totals = merged.groupBy(*by).agg(
+    totals = cells.groupBy(*by).agg(
         F.greatest(F.sum("pos"), F.lit(1)).alias("_p"), F.greatest(F.sum("neg"), F.lit(1)).alias("_n")
     )
-    return run.where("_g = 1").join(totals, list(by)).select(
+    return join_keys(run.where("_g = 1"), totals, by).select(
         *by,
         F.col("y_score").alias("threshold"),
         (F.col("tp") / F.col("_p")).alias("tpr"),
@@ -183,12 +175,25 @@ def operating_curve(scores: DataFrame, by: Sequence[str], cap: int = 400) -> Dat
     )
 
 
+def operating_curve(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Catch and overkill at each distinct score clipped to [0, 1] and at 0 and 1."""
+    cells = _score_cells(scores, by)
+    return _curve_at(cells, cells, by)
+
+
+def thinned_curve(scores: DataFrame, by: Sequence[str], points: int) -> DataFrame:
+    """The operating curve read at `points` quantiles of the distinct scores, for drawing."""
+    cells = _score_cells(scores, by)
+    q = exact_quantile_array(cells, by, "y_score", [i / (points - 1) for i in range(points)], "_q")
+    return _curve_at(cells, q.select(*by, F.explode("_q").alias("y_score")), by)
+
+
 def calibration_bins(scores: DataFrame, by: Sequence[str], bins: int = 5) -> DataFrame:
     """Mean predicted against observed rate in quantile bins; empty bins do not appear."""
     edges = exact_quantile_array(scores, by, "y_score", [i / bins for i in range(1, bins)], "_edges")
     bin_no = F.size(F.filter("_edges", lambda e: e < F.col("y_score")))
     return (
-        scores.join(edges, list(by))
+        join_keys(scores, edges, by)
         .groupBy(*by, bin_no.alias("bin"))
         .agg(F.avg("y_score").alias("mean_predicted"), F.avg(F.col("y_true").cast("double")).alias("observed"), F.count(F.lit(1)).alias("n"))
     )
@@ -284,7 +289,7 @@ def profile_rows(scores: DataFrame, thresholds: DataFrame, by: Sequence[str] = (
 
     The profiles of a key are few, so each score row meets at most that many thresholds.
     """
-    joined = scores.join(thresholds, list(by))
+    joined = join_keys(scores, thresholds, by)
     keys = [*by, "profile", "threshold"]
     return holdout_metrics(confusion(joined, keys, F.col("threshold")))
 
@@ -303,7 +308,7 @@ def holdout_benchmark(
         F.first(F.array(F.array("tn", "fp"), F.array("fn", "tp"))).alias("confusion_matrix"),
     )
     default = thresholds.where("profile = 'ber'").select(*by, F.col("threshold").alias("_t"))
-    base = scores.join(default, by, "left").withColumn("_t", F.coalesce("_t", F.lit(0.5)))
+    base = join_keys(scores, default, by, "left").withColumn("_t", F.coalesce("_t", F.lit(0.5)))
     at_default = holdout_metrics(confusion(base, by, F.col("_t"))).select(
         *by, "ber_percent", "true_positive_percent", "true_negative_percent",
         F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("confusion_matrix"),

@@ -38,7 +38,7 @@ from .prep import (
     spearman_edges,
     target_priority,
 )
-from .split import class_balance_weights, positive_weights
+from .split import class_balance_weights, positive_weights, repeated_stratified_folds
 
 # Forest settings, calibration folds, draws.
 TREES, DEPTH, LEAF = 1000, 5, 10
@@ -70,14 +70,24 @@ def _ml_scorer(model, features: Sequence[str], coefficients=None, intercept=0.0)
     return Scorer(transform, coefficients, intercept)
 
 
+MOST_STEPS = 5_000
+
+
+def _settled(model):
+    """The fitted model; raises if its steps ended before they converged."""
+    if model.hasSummary and model.summary.totalIterations >= MOST_STEPS:
+        raise ArithmeticError("the fit did not converge")
+    return model
+
+
 def fit_enet(df: DataFrame, features: Sequence[str], c: float, l1_ratio: float, label: str = TARGET, weight: str = "weight") -> Scorer:
     """Elastic-net logistic regression; the penalty weighs 1/C against the summed row loss."""
     total = df.agg(F.sum(weight)).first()[0]
     lr = LogisticRegression(
         featuresCol="_x", labelCol=label, weightCol=weight, regParam=1.0 / (c * total), elasticNetParam=l1_ratio,
-        standardization=False, maxIter=200,
+        standardization=False, maxIter=MOST_STEPS,
     )
-    model = lr.fit(_assemble(df, features))
+    model = _settled(lr.fit(_assemble(df, features)))
     return _ml_scorer(model, features, dict(zip(features, map(float, model.coefficients.toArray()))), float(model.intercept))
 
 
@@ -104,20 +114,19 @@ def fit_sigmoid(scored: DataFrame, base: str = "base", label: str = TARGET) -> t
     t = F.when(F.col(label) == 1, F.lit(hi)).otherwise(F.lit(lo))
     pair = F.array(F.struct(F.lit(1.0).alias("y"), t.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - t).alias("w")))
     rows = _assemble(scored.select(base, F.inline(pair)), [base])
-    m = LogisticRegression(featuresCol="_x", labelCol="y", weightCol="w", standardization=True, maxIter=200).fit(rows)
+    m = _settled(LogisticRegression(featuresCol="_x", labelCol="y", weightCol="w", standardization=True, maxIter=MOST_STEPS).fit(rows))
     return -float(m.coefficients[0]), -float(m.intercept)
 
 
 def fit_calibrated(df: DataFrame, fit: Callable[[DataFrame], Scorer], k: int = CALIBRATION_FOLDS, label: str = TARGET, id_col: str = ID) -> tuple[Scorer, list[tuple[float, float]]]:
     """k models, each fitted without one fold and calibrated on it; the score is their mean."""
-    folds = df.withColumn("_fold", hash_fold(k, id_col=id_col)).persist()
-    try:
-        parts = []
-        for i in range(k):
-            model = fit(folds.where(F.col("_fold") != i))
-            parts.append((model, fit_sigmoid(model.score(folds.where(F.col("_fold") == i), "base"), label=label)))
-    finally:
-        folds.unpersist()
+    # Folds hold the same share of fails each, so that no sigmoid sees one class only.
+    numbered = repeated_stratified_folds(df, k, 1, label=label, id_col=id_col)
+    folds = spool(numbered.withColumnRenamed("fold", "_fold").drop("repeat"))
+    parts = []
+    for i in range(k):
+        model = fit(folds.where(F.col("_fold") != i))
+        parts.append((model, fit_sigmoid(model.score(folds.where(F.col("_fold") == i), "base"), label=label)))
 
     def transform(rows: DataFrame, name: str) -> DataFrame:
         out = rows
@@ -135,12 +144,13 @@ def fit_calibrated(df: DataFrame, fit: Callable[[DataFrame], Scorer], k: int = C
 
 def poisson_weight(seed: int, draw: int, id_col: str = ID) -> Column:
     """Copies of a row in a bootstrap draw: Poisson(1) from the md5 of (seed, draw, id)."""
-    u = hash_draw(hash_order(f"{seed}:{draw}", id_col)) / F.lit(2.0**32)
-    out, cum, p = F.lit(0), 0.0, float(np.exp(-1.0))
-    for k in range(12):
+    u = hash_draw(hash_order(f"{seed}:{draw}", id_col)) / F.lit(2.0**60)
+    out, cum, p, k = F.lit(0), 0.0, float(np.exp(-1.0)), 0
+    while cum + p > cum:  # until the next chance no longer shows in a double
         cum += p
         out = F.when(u >= cum, F.lit(k + 1)).otherwise(out)
-        p /= k + 1
+        k += 1
+        p /= k
     return out.cast("double")
 
 
@@ -303,20 +313,31 @@ def oof_scores(folds: DataFrame, fit: Callable[[DataFrame], Scorer], label: str
     return out.groupBy("id").agg(F.max_by("y_true", "repeat").alias("y_true"), F.max_by("y_score", "repeat").alias("y_score"))
 
 
-def grid_search(folds: DataFrame, fit: Callable[..., Scorer], grid: Mapping[str, Sequence], label: str = TARGET, id_col: str = ID, threshold: float = 0.5) -> DataFrame:
-    """All parameter sets x folds: one row each with the five metrics; a failed fit gives nulls."""
+# What a fit raises when its numbers, not the cluster, are at fault.
+NUMERIC_ERRORS = (ArithmeticError, ValueError, np.linalg.LinAlgError)
+
+
+def grid_search(
+    folds: DataFrame, fit: Callable[..., Scorer], grid: Mapping[str, Sequence], label: str = TARGET, id_col: str = ID, threshold: float = 0.5,
+    tolerate: tuple[type[Exception], ...] = (),
+) -> DataFrame:
+    """All parameter sets x folds: one row each with the five metrics.
+
+    An error ends the search, but for those in `tolerate` (NUMERIC_ERRORS for the kernel and draw-based cells), whose
+    row has nulls.
+    """
     pairs = sorted((r.repeat, r.fold) for r in folds.select("repeat", "fold").distinct().collect())
     names = list(grid)
     spark = folds.sparkSession
     failed, out = [], None
-    kept = folds.persist()
+    kept = spool(folds)
     for values in product(*grid.values()):
         params = dict(zip(names, values))
         for rep, fold in pairs:
             here = kept.where(F.col("repeat") == rep)
             try:
                 scorer = fit(here.where(F.col("fold") != fold), **params)
-            except Exception:  # a fragile cell must not end the sweep
+            except tolerate:
                 failed.append((*map(float, values), rep, fold))
                 continue
             part = scorer.score(here.where(F.col("fold") == fold), "y_score").select(
@@ -335,5 +356,4 @@ def grid_search(folds: DataFrame, fit: Callable[..., Scorer], grid: Mapping[str,
         schema = ", ".join([f"{n} double" for n in names] + ["repeat int", "fold int"])
         lost = spark.createDataFrame(failed, schema).select(*keys, *[F.lit(None).cast("double").alias(c) for c in cols])
         result = lost if result is None else result.unionByName(lost)
-    kept.unpersist()
     return result

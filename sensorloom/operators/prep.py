@@ -104,7 +104,7 @@ def target_priority(df: DataFrame, sensors: Sequence[str], label: str = TARGET)
     return r.select(F.col("sensor").alias("feature"), F.row_number().over(w).alias("place"))
 
 
-def corr_prune(edges: DataFrame, priority: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def corr_prune(edges: DataFrame, priority: DataFrame) -> DataFrame:
     """`(feature, leader, kept)`: walk features by place; each undecided one leads, its correlated
     undecided neighbours drop.
 
@@ -119,7 +119,7 @@ def corr_prune(edges: DataFrame, priority: DataFrame, max_rounds: int = 10_000)
     )
     links = spool(links)
     open_, kept = spool(priority), None
-    for _ in range(max_rounds):
+    while True:  # each round decides a feature
         live = links.join(open_.select(F.col("feature").alias("b")), "b", "left_semi")
         best = live.groupBy(F.col("a").alias("feature")).agg(F.min("b_place").alias("_best"))
         lead = spool(
@@ -134,8 +134,6 @@ def corr_prune(edges: DataFrame, priority: DataFrame, max_rounds: int = 10_000)
         )
         if open_.isEmpty():
             break
-    else:
-        raise RuntimeError("pruning did not finish")
     leaders = (
         links.join(kept.select(F.col("feature").alias("b")), "b", "left_semi")
         .groupBy(F.col("a").alias("feature"))
@@ -177,14 +175,15 @@ def rf_top_k(df: DataFrame, features: Sequence[str], k: int, label: str = TARGET
     return df.sparkSession.createDataFrame(rows, "feature string, importance double, rank int, selected boolean")
 
 
+SMALLEST_BLOCK = 4  # rows
+
+
 def _block_hsic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Normalised HSIC of each column of x with the label inside one block of rows.
 
     Gaussian kernel on standardised values for x, equality kernel for the label.
     """
     n = len(y)
-    if n < 4:
-        return np.full(x.shape[1], np.nan)
     center = np.eye(n) - 1.0 / n
     ly = (y[:, None] == y[None, :]) / np.where(y == 1, max((y == 1).sum(), 1), max((y != 1).sum(), 1))[:, None]
     ly = center @ ly @ center
@@ -211,15 +210,32 @@ def dependence_top_k(df: DataFrame, features: Sequence[str], k: int, block: int
     n = df.count()
     blocks = max(1, math.ceil(n / block))
     names = list(features)
+    number = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
+    # A block by chance too short for a kernel matrix joins the next one; one row per block goes to the driver.
+    sizes = dict(df.groupBy(number.alias("b")).count().collect())
+    to, short = list(range(blocks)), 0
+    for i in range(blocks - 1):
+        short += sizes.get(i, 0)
+        if short < SMALLEST_BLOCK:
+            to[i] = -1
+        else:
+            short = 0
+    last = blocks - 1
+    if short + sizes.get(last, 0) < SMALLEST_BLOCK and any(t >= 0 for t in to[:-1]):
+        to[last] = max(t for t in to[:-1] if t >= 0)
+    for i in range(blocks - 2, -1, -1):
+        to[i] = to[i + 1] if to[i] < 0 else to[i]
+    moved = {i: t for i, t in enumerate(to) if i != t}
+    target = F.create_map(*[F.lit(v) for pair in moved.items() for v in pair])[number] if moved else F.lit(None).cast("int")
     rows = df.select(
-        F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("_block"), F.col(label).cast("int").alias("_y"), vector(names).alias("_x")
+        F.coalesce(target, number).alias("_block"), F.col(label).cast("int").alias("_y"), vector(names).alias("_x")
     )
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         hsic = _block_hsic(np.stack(pdf["_x"].to_numpy()), pdf["_y"].to_numpy())
         return pd.DataFrame({"feature": names, "hsic": hsic, "rows": float(len(pdf))})
 
-    parts = rows.groupBy("_block").applyInPandas(score, "feature string, hsic double, rows double").where("not isnan(hsic)")
+    parts = rows.groupBy("_block").applyInPandas(score, "feature string, hsic double, rows double")
     mean = parts.groupBy("feature").agg((F.sum(F.col("hsic") * F.col("rows")) / F.sum("rows")).alias("dependence"))
     w = Window.orderBy(F.desc("dependence"), "feature")  # one row per column
     return mean.withColumn("rank", F.row_number().over(w)).withColumn("selected", F.col("rank") <= k)
@@ -231,22 +247,24 @@ def hub_pairs(df: DataFrame, hubs: Sequence[str]) -> DataFrame:
 
 
 def ledoit_wolf(df: DataFrame, m: Moments) -> tuple[np.ndarray, float]:
-    """Shrunk covariance and the shrinkage, from the moments and one more sum over the rows."""
-    n, p = m.n, len(m.names)
-    s = m.cov * (n - 1) / n
-    sq = F.lit(0.0)
-    centred = [F.pow(F.col(c) - F.lit(float(mu)), 2) for c, mu in zip(m.names, m.mean)]
-    sq = F.aggregate(F.array(*centred), F.lit(0.0), lambda a, x: a + x)
-    norms4 = df.agg(F.sum(F.pow(sq, 2))).first()[0]
-    mu = np.trace(s) / p
-    delta_ = (s**2).sum()
-    beta = (norms4 / n - delta_) / (p * n)
-    delta = (delta_ - 2 * mu * np.trace(s) + p * mu**2) / p
-    beta = min(beta, delta)
-    shrinkage = 0.0 if beta == 0 else beta / delta
-    out = (1 - shrinkage) * s
-    out[np.diag_indices(p)] += shrinkage * mu
-    return out, float(shrinkage)
+    """Covariance shrunk towards a multiple of the identity, and the share of the latter.
+
+    The published estimator: the share is the mean squared error of the sample covariance over its squared distance
+    from the target, both in the norm tr(A A') / p; the error is the spread of the rows' own outer products, which
+    needs one more sum over the rows, of their squared lengths squared.
+    """
+    p = len(m.names)
+    sample = m.cov * (m.n - 1) / m.n
+    level = float(np.diag(sample).mean())
+    target = level * np.eye(p)
+    length = F.aggregate(
+        F.array(*[F.pow(F.col(c) - F.lit(float(at)), 2) for c, at in zip(m.names, m.mean)]), F.lit(0.0), lambda a, x: a + x
+    )
+    mean_fourth = df.agg(F.avg(F.pow(length, 2))).first()[0]
+    distance = float(((sample - target) ** 2).mean() * p)
+    error = (mean_fourth - float((sample**2).sum())) / (p * m.n)
+    share = min(error / distance, 1.0) if distance > 0 else 0.0
+    return share * target + (1 - share) * sample, share
 
 
 def t2_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:

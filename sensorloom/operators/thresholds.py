@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frame import join_keys
 from .metrics import PROFILES, confusion, holdout_metrics, operating_curve
 
 # The threshold grid, the band width in BER points, the cost of an escape in overkills.
@@ -125,7 +126,7 @@ def threshold_profiles(scores: DataFrame, by: Sequence[str] = ("pipeline",), fol
 def profile_at_threshold(scores: DataFrame, thresholds: DataFrame, by: Sequence[str] = ("pipeline",), fold: str = "fold") -> DataFrame:
     """Mean and population SD over folds of the rates at each profile's threshold."""
     keys = [*by, "profile", "threshold"]
-    rates = holdout_metrics(confusion(scores.join(thresholds, list(by)), [*keys, fold], F.col("threshold")))
+    rates = holdout_metrics(confusion(join_keys(scores, thresholds, by), [*keys, fold], F.col("threshold")))
     return rates.groupBy(*keys).agg(
         F.avg("ber_percent").alias("mean_ber_percent"),
         F.stddev_pop("ber_percent").alias("std_ber_percent"),
@@ -134,12 +135,12 @@ def profile_at_threshold(scores: DataFrame, thresholds: DataFrame, by: Sequence[
     )
 
 
-def expected_cost_curve(scores: DataFrame, by: Sequence[str], cap: int = 400, cost_ratio: float = COST_RATIO) -> DataFrame:
-    """Cost over the operating grid; `is_minimum` marks the cheapest, the lowest on a tie."""
-    curve = operating_curve(scores, by, cap).join(prevalence_of(scores, by), list(by))
+def expected_cost_curve(scores: DataFrame, by: Sequence[str], cost_ratio: float = COST_RATIO) -> DataFrame:
+    """Cost at each distinct score; `is_minimum` marks the cheapest, the lowest on a tie."""
+    curve = join_keys(operating_curve(scores, by), prevalence_of(scores, by), by)
     cost = curve.select(*by, "threshold", expected_cost(F.col("prevalence"), F.col("tpr"), 1 - F.col("fpr"), cost_ratio).alias("cost"))
     best = cost.groupBy(*by).agg(F.min_by("threshold", F.struct("cost", "threshold")).alias("_best"))
-    return cost.join(best, list(by)).select(*by, "threshold", "cost", (F.col("threshold") == F.col("_best")).alias("is_minimum"))
+    return join_keys(cost, best, by).select(*by, "threshold", "cost", (F.col("threshold") == F.col("_best")).alias("is_minimum"))
 
 
 def resolve_thresholds(stored: DataFrame, pipelines: DataFrame, tracks: Mapping[str, str] = DEPLOY_PROFILE) -> DataFrame:

@@ -14,10 +14,10 @@ from . import sql
 from .catalog import query
 from .sql import CELLS, ERA, WAFER, with_
 
-SIX, W = g.SIX, g.W
+GIVEN, W = g.GIVEN, g.W
 BASE = (WAFER, CELLS)
 # coefficients per sensor and per component, and draws: given parameters
-COEF = {s: round(0.3 * (-1) ** i * (i + 1), 6) for i, s in enumerate(SIX)}
+COEF = {s: round(0.3 * (-1) ** i * (i + 1), 6) for i, s in enumerate(GIVEN)}
 COMP = [0.8, -0.5]
 DRAWS = np.array([[round(0.4 + 0.1 * ((d * 7) % 11) - 0.3, 6), round(-0.2 + 0.05 * ((d * 5) % 9), 6)] for d in range(20)])
 
@@ -56,13 +56,13 @@ LOCAL = (
 def _scored(spark, sf):
     from ..operators.linalg import dense, vector
 
-    z = dense(lambda x: x @ W, "array<double>")(vector(SIX))
+    z = dense(lambda x: x @ W, "array<double>")(vector(GIVEN))
     return g._x(spark, sf).select("raw_row_id", "target", z.alias("z")).select("raw_row_id", "target", F.col("z")[0].alias("pls_0"), F.col("z")[1].alias("pls_1"))
 
 
 @query("backproject_local", with_(*BASE, *g.PCA, COMPS, *LOCAL, final=f"select * from (select raw_row_id, feature, {sql.r6('contribution')} as contribution, row_number() over (partition by raw_row_id order by abs(contribution) desc, feature)::int as rank from bp) where rank <= 5"))
 def _(spark, sf):
-    out = attribution.backproject_local(_scored(spark, sf), ["pls_0", "pls_1"], COMP, W, SIX, ["raw_row_id"])
+    out = attribution.backproject_local(_scored(spark, sf), ["pls_0", "pls_1"], COMP, W, GIVEN, ["raw_row_id"])
     return out.withColumn("contribution", r6("contribution"))
 
 
@@ -77,13 +77,13 @@ def _importance(spark, sf):
 
 @query("backproject_global", with_(*BASE, *g.PCA, IMP, final=f"select sensor as feature, {sql.r6('sum(abs(w) * importance)')} as importance from load join imp using (k) group by 1"))
 def _(spark, sf):
-    return attribution.backproject_global(loadings_table(spark, W, SIX), _importance(spark, sf)).withColumn("importance", r6("importance"))
+    return attribution.backproject_global(loadings_table(spark, W, GIVEN), _importance(spark, sf)).withColumn("importance", r6("importance"))
 
 
 @query("backproject_global_signed", with_(*BASE, *g.PCA, IMP, "c as (select sensor as feature, sum(w * importance) as coefficient from load join imp using (k) group by 1)",
     final=f"select feature, {sql.r6('coefficient')} as coefficient from (select * from (select * from c where coefficient > 0 order by coefficient desc, feature limit 2) union all select * from (select * from c where coefficient < 0 order by coefficient, feature limit 2))"))
 def _(spark, sf):
-    c = attribution.backproject_global(loadings_table(spark, W, SIX), _importance(spark, sf), signed=True)
+    c = attribution.backproject_global(loadings_table(spark, W, GIVEN), _importance(spark, sf), signed=True)
     return ordering.signed_top(c, "coefficient", "feature", 2).withColumn("coefficient", r6("coefficient"))
 
 
@@ -103,16 +103,16 @@ def _round_interval(df):
     return df.withColumns({c: r6(c) for c in ("mean", "hdi_low", "hdi_high", "abs_mean")})
 
 
-@query("posterior_backproject", with_(*BASE, *g.PCA, DATA_DRAWS, "sd as (select draw, sensor as feature, sum(beta * w) as b from dd join load using (k) group by 1, 2)", final=f"select feature, {INTERVAL} from sd group by feature"))
+@query("posterior_backproject", with_(*BASE, *g.PCA, DATA_DRAWS, "sd as (select draw, sensor as feature, sum(beta * w) as b from dd join load using (k) group by 1, 2)", final=f"select feature, {INTERVAL} from sd group by feature order by abs(avg(b)) desc, feature limit {attribution.GLOBAL_TOP}"))
 def _(spark, sf):
-    return _round_interval(attribution.posterior_backproject(_data_draws(spark, sf), loadings_table(spark, W, SIX)))
+    return _round_interval(attribution.posterior_backproject(_data_draws(spark, sf), loadings_table(spark, W, GIVEN)))
 
 
 @query("posterior_backproject_rows", with_(*BASE, *g.PCA, DRAW, "tot as (select k, sum(abs(w)) as s from load group by 1)",
     "sd as (select raw_row_id, draw, sensor as feature, sum(t * beta * w / s) as b from t join draws using (k) join load using (k) join tot using (k) group by 1, 2, 3)",
     f"iv as (select raw_row_id, feature, {INTERVAL}, row_number() over (partition by raw_row_id order by abs(avg(b)) desc, feature)::int as rank from sd group by 1, 2)", final="select * from iv where rank <= 3"))
 def _(spark, sf):
-    out = attribution.posterior_backproject_rows(_scored(spark, sf), ["pls_0", "pls_1"], DRAWS, W, SIX, ["raw_row_id"], 3)
+    out = attribution.posterior_backproject_rows(_scored(spark, sf), ["pls_0", "pls_1"], DRAWS, W, GIVEN, ["raw_row_id"], 3)
     return _round_interval(out)
 
 
@@ -127,7 +127,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = _data_draws(spark, sf).select("draw", F.col("k").cast("string").alias("feature"), "beta")
     comps = attribution.coef_summary(d).select(F.col("feature").cast("int").alias("k"), "mean", "robust")
-    return attribution.robust_sensor_map(loadings_table(spark, W, SIX), comps)
+    return attribution.robust_sensor_map(loadings_table(spark, W, GIVEN), comps)
 
 
 CALIB = [(0, -4.0, 1.5), (1, -3.5, 1.2), (2, -5.0, 2.0)]
@@ -228,15 +228,15 @@ REC = (WAFER, CELLS, *SHIFTS, ERA, drifts.REF, drifts.SPC, *g.PCA, *[c for c in
 
 def _enriched(spark, sf):
     contrib = _contrib(spark, sf)
-    dr = drifts._drift(spark, sf).where(F.col("sensor").isin(*SIX))
-    groups = spark.createDataFrame([(s, f"G{i % 3}") for i, s in enumerate(SIX[:4])], "sensor string, group string")
-    z = drifts.spc_z(spark, sf).where(F.col("sensor").isin(*SIX))
+    dr = drifts._drift(spark, sf).where(F.col("sensor").isin(*GIVEN))
+    groups = spark.createDataFrame([(s, f"G{i % 3}") for i, s in enumerate(GIVEN[:4])], "sensor string, group string")
+    z = drifts.spc_z(spark, sf).where(F.col("sensor").isin(*GIVEN))
     e = attribution.enrich_contributors(contrib, dr, groups, z, "raw_row_id", limit=0.05)
-    robust = loadings_table(spark, W, SIX).where("k = 1").select("sensor", (F.col("w") > 0).alias("robust"))
+    robust = loadings_table(spark, W, GIVEN).where("k = 1").select("sensor", (F.col("w") > 0).alias("robust"))
     return attribution.annotate_robust(e, robust)
 
 
-@query("enrich_contributors", with_(*REC, final=f"select raw_row_id, rank, feature, {sql.r6('spc_z')} as spc_z, {sql.r6('drift_shift')} as drift_shift, drift_flag, " + "coalesce(case feature " + " ".join(f"when '{s}' then 'G{i % 3}'" for i, s in enumerate(SIX[:4])) + " end, '—') as \"group\" from en"))
+@query("enrich_contributors", with_(*REC, final=f"select raw_row_id, rank, feature, {sql.r6('spc_z')} as spc_z, {sql.r6('drift_shift')} as drift_shift, drift_flag, " + "coalesce(case feature " + " ".join(f"when '{s}' then 'G{i % 3}'" for i, s in enumerate(GIVEN[:4])) + " end, '—') as \"group\" from en"))
 def _(spark, sf):
     return _enriched(spark, sf).select("raw_row_id", "rank", "feature", r6("spc_z").alias("spc_z"), r6("drift_shift").alias("drift_shift"), "drift_flag", "group")
 

@@ -81,7 +81,7 @@ FZ = "fz as (select raw_row_id, k, case when k = 1 then z1 else z2 end as score,
 def _(spark, sf):
     z = split.temporal_split(g._factor(spark, sf).select("raw_row_id", "measurement_ts", "z"))
     long = z.select((F.col("split") == "test").alias("h"), F.posexplode("z").alias("_i", "score")).withColumn("k", F.col("_i") + 1)
-    top = ordering.top_loading_sensors(g.loadings_table(spark, g.W, g.SIX))
+    top = ordering.top_loading_sensors(g.loadings_table(spark, g.W, g.GIVEN))
     out = drift.factor_drift_ranking(long, F.col("h"), top)
     return out.select("k", r6("ks_distance").alias("ks_distance"), r6("mean_shift").alias("mean_shift"), "top_sensors", "rank")
 

@@ -14,18 +14,19 @@ from . import sql
 from .catalog import query
 from .sql import CELLS, ERA, WAFER, with_
 
-SIX = ["c_1", "c_2", "c_3", "c_6", "c_7", "c_10"]
-W = np.array([[0.6, 0.1], [0.5, -0.2], [0.4, 0.3], [0.3, 0.6], [-0.2, 0.5], [0.1, -0.4]])
+# Given parameters by rule, for all sensors of the shape.
+GIVEN = list(fx.SENSORS)
+W = np.array([[round(((i * 7 + 3 * k) % 13 - 6) / 40 + (i + 1) * 0.0007, 6) for k in (0, 2)] for i in range(len(GIVEN))])
 LAMBDA = np.array([0.9, 0.5])
-PSI = np.array([0.05, 0.2, 0.1, 0.4, 0.3, 0.15])
+PSI = np.array([round(0.05 + 0.05 * (i * 5 % 8), 6) for i in range(len(GIVEN))])
 MIX = gates.Mixture(np.array([0.6, 0.4]), np.array([[0.0, 0.1], [0.5, -0.3]]), np.array([[[0.5, 0.1], [0.1, 0.4]], [[0.8, -0.2], [-0.2, 0.6]]]))
-LIMITS = {"t2": 0.6, "q": 1.4}
-DENSITY_LCL, FACTOR_Q = -2.0, 1.2
+LIMITS = {"t2": 5.3, "q": 366.0}
+DENSITY_LCL, FACTOR_Q = -42.0, 360.0
 
-LOAD = sql.values([(s, k + 1, float(W[i, k])) for i, s in enumerate(SIX) for k in range(2)], "load", "sensor, k, w")
+LOAD = sql.values([(s, k + 1, float(W[i, k])) for i, s in enumerate(GIVEN) for k in range(2)], "load", "sensor, k, w")
 EIG = sql.values([(k + 1, float(v)) for k, v in enumerate(LAMBDA)], "eig", "k, lam")
-NOISE = sql.values([(s, float(v)) for s, v in zip(SIX, PSI)], "noise", "sensor, psi")
-X = "xs as (select raw_row_id, measurement_ts, target, sensor, 4 * coalesce(value, 0) as x from cells where sensor in (" + ", ".join(f"'{s}'" for s in SIX) + "))"
+NOISE = sql.values([(s, float(v)) for s, v in zip(GIVEN, PSI)], "noise", "sensor, psi")
+X = "xs as (select raw_row_id, measurement_ts, target, sensor, 4 * coalesce(value, 0) as x from cells where sensor in (" + ", ".join(f"'{s}'" for s in GIVEN) + "))"
 PCA = (
     LOAD, EIG, X,
     "t as (select raw_row_id, k, sum(x * w) as t from xs join load using (sensor) group by 1, 2)",
@@ -57,17 +58,17 @@ BASE = (WAFER, CELLS)
 
 def _x(spark, sf):
     w = fx.wafers(spark, sf)
-    return w.select("raw_row_id", "measurement_ts", "target", *[(4 * F.coalesce(c, F.lit(0.0))).alias(c) for c in SIX])
+    return w.select("raw_row_id", "measurement_ts", "target", *[(4 * F.coalesce(c, F.lit(0.0))).alias(c) for c in GIVEN])
 
 
 def _pca(spark, sf):
-    w = loadings_matrix(loadings_table(spark, W, SIX), SIX)
-    return gates.t2_q_score(_x(spark, sf), SIX, np.zeros(6), w, LAMBDA).drop(*SIX)
+    w = loadings_matrix(loadings_table(spark, W, GIVEN), GIVEN)
+    return gates.t2_q_score(_x(spark, sf), GIVEN, np.zeros(len(GIVEN)), w, LAMBDA).drop(*GIVEN)
 
 
 def _factor(spark, sf):
-    scored = gates.factor_score(_x(spark, sf), SIX, W, PSI)
-    return gates.mixture_log_density(scored, "z", MIX).drop(*SIX)
+    scored = gates.factor_score(_x(spark, sf), GIVEN, W, PSI)
+    return gates.mixture_log_density(scored, "z", MIX).drop(*GIVEN)
 
 
 @query("t2_q_score", with_(*BASE, *PCA, final=f"select raw_row_id, {sql.r6('t2')} as t2, {sql.r6('q')} as q from stat"))
@@ -77,12 +78,12 @@ def _(spark, sf):
 
 @query("residuals", with_(*BASE, *PCA, final=f"select raw_row_id, sensor, {sql.r6('resid')} as resid from resid"))
 def _(spark, sf):
-    return gates.residuals(_x(spark, sf), SIX, np.zeros(6), W, ["raw_row_id"]).withColumn("resid", r6("resid"))
+    return gates.residuals(_x(spark, sf), GIVEN, np.zeros(len(GIVEN)), W, ["raw_row_id"]).withColumn("resid", r6("resid"))
 
 
 @query("factor_score", with_(*BASE, *FACTOR, final=f"select raw_row_id, {sql.r6('z1')} as z1, {sql.r6('z2')} as z2, {sql.r6('q')} as q from z join fq using (raw_row_id)"))
 def _(spark, sf):
-    f = gates.factor_score(_x(spark, sf), SIX, W, PSI)
+    f = gates.factor_score(_x(spark, sf), GIVEN, W, PSI)
     return f.select("raw_row_id", r6(F.col("z")[0]).alias("z1"), r6(F.col("z")[1]).alias("z2"), r6("q").alias("q"))
 
 
@@ -192,7 +193,7 @@ def _(spark, sf):
 @query("gate_conditional_interval")
 def _(spark, sf):
     flags = _flags(spark, sf).select(F.col("raw_row_id").alias("id"), "ooc")
-    return gates.gate_conditional(_gscores(spark, sf), flags, n_boot=20)
+    return gates.gate_conditional(_gscores(spark, sf), flags, n_boot=1000)
 
 
 KEPT = (
@@ -252,11 +253,11 @@ def _(spark, sf):
 BOTH = (*BASE, *PCA, *[c for c in FACTOR if c not in (LOAD, X)], DENSITY)
 
 
-@query("gate_disagreement", with_(*BOTH, "j as (select t2 > 0.6 as p, density < -2.0 as b from stat join dens using (raw_row_id) join wafer using (raw_row_id) where target = 0)",
+@query("gate_disagreement", with_(*BOTH, f"j as (select t2 > {LIMITS['t2']} as p, density < {DENSITY_LCL} as b from stat join dens using (raw_row_id) join wafer using (raw_row_id) where target = 0)",
     final="select count(*) as n_total, count(*) filter (p and not b) as pca_only, count(*) filter (not p and b) as bgm_only, count(*) filter (p and b) as both, count(*) filter (not p and not b) as neither from j"))
 def _(spark, sf):
     j = _pca(spark, sf).where("target = 0").select("raw_row_id", "t2").join(_factor(spark, sf).select("raw_row_id", "density"), "raw_row_id")
-    return gates.gate_disagreement(j, F.col("t2") > 0.6, F.col("density") < DENSITY_LCL)
+    return gates.gate_disagreement(j, F.col("t2") > LIMITS["t2"], F.col("density") < DENSITY_LCL)
 
 
 PSI_FIT = "psi as (select sensor, var_pop(value) as psi from cells where sensor <> 'c_13' group by sensor)"
@@ -280,10 +281,10 @@ EXAMPLE = ("ex as (select raw_row_id from fq order by q desc, raw_row_id limit 1
 
 def _example(spark, sf):
     x = _x(spark, sf)
-    top = gates.example_row(gates.factor_score(x, SIX, W, PSI), "q", "raw_row_id").select("raw_row_id", *SIX)
-    p = gates.residuals(top, SIX, np.zeros(6), W, ["raw_row_id"]).withColumnRenamed("resid", "pca_resid")
-    f = gates.factor_residuals(top, SIX, W, PSI, ["raw_row_id"]).withColumnRenamed("resid", "sbfa_resid")
-    psi = spark.createDataFrame([(s, float(v)) for s, v in zip(SIX, PSI)], "sensor string, psi double")
+    top = gates.example_row(gates.factor_score(x, GIVEN, W, PSI), "q", "raw_row_id").select("raw_row_id", *GIVEN)
+    p = gates.residuals(top, GIVEN, np.zeros(len(GIVEN)), W, ["raw_row_id"]).withColumnRenamed("resid", "pca_resid")
+    f = gates.factor_residuals(top, GIVEN, W, PSI, ["raw_row_id"]).withColumnRenamed("resid", "sbfa_resid")
+    psi = spark.createDataFrame([(s, float(v)) for s, v in zip(GIVEN, PSI)], "sensor string, psi double")
     return p.join(f, ["raw_row_id", "sensor"]).join(psi, "sensor")
 
 
@@ -316,7 +317,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..operators.linalg import dense
 
-    z = gates.factor_score(_x(spark, sf), SIX, W, PSI).select("z")
+    z = gates.factor_score(_x(spark, sf), GIVEN, W, PSI).select("z")
     parts = [gates.Mixture(MIX.weights[c : c + 1], MIX.means[c : c + 1], MIX.covs[c : c + 1]) for c in range(2)]
     mode = dense(lambda v: 1.0 + (parts[1].log_density(v) > parts[0].log_density(v)), "double")
     counts = z.select(mode(F.col("z")).cast("int").alias("mode")).groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
@@ -416,7 +417,7 @@ def gate_space(spark, sf):
 
 @query("gate_matrix", with_(*BASE, ERA, prep_plans.TRAIN_CELLS, prep_plans.MEDIANS, prep_plans.FILLED, *prep_plans.RANKED, prep_plans.PRIORITY,
     "med2 as (select sensor, median(value) as center, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from tf group by sensor)",
-    "dropped as materialized (select case when pa.place < pb.place then b else a end as sensor from rho join prio pa on pa.feature = a join prio pb on pb.feature = b where abs(r) > 0.95)",
+    "dropped as materialized (select case when pa.place < pb.place then b else a end as sensor from rho join prio pa on pa.feature = a join prio pb on pb.feature = b where abs(r) > 0.99)",
     final=f"select raw_row_id, sensor, {sql.r6('greatest(least((value - center) / case when q3 = q1 then 1 else q3 - q1 end, 5), -5)')} as value from filled join med2 using (sensor) where sensor not in (select sensor from dropped)"))
 def _(spark, sf):
     from ..operators.frame import melt
@@ -438,6 +439,6 @@ def _(spark, sf):
 def _(spark, sf):
     s, space = gate_space(spark, sf)
     m = gates.gate_matrix(s, space)
-    g = gates.fit_factor_gate(gates.passing_reference(m), space.sensors, k=4, modes=2, seeds=2)
+    g = gates.fit_factor_gate(gates.passing_reference(m), space.sensors, k=8, modes=5, seeds=5)
     scored = gates.factor_gate_score(m, g)
     return gates.gate_flags(scored, {"q": g.q_ucl}, {"density": g.density_lcl}).select("raw_row_id", "split", "density", "q", "ooc")

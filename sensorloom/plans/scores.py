@@ -124,28 +124,28 @@ def _(spark, sf):
     return _round(metrics.catch_overkill(_conf(spark, sf)))
 
 
-def _curve_sql(cap: int) -> tuple[str, ...]:
+def _curve_sql(points: int | None = None) -> tuple[str, ...]:
+    read = "select pipeline, s as t from distinct_"
+    if points:
+        read = f"select pipeline, unnest(quantile_cont(s, [{', '.join(repr(i / (points - 1)) for i in range(points))}])) as t from distinct_ group by pipeline"
     return (
         "clipped as (select *, greatest(least(y_score, 1), 0) as s from scores)",
         "distinct_ as (select distinct pipeline, s from clipped)",
-        "sizes as (select pipeline, count(*) as d from distinct_ group by 1)",
-        f"""grid as (select pipeline, s as t from distinct_ join sizes using (pipeline) where d <= {cap}
-           union select pipeline, unnest(quantile_cont(s, [{', '.join(repr(i / (cap - 1)) for i in range(cap))}])) from distinct_ join sizes using (pipeline) where d > {cap} group by pipeline
-           union select pipeline, cast(0 as double) from sizes union select pipeline, cast(1 as double) from sizes)""",
+        f"grid as ({read} union select pipeline, unnest([0.0::double, 1.0::double]) from (select distinct pipeline from scores))",
         """curve as (select g.pipeline, g.t as threshold, count(*) filter (c.y_true = 1 and c.s >= g.t) / greatest(count(*) filter (c.y_true = 1), 1)::double as tpr,
              count(*) filter (c.y_true = 0 and c.s >= g.t) / greatest(count(*) filter (c.y_true = 0), 1)::double as fpr
            from grid g join clipped c using (pipeline) group by 1, 2)""",
     )
 
 
-@query("operating_curve", with_(SCORES, *_curve_sql(400), final=f"select pipeline, {sql.r6('threshold')} as threshold, {sql.r6('tpr')} as tpr, {sql.r6('fpr')} as fpr from curve"))
+@query("operating_curve", with_(SCORES, *_curve_sql(), final=f"select pipeline, {sql.r6('threshold')} as threshold, {sql.r6('tpr')} as tpr, {sql.r6('fpr')} as fpr from curve"))
 def _(spark, sf):
     return _round(metrics.operating_curve(_scores(spark, sf), BY))
 
 
 @query("operating_curve_capped", with_(SCORES, *_curve_sql(40), final=f"select pipeline, {sql.r6('threshold')} as threshold, {sql.r6('tpr')} as tpr, {sql.r6('fpr')} as fpr from curve"))
 def _(spark, sf):
-    return _round(metrics.operating_curve(_scores(spark, sf), BY, 40))
+    return _round(metrics.thinned_curve(_scores(spark, sf), BY, 40))
 
 
 @query("calibration_bins", with_(SCORES, "edges as (select pipeline, quantile_cont(y_score, [0.2, 0.4, 0.6, 0.8]) as e from scores group by 1)",
@@ -266,7 +266,7 @@ def _(spark, sf):
     return _round(thresholds.profile_at_threshold(s, _profiles(spark, sf)))
 
 
-@query("expected_cost_curve", with_(SCORES, *_curve_sql(400), PREV,
+@query("expected_cost_curve", with_(SCORES, *_curve_sql(), PREV,
     "cost as (select pipeline, threshold, 20 * prevalence * (1 - tpr) + (1 - prevalence) * (1 - (1 - fpr)) as cost from curve join prev using (pipeline))",
     final=f"select pipeline, {sql.r6('threshold')} as threshold, {sql.r6('cost')} as cost, row_number() over (partition by pipeline order by cost, threshold) = 1 as is_minimum from cost"))
 def _(spark, sf):
@@ -302,7 +302,7 @@ def _fixed_profiles(spark, sf):
     return _scores(spark, sf).select("pipeline").distinct().select("pipeline", F.inline(pairs))
 
 
-def _holdout(spark, sf, n_boot=5):
+def _holdout(spark, sf, n_boot=1000):
     return metrics.holdout_benchmark(_scores(spark, sf), _fixed_profiles(spark, sf), n_boot)
 
 

@@ -66,11 +66,11 @@ def _(spark, sf):
     return profile.split_summary(split.temporal_split(w)).withColumn("fail_rate", r6("fail_rate"))
 
 
-N_BOOT = 10
+N_BOOT = 1000
 
 BOOT = (
     "classed as (select pipeline, y_true, id, y_score, row_number() over (partition by pipeline, y_true order by id) as rank, count(*) over (partition by pipeline, y_true) as n_class from scores)",
-    f"""slots as (select pipeline, y_true, draw, ('0x' || substr(md5('42:' || pipeline || ':' || draw || ':' || y_true || ':' || rank), 1, 8))::bigint % n_class + 1 as rank
+    f"""slots as (select pipeline, y_true, draw, ('0x' || substr(md5('42:' || pipeline || ':' || draw || ':' || y_true || ':' || rank), 1, 15))::bigint % n_class + 1 as rank
        from classed, generate_series(1, {N_BOOT}) g(draw))""",
     "drawn as (select s.pipeline, s.draw, s.y_true, c.y_score from slots s join classed c using (pipeline, y_true, rank))",
     """merged as (select pipeline, draw, y_score, sum(y_true) as pos, sum(1 - y_true) as neg from drawn group by all)""",

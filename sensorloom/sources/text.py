@@ -13,29 +13,40 @@ _LABEL_LINE = r"^\s*(\S+)\s+(\S.*?)\s*$"
 def parse_label_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """`label "timestamp"` lines; blank lines and lines without two tokens are skipped.
 
-    -1 becomes 0 (pass), any other label 1 (fail). Other columns of `lines` are kept.
+    -1 becomes 0 (pass), any other whole number 1 (fail); a label that is no whole number raises. Other columns of
+    `lines` are kept.
     """
     rest = [c for c in lines.columns if c != col]
     token = F.regexp_extract(col, _LABEL_LINE, 1)
     stamp = F.regexp_replace(F.regexp_extract(col, _LABEL_LINE, 2), '^"+|"+$', "")
     return lines.where(F.col(col).rlike(_LABEL_LINE)).select(
         *rest,
-        F.when(token == "-1", 0).otherwise(1).alias("target"),
+        F.when(token.try_cast("int") == -1, 0).otherwise(F.when(token.rlike(r"^[+-]?[0-9]+$"), 1).otherwise(_bad(token, "label"))).alias("target"),
         stamp.alias("timestamp"),
     )
 
 
+def _bad(token: Column, what: str) -> Column:
+    return F.raise_error(F.concat(F.lit(f"not a {what}: "), token)).cast("int")
+
+
 def _fields(col: str) -> Column:
+    """The numbers of a line; only the token `NaN` is missing, any other text raises."""
     return F.transform(
-        F.split(F.trim(col), r"\s+"), lambda t: F.nullif(t.try_cast("double"), F.lit(float("nan")))
+        F.split(F.trim(col), r"\s+"),
+        lambda t: F.when(t == "NaN", F.lit(None).cast("double")).otherwise(
+            F.coalesce(t.try_cast("double"), F.raise_error(F.concat(F.lit("not a number: "), t)).cast("double"))
+        ),
     )
 
 
 def parse_sensor_lines(lines: DataFrame, n_sensors: int, col: str = "value") -> DataFrame:
-    """Whitespace-separated numbers to c_0 .. c_{n-1}; `NaN` becomes null."""
+    """Whitespace-separated numbers to c_0 .. c_{n-1}; `NaN` becomes null, a line of another length raises."""
     rest = [c for c in lines.columns if c != col]
     split = lines.where(F.trim(col) != "").select(*rest, _fields(col).alias("_v"))
-    return split.select(*rest, *[F.get("_v", F.lit(i)).alias(f"c_{i}") for i in range(n_sensors)])
+    wrong = F.raise_error(F.concat(F.size("_v").cast("string"), F.lit(f" fields, not {n_sensors}"))).cast("array<double>")
+    held = split.withColumn("_v", F.when(F.size("_v") == n_sensors, F.col("_v")).otherwise(wrong))
+    return held.select(*rest, *[F.col("_v")[i].alias(f"c_{i}") for i in range(n_sensors)])
 
 
 def parse_sensor_cells(lines: DataFrame, col: str = "value") -> DataFrame:
