@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from sensorloom.session import spool_root
 
-# Pieces whose ids a worker remembers; it only saves work. When it is full, those not used since the last time are forgotten.
-MEMORY = 450_000
+# Pieces whose ids a worker remembers, about 200 bytes each; it only saves work, and is emptied when full.
+MEMORY = 1_000_000
 
 # Texts with any of these are encoded whole: repeated white space, white space but blank and line break, and the mark.
 _ODD = ["  ", " \n", "\n ", "\n\n", "\x00", *(chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n")]
@@ -51,13 +51,13 @@ def _tokenizer(path: str) -> tuple:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _workers[path] = t, {}, {}
+        _workers[path] = t, {}
     return _workers[path]
 
 
 def _encode_texts(path: str, texts: list[str]) -> list[bytes]:
     """Ids of each text, as little-endian unsigned 32-bit integers."""
-    tokenizer, known, older = _tokenizer(path)
+    tokenizer, known = _tokenizer(path)
     out: list[bytes | None] = [None] * len(texts)
     cut: list[tuple[int, list[str]]] = []
     for i, text in enumerate(texts):
@@ -67,13 +67,9 @@ def _encode_texts(path: str, texts: list[str]) -> list[bytes]:
             cut.append((i, text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")))
     new = set().union(*(pieces for _, pieces in cut)).difference(known)
     if len(known) + len(new) > MEMORY:
-        older.clear()
-        older.update(known)
         known.clear()
         new = set().union(*(pieces for _, pieces in cut))
-    again = new.intersection(older)
-    known.update((piece, older[piece]) for piece in again)
-    batch = list(new - again)
+    batch = list(new)
     if batch:
         encoded = tokenizer.encode_batch_fast(batch, add_special_tokens=False)
         known.update((piece, _as_bytes(e.ids)) for piece, e in zip(batch, encoded, strict=True))
