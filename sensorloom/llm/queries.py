@@ -34,7 +34,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_token_files")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokens.token_folder(spark)
-    tokens.write_tokens(table(spark, sf_dir, "documents"), path)
+    tokens.write_tokens(table(spark, sf_dir, "documents"), path, memory=1_000_000)
     return tokens.token_digests(spark, path)
 
 

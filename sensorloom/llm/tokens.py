@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from sensorloom.session import spool_root
 
 # Pieces whose ids a worker remembers, about 200 bytes each; it only saves work, and is emptied when full.
-MEMORY = 1_000_000
+MEMORY = 250_000
 
 # Texts with any of these are encoded whole: repeated white space, white space but blank and line break, and the mark.
 _ODD = ["  ", " \n", "\n ", "\n\n", "\x00", *(chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n")]
@@ -55,7 +55,7 @@ def _tokenizer(path: str) -> tuple:
     return _workers[path]
 
 
-def _encode_texts(path: str, texts: list[str]) -> list[bytes]:
+def _encode_texts(path: str, texts: list[str], memory: int = MEMORY) -> list[bytes]:
     """Ids of each text, as little-endian unsigned 32-bit integers."""
     tokenizer, known = _tokenizer(path)
     out: list[bytes | None] = [None] * len(texts)
@@ -66,7 +66,7 @@ def _encode_texts(path: str, texts: list[str]) -> list[bytes]:
         else:
             cut.append((i, text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")))
     new = set().union(*(pieces for _, pieces in cut)).difference(known)
-    if len(known) + len(new) > MEMORY:
+    if len(known) + len(new) > memory:
         known.clear()
         new = set().union(*(pieces for _, pieces in cut))
     batch = list(new)
@@ -86,7 +86,7 @@ def _as_bytes(ids: list[int]) -> bytes:
     return words.tobytes()
 
 
-def _encoder(path: str, end_id: int):
+def _encoder(path: str, end_id: int, memory: int):
     tail = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +99,7 @@ def _encoder(path: str, end_id: int):
                 while stop < len(texts) and (stop == at or size < 1_000_000):
                     size += len(texts[stop] or "")
                     stop += 1
-                ids = [x + tail for x in _encode_texts(path, [t or "" for t in texts[at:stop]])]
+                ids = [x + tail for x in _encode_texts(path, [t or "" for t in texts[at:stop]], memory)]
                 counts = np.array([len(x) // 4 for x in ids], np.int64)
                 offsets = np.zeros(len(ids) + 1, np.int64)
                 np.cumsum(counts, out=offsets[1:])
@@ -129,6 +129,7 @@ def write_tokens(
     row_group_bytes: int = 32 << 20,
     page_bytes: int = 256 << 10,
     page_rows: int = 2_000,
+    memory: int = MEMORY,
 ) -> None:
     """Encode `docs` (doc_id, text) and write them in ascending doc_id order below `path`."""
     spark = docs.sparkSession
@@ -138,7 +139,7 @@ def write_tokens(
     dealt = slim.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     ready = dealt.select("doc_id", F.spark_partition_id().alias("part"), "text")
     rows = ready.mapInArrow(
-        _encoder(vocabulary or vocabulary_path(), end_id),
+        _encoder(vocabulary or vocabulary_path(), end_id, memory),
         "doc_id long, part int, part_start long, n_tokens long, tokens array<int>",
     )
     (
