@@ -232,6 +232,10 @@ def factor_gate_score(df: DataFrame, gate: FactorGate) -> DataFrame:
     return with_struct(df, dense(score, "density double, q double")(vector(gate.sensors)))
 
 
+# The mixture's likelihood may waver above its tolerance for ever on short tables.
+MIXTURE_STEPS = 50
+
+
 def fit_factor_gate(ref: DataFrame, sensors: Sequence[str], k: int = N_FACTORS, modes: int = N_MODES, seeds: int = N_SEEDS,
                     density_alpha: float = DENSITY_ALPHA, q_alpha: float = Q_ALPHA, seed: int = 42) -> FactorGate:
     """Factor analysis on the second moments plus a Gaussian mixture on the scores, per seed.
@@ -246,7 +250,7 @@ def fit_factor_gate(ref: DataFrame, sensors: Sequence[str], k: int = N_FACTORS,
         w, psi = _factor_em(second, k, seed + s)
         # written once: the mixture fit reads the scores many times
         scored = spool(factor_score(ref.select(*sensors), sensors, w, psi).select("z")).select(array_to_vector("z").alias("z"))
-        gm = GaussianMixture(k=max(1, min(modes, m.n)), featuresCol="z", seed=seed + s, maxIter=10_000).fit(scored)  # ends by its tolerance
+        gm = GaussianMixture(k=max(1, min(modes, m.n)), featuresCol="z", seed=seed + s, maxIter=MIXTURE_STEPS).fit(scored)
         rows = gm.gaussiansDF.collect()  # one row per mode
         covs = np.array([r["cov"].toArray() for r in rows]) + 1e-4 * np.eye(k)
         members.append((w, psi, Mixture(np.array(gm.weights), np.array([r["mean"].toArray() for r in rows]), covs)))

@@ -7,7 +7,7 @@ from ..session import spool
 from . import preparation as p
 from .catalog import query
 
-NAMES = p.NAMES[:12]
+NAMES = p.NAMES
 
 
 def _train_test(spark, sf):
@@ -33,19 +33,19 @@ def _(spark, sf):
 @query("rf_fit")
 def _(spark, sf):
     train, test = _train_test(spark, sf)
-    return _out(models.fit_rf(split.class_balance_weights(train), NAMES, 50), test)
+    return _out(models.fit_rf(split.class_balance_weights(train), NAMES), test)
 
 
 @query("platt_calibrate")
 def _(spark, sf):
     train, test = _train_test(spark, sf)
-    return _out(models.fit_calibrated(train, _enet, 3)[0], test)
+    return _out(models.fit_calibrated(train, _enet)[0], test)
 
 
 @query("coef_draws")
 def _(spark, sf):
     train, _ = _train_test(spark, sf)
-    return models.coef_draws(train, NAMES, 5, 0.05, 0.3)
+    return models.coef_draws(train, NAMES, 10, 0.05, 0.3)
 
 
 @query("oof_scores")
@@ -62,7 +62,7 @@ def _(spark, sf):
 
 
 def _mart_split(spark, sf):
-    """A slice of the columns of the test shape, as the designs see them: raw sensors and flags."""
+    """The test shape as the designs see it: raw sensors and calendar."""
     from ..operators import mart
 
     x = mart.cyclical_encoding(mart.calendar_features(p._split(spark, sf, NAMES).drop("split")))

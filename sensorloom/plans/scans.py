@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as cols
@@ -58,7 +60,7 @@ def _seed(spark, sf):
 @query("write_seed", with_(LINES, final="""select o_orderkey as raw_row_id, case when value like '-1 %' then 0 else 1 end as target,
     replace(substr(value, strpos(value, ' ') + 1), '"', '') as "timestamp" from lines where value like '%"%'"""))
 def _(spark, sf):
-    path = f"{spool_root(spark)}/seed"
+    path = f"{spool_root(spark)}/seed-{uuid.uuid4().hex}"
     text.write_seed(_seed(spark, sf), path)
     return tables.scan_table(spark, path)
 
@@ -71,13 +73,16 @@ def _(spark, sf):
 @query("materialise", with_(WAFER, final="select target, count(*) as n from wafer group by target"))
 def _(spark, sf):
     view = tables.materialise(fx.wafers(spark, sf), "staging_wafers", "view")
-    return view.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    stored = tables.materialise(view, "stored_wafers", "table", f"{spool_root(spark)}/wafers-{uuid.uuid4().hex}")
+    return stored.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("export_results", """select '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '","missing":null}' as record from events""")
 def _(spark, sf):
     e = fx.table(spark, sf, "events").select("event_id", "user_id", "event_type", F.lit(None).cast("string").alias("missing"))
-    return text.as_json_records(e)
+    path = f"{spool_root(spark)}/records-{uuid.uuid4().hex}"
+    text.export_results(text.as_json_records(e), path, "text")
+    return spark.read.text(path).withColumnRenamed("value", "record")
 
 
 @query("sensor_columns", with_(WAFER, final="select count(*) as n_rows, " + ", ".join(f"count({c}) as {c}" for c in fx.SENSORS) + " from wafer"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 import uuid
 
@@ -15,8 +17,8 @@ GROUP_ROW_LIMIT = 4_000_000
 BROADCAST_ROW_LIMIT = 200_000
 
 
-def local_session(cpus: str | int = "*", app: str = "sensorloom") -> SparkSession:
-    """Session for tests and the benchmark; a cluster brings its own."""
+def local_session(cpus: str | int = "*", app: str = "sensorloom", folder: str | None = None) -> SparkSession:
+    """Session for tests and the benchmark; a cluster brings its own. `folder` holds its intermediate tables."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -26,6 +28,7 @@ def local_session(cpus: str | int = "*", app: str = "sensorloom") -> SparkSessio
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", folder or tempfile.mkdtemp(prefix="sensorloom-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -36,9 +39,9 @@ _local_roots: dict[str, str] = {}
 
 
 def spool_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the session's checkpoint folder.
+    """This application's folder for intermediate tables, inside the session's checkpoint folder.
 
-    A machine-local folder is used only where the session names none (single-machine tests).
+    A session on one machine that names none gets a folder of its own; any other must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
@@ -46,14 +49,27 @@ def spool_root(spark: SparkSession) -> str:
     if root is None:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = set_dir.get() if set_dir.isDefined() else None
+    app = spark.sparkContext.applicationId
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        app = spark.sparkContext.applicationId
         if app not in _local_roots:
             _local_roots[app] = tempfile.mkdtemp(prefix="sensorloom-")
         root = _local_roots[app]
-    return root
+    return f"{root.rstrip('/')}/run-{app}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no DataFrame made from them is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spool_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster that does not have it installed."""
+    top = pathlib.Path(__file__).resolve().parent
+    base = pathlib.Path(tempfile.mkdtemp(prefix="sensorloom-ship-")) / "sensorloom"
+    spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", top.parent, top.name))
 
 
 def spool(df: DataFrame) -> DataFrame:
