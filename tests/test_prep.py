@@ -178,5 +178,20 @@ def test_failed_fit_gives_null_row(data):
             raise ValueError("fragile")
         return models.fit_enet(split.class_balance_weights(rows), COLS[:2], c, 0.0)
 
-    out = models.grid_search(folds, fit, {"c": [0.5, 2.0]}).collect()
+    grid = {"c": [0.5, 2.0]}
+    out = models.grid_search(folds, fit, grid, tolerate=models.NUMERIC_ERRORS).collect()
     assert len(out) == 4 and {r.c for r in out if r.pr_auc is None} == {2.0}
+    with pytest.raises(ValueError, match="fragile"):
+        models.grid_search(folds, fit, grid)
+
+
+def test_lines_that_do_not_parse_raise(spark):
+    from sensorloom.sources import text
+
+    lines = spark.createDataFrame([("1 NaN 2.5",), ("3 4 5",)], "value string")
+    assert [tuple(r) for r in text.parse_sensor_lines(lines, 3).collect()] == [(1.0, None, 2.5), (3.0, 4.0, 5.0)]
+    for bad, width in (("1 x 2", 3), ("1 2", 3), ("1 2 3 4", 3)):
+        with pytest.raises(Exception, match="not a number|fields, not"):
+            text.parse_sensor_lines(spark.createDataFrame([(bad,)], "value string"), width).collect()
+    with pytest.raises(Exception, match="not a label"):
+        text.parse_label_lines(spark.createDataFrame([('label "01/01/2008 00:00:00"',)], "value string")).collect()
