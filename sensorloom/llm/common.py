@@ -117,20 +117,32 @@ def hash_words(data: np.ndarray, gap: np.ndarray, fold: np.ndarray) -> tuple[np.
     return np.concatenate(starts), np.concatenate(hashes)
 
 
-def text_batches(column: pa.ChunkedArray | pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts as UTF-8 (null: empty) in runs of about `most_bytes`, each with the row it begins at."""
+def text_slices(column: pa.Array, most: int, kind: pa.DataType | None = None) -> Iterator[tuple[int, list]]:
+    """Values of a text column (null: empty) in runs of about `most` units, each with the row it begins at.
+
+    Only a few hundred rows at a time become Python objects, whatever the size of the batch.
+    """
+    empty = b"" if kind else ""
     run, size, begin = [], 0, 0
-    for i, text in enumerate(column.cast(pa.binary()).to_pylist()):
-        text = text or b""
-        if run and size + len(text) > most_bytes:
-            yield begin, run
-            run, size, begin = [], 0, i
-        run.append(text)
-        size += len(text) + 1
+    for top in range(0, len(column), 256):
+        part = column.slice(top, 256)
+        for text in (part.cast(kind) if kind else part).to_pylist():
+            text = text or empty
+            if run and size + len(text) > most:
+                yield begin, run
+                begin += len(run)
+                run, size = [], 0
+            run.append(text)
+            size += len(text) + 1
     if run:
         yield begin, run
 
 
+def text_batches(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts as UTF-8 (null: empty) in runs of about `most_bytes`, each with the row it begins at."""
+    return text_slices(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, most_bytes, pa.binary())
+
+
 def words_of(run: list[bytes], gap: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a run of texts, and the bounds of each text in them (len(run) + 1)."""
     data = np.frombuffer(b"\n".join(run), np.uint8)

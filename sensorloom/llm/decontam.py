@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import hash_words, pair_hash, words_of
+from sensorloom.llm.common import hash_words, pair_hash, text_slices, words_of
 
 WALKS, SAMPLES = 16, 4
 # Share of equal walk times, at the largest edit distance allowed, that the number of repetitions reckons with.
@@ -185,17 +185,10 @@ def _scanner(held, name: str):
         items: Items = held.value
         for batch in batches:
             hits = batch[name].to_pylist()
-            texts = batch["text"].to_pylist()
-            at = 0
-            while items.longest and at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size < 2_000_000):
-                    size += len(texts[stop] or "")
-                    stop += 1
-                words, bounds = words_of([folded(t) for t in texts[at:stop]], _GAP, _SAME)
+            for begin, run in text_slices(batch["text"], 1_000_000) if items.longest else ():
+                words, bounds = words_of([folded(t) for t in run], _GAP, _SAME)
                 for t, i, e in _find(items, words, bounds):
-                    hits[at + t] = [*hits[at + t], {"item_id": int(items.ids[i]), "edits": e}]
-                at = stop
+                    hits[begin + t] = [*hits[begin + t], {"item_id": int(items.ids[i]), "edits": e}]
             kind = batch.schema.field(name).type
             yield batch.set_column(batch.schema.get_field_index(name), name, pa.array(hits, kind))
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sensorloom.llm.common import text_slices
 from sensorloom.session import spool_root
 
 # Pieces whose ids a worker remembers, about 200 bytes each; it only saves work, and is emptied when full.
@@ -92,14 +93,9 @@ def _encoder(path: str, end_id: int, memory: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            at = 0
-            while at < len(texts):  # runs of about a million characters
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size < 1_000_000):
-                    size += len(texts[stop] or "")
-                    stop += 1
-                ids = [x + tail for x in _encode_texts(path, [t or "" for t in texts[at:stop]], memory)]
+            for at, texts in text_slices(batch["text"], 1_000_000):
+                stop = at + len(texts)
+                ids = [x + tail for x in _encode_texts(path, texts, memory)]
                 counts = np.array([len(x) // 4 for x in ids], np.int64)
                 offsets = np.zeros(len(ids) + 1, np.int64)
                 np.cumsum(counts, out=offsets[1:])
@@ -115,7 +111,6 @@ def _encoder(path: str, end_id: int, memory: int):
                     ["doc_id", "part", "part_start", "n_tokens", "tokens"],
                 )
                 start += int(offsets[-1])
-                at = stop
 
     return encode
 
