@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from sensorloom.llm.common import text_slices
 from sensorloom.session import spool_root
 
-# Pieces whose ids a worker remembers, about 200 bytes each; it only saves work, and is emptied when full.
+# Pieces whose ids a worker remembers, about 200 bytes each; it only saves work, and is emptied when full. What a task
+# leaves for the next is a parameter of the writer (`memory`), nothing by default.
 MEMORY = 250_000
 
 # Texts with any of these are encoded whole: repeated white space, white space but blank and line break, and the mark.
@@ -56,7 +57,7 @@ def _tokenizer(path: str) -> tuple:
     return _workers[path]
 
 
-def _encode_texts(path: str, texts: list[str], memory: int = MEMORY) -> list[bytes]:
+def _encode_texts(path: str, texts: list[str], memory: int = 0) -> list[bytes]:
     """Ids of each text, as little-endian unsigned 32-bit integers."""
     tokenizer, known = _tokenizer(path)
     out: list[bytes | None] = [None] * len(texts)
@@ -67,7 +68,7 @@ def _encode_texts(path: str, texts: list[str], memory: int = MEMORY) -> list[byt
         else:
             cut.append((i, text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")))
     new = set().union(*(pieces for _, pieces in cut)).difference(known)
-    if len(known) + len(new) > memory:
+    if len(known) + len(new) > max(memory, MEMORY):
         known.clear()
         new = set().union(*(pieces for _, pieces in cut))
     batch = list(new)
@@ -111,6 +112,8 @@ def _encoder(path: str, end_id: int, memory: int):
                     ["doc_id", "part", "part_start", "n_tokens", "tokens"],
                 )
                 start += int(offsets[-1])
+        if not memory:
+            _tokenizer(path)[1].clear()
 
     return encode
 
@@ -124,7 +127,7 @@ def write_tokens(
     row_group_bytes: int = 32 << 20,
     page_bytes: int = 256 << 10,
     page_rows: int = 2_000,
-    memory: int = MEMORY,
+    memory: int = 0,
 ) -> None:
     """Encode `docs` (doc_id, text) and write them in ascending doc_id order below `path`."""
     spark = docs.sparkSession
