@@ -65,6 +65,36 @@ def test_gibberish_is_rejected(spark):
     assert not ok.any()
 
 
+def _log_likelihood(model, text):
+    cp, first, end = langid.symbols([text])
+    return model.log_likelihood(cp, np.arange(first[0], end[0])) if isinstance(model, langid.Parts) else langid.log_likelihood(model, cp, np.arange(first[0], end[0]))
+
+
+def test_rare_5_grams_stay_in_the_model(spark, monkeypatch):
+    # Over four million characters, in which the 5-grams of the last rows are seen once or twice.
+    common = "the of and to in that it was for on are with as his they be at one have this "
+    rows = [(i, common * 2800, "en") for i in range(20)] + [(100, "quixotic zephyr", "en"), (101, "der hund und die katze", "de")]
+    learn = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    tables = []
+    for _, text, lang in rows:
+        cp, _, _ = langid.symbols([text])
+        at = np.flatnonzero(cp)
+        grams, counts = np.unique(cp[at[:, None] + np.arange(1 - langid.ORDER, 1)], axis=0, return_counts=True)
+        tables.append((grams, np.stack([counts * (lang == x) for x in ("de", "en")], 1)))
+    grams, place = np.unique(np.concatenate([g for g, _ in tables]), axis=0, return_inverse=True)
+    counts = np.zeros((len(grams), 2), np.int64)
+    np.add.at(counts, place, np.concatenate([n for _, n in tables]))
+    want = langid.build(grams, counts)
+    for shard in (langid.SHARD, 60):
+        monkeypatch.setattr(langid, "SHARD", shard)
+        model = langid.fit(learn)
+        assert len(model.model.parts) == (1 if shard > 60 else -(-(len(grams)) // 60))
+        for text in ("quixotic zephyr", "der hund with his zephyr", "unseen wörds"):
+            np.testing.assert_allclose(_log_likelihood(model.model, text), _log_likelihood(want, text), rtol=1e-5)
+        got = langid.identify(learn, model).collect()
+        assert all(r.lang_pred == ("de" if r.doc_id == 101 else "en") for r in got)
+
+
 def test_toxicity_on_held_out_rows(spark):
     labels = spark.read.parquet(f"{BIG}/labels.parquet")
     rows = queries.op8(spark, BIG).join(labels, "doc_id").where("held_out").collect()
