@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sensorloom.llm import langid, queries, toxicity
+from sensorloom.llm.common import pair_hash, words_of
 
 from .data import SF, awkward_documents, no_documents
 
@@ -112,3 +114,20 @@ def test_toxicity_awkward_rows(spark):
         assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, part)).collect()} == {share}
     assert toxicity.score(no_documents(spark), model).count() == 0
     assert toxicity.score(docs.withColumn("score", F.lit(1)), model).columns == ["doc_id", "score", "predicted"]
+
+
+def test_rare_toxic_expressions_count_in_a_large_corpus(spark):
+    # Six million counts; two words, and their pair, stand in five texts, all of them toxic.
+    def texts(batches):
+        for batch in batches:
+            ids = batch["id"].to_pylist()
+            common = [" ".join(f"w{(i * 37 + k) % 3000}" for k in range(1000)) for i in ids]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([t + " zorg blatt" * (i % 1200 == 7) for i, t in zip(ids, common, strict=True)])], ["doc_id", "text"])
+
+    docs = spark.range(0, 6000, 1, 8).mapInArrow(texts, "doc_id long, text string")
+    labels = spark.range(6000).selectExpr("id as doc_id", "cast(id % 120 = 7 as int) as toxic")
+    model = toxicity.fit(docs, labels)
+    word = words_of([b"zorg blatt"], toxicity._GAP, toxicity._SAME)[0]
+    one = model.ratio.one[np.isin(model.ratio.words, word)]
+    two = model.ratio.two[model.ratio.pairs == pair_hash(word[:1], word[1:])[0]]
+    assert len(one) == 2 and len(two) == 1 and (one > 0).all() and two[0] > 0
