@@ -6,7 +6,9 @@ agrees with it in most places, if these are `similarity` of all, and places that
 begins a template. Lines of a template that occurs in `min_docs` documents or more are dropped, in all of them.
 
 Only different lines of leaves that several documents share are held against templates, in chunks of bounded size; where
-a leaf has several chunks, their templates are merged in the same way until one chunk holds them, or nothing merges.
+a leaf has several chunks, their templates are merged in the same way until one chunk holds them, or nothing merges. Then
+every pair of its chunks meets; templates that match one of a smaller code join it, and the rest meets again, until no two
+templates of a leaf match.
 
 Documents that are copies share all their lines: remove copies first where one of them should stay whole.
 
@@ -134,6 +136,73 @@ def _clusters(similarity: float):
     return cluster
 
 
+def _meetings(similarity: float):
+    """Pairs of templates that match, from sorted partitions of rows with one (leaf, chunk, chunk)."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+
+        def close():
+            if not group:
+                return None
+            side, codes, words = zip(*group, strict=True)
+            side, codes = np.array(side), np.array(codes, np.int64)
+            rows = hash_words(np.frombuffer("\n".join(words).encode("utf-8", "surrogatepass"), np.uint8), _GAP, _SAME)[1].reshape(len(words), -1)
+            inside = key[1] == key[2]  # a chunk with itself: each with those behind it
+            a, b = np.flatnonzero(side == 0), np.flatnonzero((side == 1) | inside)
+            low, high = [], []
+            for i in a:
+                j = b[((rows[b] == rows[i]) & (rows[i] != _FIELD_HASH)).sum(1) >= similarity * rows.shape[1]]
+                j = j[j > i] if inside else j
+                low.append(np.minimum(codes[i], codes[j]))
+                high.append(np.maximum(codes[i], codes[j]))
+            low, high = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (low, high))
+            group.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(low), key[0])), pa.array(low), pa.array(high)], ["leaf", "low", "high"])
+
+        for batch in batches:
+            for leaf, a, b, side, code, words in zip(*(batch[c].to_pylist() for c in ("leaf", "a", "b", "side", "code", "words")), strict=True):
+                if (leaf, a, b) != key:
+                    if (done := close()) is not None:
+                        yield done
+                    key = leaf, a, b
+                group.append((side, code, words))
+        if (done := close()) is not None:
+            yield done
+
+    return meet
+
+
+def _linked(of: DataFrame, step: DataFrame) -> DataFrame:
+    """`of` (leaf, code, template) after a further step for its templates."""
+    step = step.select("leaf", F.col("code").alias("template"), F.col("template").alias("next"))
+    return spool(of.join(step, ["leaf", "template"], "left").select("leaf", "code", F.coalesce("next", "template").alias("template")))
+
+
+def _merge_pairs(lines: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
+    """`of` after all pairs of templates in `lines` (leaf, code, words) were compared, in leaves of several chunks."""
+    several = spool(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("leaf"))
+    lines = join_counted(lines, several, "leaf", "left_semi")
+    while True:
+        sizes = lines.groupBy("leaf").agg(F.count("*").alias("n"))
+        top = spool(sizes.select("leaf", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
+        mine = F.pmod(F.xxhash64("code"), F.col("chunks")).cast("int")
+        dealt = join_counted(lines, top, "leaf", "inner").select("leaf", "code", "words", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        dealt = dealt.select("leaf", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "code", "words")
+        dealt = dealt.repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b", "code")
+        matches = spool(dealt.mapInArrow(_meetings(similarity), "leaf long, low long, high long"))
+        if not matches.count():
+            return of
+        # A template without a smaller match keeps its code; others join the smallest such template they match, if any.
+        later = matches.select("leaf", F.col("high").alias("low")).distinct()
+        joins = matches.join(later, ["leaf", "low"], "left_anti").groupBy("leaf", F.col("high").alias("code")).agg(F.min("low").alias("chunk"))
+        named = lines.join(joins, ["leaf", "code"], "left").select("leaf", F.coalesce("chunk", "code").alias("chunk"), "code", "words")
+        named = named.repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk", "code")
+        made = spool(named.mapInArrow(_clusters(similarity), "leaf long, code long, template long, words string"))
+        of = _linked(of, made)
+        lines = spool(made.where("code = template").select("leaf", "code", "words"))
+
+
 def _merge(lines: DataFrame, similarity: float) -> DataFrame:
     """leaf, code, template for all different lines (leaf, code, words)."""
     of, state = None, None
@@ -149,11 +218,13 @@ def _merge(lines: DataFrame, similarity: float) -> DataFrame:
         if of is None:
             of = step
         else:
-            of = spool(of.join(step.select("leaf", F.col("code").alias("template"), F.col("template").alias("next")), ["leaf", "template"]).select("leaf", "code", F.col("next").alias("template")))
-        if totals[0] == 1 or totals[1] == state:
+            of = _linked(of, step)
+        if totals[0] == 1:
             return of
-        state = totals[1]
         lines = spool(made.where("code = template").select("leaf", "code", "words"))
+        if totals[1] == state:
+            return _merge_pairs(lines, of, similarity)
+        state = totals[1]
 
 
 def dropped_lines(docs: DataFrame, *, min_docs: int = 3, similarity: float = 0.6, depth: int = DEPTH) -> DataFrame:

@@ -52,6 +52,16 @@ def test_awkward_rows(spark):
     assert linedup.without_repeated_lines(no_documents(spark)).count() == 0
 
 
+def test_templates_of_a_large_leaf_all_meet(spark, monkeypatch):
+    # 60 different lines of one leaf that no two chunks bring together by chance, and three that share a template.
+    monkeypatch.setattr(linedup, "CHUNK", 4)
+    lines = [f"session closed for {' '.join(a + b for b in 'pqrst')}" for a in (chr(97 + i // 8) + chr(105 + i % 8) for i in range(60))]
+    docs = [(n, line) for n, line in enumerate(lines)]
+    docs += [(100 + n, f"session closed for host alpha beta {w} now") for n, w in enumerate(("red", "blue", "green"))]
+    got = {r.doc_id: r.n_dropped for r in linedup.without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_docs=3).collect()}
+    assert all(got[n] == (n >= 100) for n in got) and len(got) == 63
+
+
 def test_variable_fields_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(linedup, "CHUNK", 10)
     rng = random.Random(4)
