@@ -135,7 +135,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_line_templates")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linedup.without_repeated_lines(table(spark, sf_dir, "documents"))
+    return linedup.without_repeated_lines(table(spark, sf_dir, "documents"), min_docs=2)
 
 
 @query("op10_language_id")

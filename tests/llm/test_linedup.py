@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
-from sensorloom.llm import linedup
+from sensorloom.llm import linedup, queries
 
 from .data import PROSE, SF, awkward_documents, no_documents
 
@@ -62,6 +62,16 @@ def test_templates_of_a_large_leaf_all_meet(spark, monkeypatch):
     assert all(got[n] == (n >= 100) for n in got) and len(got) == 63
 
 
+def test_query_drops_passages_of_exactly_two_documents(spark, tmp_path):
+    rng = random.Random(8)
+    own = [" ".join(rng.choice(PROSE) for _ in range(30)) for _ in range(4)]
+    passage = " ".join(rng.choice(PROSE) for _ in range(60))
+    docs = [(n, f"{text}\n{passage}" if n < 2 else text) for n, text in enumerate(own)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in queries.op9(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(own))
+
+
 def test_variable_fields_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(linedup, "CHUNK", 10)
     rng = random.Random(4)
