@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import decontam, html, langid, linedup, mixing, neardup, search, tokens, toxicity, warc
+from sensorloom.llm import decontam, html, langid, linedup, merkle, mixing, neardup, oracles, search, tokens, toxicity, warc
 from sensorloom.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
     held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
     return langid.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
+
+
+@query("op12_merkle_manifest", oracles.MERKLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    later = crc_mod(F.col("doc_id"), 7) == 0, {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    proofs = merkle.manifest(table(spark, sf_dir, "documents"), altered=later)
+    found = merkle.verify(proofs).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
