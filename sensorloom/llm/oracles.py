@@ -74,3 +74,64 @@ MERKLE = f"""
     join upper_path u on u.n = 1 and u.lang is not distinct from v.lang and u.leaf_p = v.p
     join upper_tree t on t.n = 1
 """
+
+
+TRIE = f"""
+    with recursive
+    ids as (select distinct conv_id as id from conversations where conv_id is not null),
+    {crc32_of("ids")},
+    turns as (
+        select conv_id, turn, strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '') as t,
+               len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as w
+        from conversations where conv_id is not null
+    ),
+    own as (
+        select conv_id, list(t order by turn nulls first, md5(t)) as ts, list(w order by turn nulls first, md5(t)) as ws from turns group by conv_id
+    ),
+    rebuilt as (
+        select o.conv_id, list_concat(list_slice(coalesce(b.ts, []), 1, (crc % 4)::int), list_slice(o.ts, (crc % 4)::int + 1, len(o.ts))) as ts,
+               list_concat(list_slice(coalesce(b.ws, []), 1, (crc % 4)::int), list_slice(o.ws, (crc % 4)::int + 1, len(o.ws))) as ws
+        from own o join crc on crc.id = o.conv_id left join own b on b.conv_id = o.conv_id - o.conv_id % 20
+    ),
+    steps as (
+        select conv_id, d, list_slice(ts, 1, d) as p, case when d > 0 then ws[d] else 0 end as w, d = len(ts) as ends
+        from (select *, unnest(range(0, len(ts) + 1)) as d from rebuilt)
+    ),
+    nodes as (
+        select p, d, min(conv_id) as m, count(*) as n_convs, (count(*) - 1) * max(w) as saved,
+               sha256(coalesce(string_agg(case when ends then conv_id::varchar end, ',' order by conv_id), '')) as ends_sha256
+        from steps group by p, d
+    ),
+    children as (select list_slice(p, 1, d - 1) as p, count(*) as n from nodes where d > 0 group by 1),
+    subtree as (
+        select list_slice(v.p, 1, v.up) as p, sum(v.saved) as saved_tokens, sum(case when c.n is null then 1 else 0 end) as n_leaves
+        from (select *, unnest(range(0, d + 1)) as up from nodes) v left join children c on c.p = v.p
+        group by 1
+    )
+    select v.m as conv_id, v.d::bigint as depth, u.m as parent_conv_id, v.n_convs, coalesce(c.n, 0)::bigint as n_children, s.n_leaves::bigint as n_leaves,
+           s.saved_tokens::bigint as saved_tokens, v.ends_sha256
+    from nodes v join subtree s on s.p = v.p left join children c on c.p = v.p
+    left join nodes u on v.d > 0 and u.p = list_slice(v.p, 1, v.d - 1)
+"""
+
+_MARKED = r"<\\*/?s>|\[\\*/?(INST|SYS|ANS|ROLE)\]"
+
+CHAT = f"""
+    with turns as (
+        select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+        union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+        union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ),
+    sized as (
+        select *, length(text) + len(regexp_extract_all(text, '{_MARKED}'))
+               + case role when 'system' then 11 when 'user' then 13 when 'assistant' then 9
+                 else 17 + length(role) + len(regexp_extract_all(role, '{_MARKED}')) end as long
+        from turns
+    )
+    select conv_id, count(*)::bigint as n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+           coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+           sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+           (3 + sum(long))::bigint as formatted_chars
+    from sized group by conv_id
+"""
