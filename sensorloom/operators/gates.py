@@ -346,7 +346,7 @@ def gate_conditional(scores: DataFrame, flags: DataFrame, n_boot: int = 0, min_p
         .join(cond, keys, "left")
     )
     if n_boot:
-        boot = bootstrap_metrics(inside, keys, 0.5, n_boot, id_col=id_col).select(
+        boot = bootstrap_metrics(inside, keys, 0.5, n_boot).select(
             *keys, F.col("pr_auc_ci_low").alias("_lo"), F.col("pr_auc_ci_high").alias("_hi")
         )
         has = F.col("conditional_pr_auc").isNotNull()

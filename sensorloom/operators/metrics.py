@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
-from ..session import spool
 from .frame import exact_quantile_array, join_keys, running_totals
-from .split import bootstrap_samples
+from .resample import draw_metrics, interval
 
 MIN_POSITIVES = 5
 PROFILES = ("conservative", "ber", "aggressive", "economic")
@@ -236,31 +235,14 @@ def bootstrap_metrics(
     n_boot: int = 1000,
     level: float = 0.95,
     seed: int = 42,
-    id_col: str = "id",
 ) -> DataFrame:
     """Median and percentile interval of PR-AUC, ROC-AUC and BER over stratified draws.
 
-    A key with only one class gives nulls. `threshold` may be a column of `scores`.
+    A key with only one class gives nulls. `threshold` may be a column of `scores` that is constant within a key.
     """
-    draws = spool(bootstrap_samples(scores, by, n_boot, seed, id_col))  # read three times below
-    keys = [*by, "draw"]
-    w = F.col("w")
-    per_draw = auc_metrics(draws, keys, w).join(
-        holdout_metrics(confusion(draws, keys, threshold, w)).select(*keys, "ber_percent"), keys
-    )
-    alpha = (1 - level) / 2
-    p = F.array(F.lit(alpha), F.lit(0.5), F.lit(1 - alpha))
-    stats = ("pr_auc", "roc_auc", "ber_percent")
-    ok = F.col("pr_auc").isNotNull()
-    agg = per_draw.groupBy(*by).agg(*[F.percentile(F.when(ok, F.col(s)), p).alias(s) for s in stats])
-    return agg.select(
-        *by,
-        *[
-            F.col(s)[i].alias(f"{s}_{tag}")
-            for s in stats
-            for i, tag in ((1, "median"), (0, "ci_low"), (2, "ci_high"))
-        ],
-    )
+    draws = draw_metrics(scores, by, threshold, n_boot, seed)
+    found = interval(draws, by, ("pr_auc", "roc_auc", "ber_percent"), level)
+    return scores.select(*by).distinct().join(found, list(by), "left")
 
 
 def fold_metrics(scores: DataFrame, by: Sequence[str], threshold: float = 0.5) -> DataFrame:
@@ -297,7 +279,7 @@ def profile_rows(scores: DataFrame, thresholds: DataFrame, by: Sequence[str] = (
 def holdout_benchmark(
     scores: DataFrame, thresholds: DataFrame, n_boot: int = 1000, by: Sequence[str] = ("pipeline",), seed: int = 42
 ) -> DataFrame:
-    """One row per key: AUCs, metrics at each profile, metrics and intervals at the default one."""
+    """One row per key: AUCs, metrics at each profile, metrics and intervals (unless `n_boot` is 0) at the default one."""
     by = list(by)
     rows = profile_rows(scores, thresholds, by)
     per_profile = rows.groupBy(*by).pivot("profile", list(PROFILES)).agg(
@@ -313,13 +295,8 @@ def holdout_benchmark(
         *by, "ber_percent", "true_positive_percent", "true_negative_percent",
         F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("confusion_matrix"),
     )
-    return (
-        auc_metrics(scores, by)
-        .select(*by, "pr_auc", "roc_auc")
-        .join(at_default, by)
-        .join(per_profile, by, "left")
-        .join(bootstrap_metrics(base, by, F.col("_t"), n_boot, seed=seed), by, "left")
-    )
+    rows = auc_metrics(scores, by).select(*by, "pr_auc", "roc_auc").join(at_default, by).join(per_profile, by, "left")
+    return rows.join(bootstrap_metrics(base, by, F.col("_t"), n_boot, seed=seed), by, "left") if n_boot else rows
 
 
 def auc_summary(holdout: DataFrame) -> DataFrame:

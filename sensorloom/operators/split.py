@@ -1,4 +1,4 @@
-"""Train/test splits, folds, row weights and the stratified bootstrap, all deterministic."""
+"""Train/test splits, folds and row weights, all deterministic."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ID, TARGET, TS
-from ..functions.scalar import hash_draw, hash_order
+from ..functions.scalar import hash_order
 from .frame import beyond_row, row_number_within
 
 
@@ -78,24 +78,3 @@ def positive_weights(df: DataFrame, factor: float, label: str = TARGET, base: Co
     raw = df.withColumn("_w", (base if base is not None else F.lit(1.0)) * F.when(F.col(label) == 1, float(factor)).otherwise(1.0))
     mean = raw.agg(F.avg("_w").alias("_m"))  # one row
     return raw.crossJoin(F.broadcast(mean)).withColumn("weight", F.when(F.col("_m") > 0, F.col("_w") / F.col("_m")).otherwise(F.col("_w"))).drop("_w", "_m")
-
-
-def bootstrap_samples(
-    scores: DataFrame, by: Sequence[str], n_boot: int, seed: int = 42, id_col: str = "id"
-) -> DataFrame:
-    """Draws with replacement, as many per class as the class has rows.
-
-    Every row stands for one slot of each draw; the slot's md5 picks the rank of the row that
-    fills it. Returns the input rows that were drawn, with `draw` and their copies in `w`. The
-    join key (class, rank) is unique per row, so it has no hot values.
-    """
-    ranked = row_number_within(scores.withColumn("_key", F.concat_ws(":", *by) if by else F.lit("")), [*by, "y_true"], [id_col], "rank")
-    draws = F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("draw")
-    slots = ranked.select(*by, "_key", "y_true", "rank", "rank_of", draws)
-    pick = hash_draw(hash_order(seed, "_key", "draw", "y_true", "rank")) % F.col("rank_of") + 1
-    copies = (
-        slots.select(*by, "y_true", pick.alias("rank"), "draw")
-        .groupBy(*by, "y_true", "rank", "draw")
-        .agg(F.count(F.lit(1)).alias("w"))
-    )
-    return copies.join(ranked.drop("_key", "rank_of"), [*by, "y_true", "rank"]).drop("rank")

@@ -271,7 +271,7 @@ def _facts(spark, sf):
     "cnt as (select raw_row_id, count(*) filter (drift_flag) as nd, count(*) filter (coefficient > 0) as nr, count(*) filter (coefficient <= 0) as nl, string_agg(feature || ':' || case when coefficient > 0 then 'positive' else 'negative' end, ',' order by rank) as top from en group by 1)",
     final=f"""select p.raw_row_id, case when wafer.target = 1 then 'Fail' else 'Pass' end as actual, case when probability >= 0.3 then 'Fail' else 'Pass' end as predicted,
       case when wafer.target = 1 and probability >= 0.3 then 'caught_fail' when wafer.target = 1 then 'missed_fail' when probability >= 0.3 then 'false_alarm' else 'correct_pass' end as outcome,
-      round_even(probability, 4) as p_round, probability between 0.15 and 0.6 as borderline, nd::int as n_drifting, nr::int as n_raising, nl::int as n_lowering, top,
+      round_even(probability, 4) as p_round, round_even(probability, 4) between 0.15 and 0.6 as borderline, nd::int as n_drifting, nr::int as n_raising, nl::int as n_lowering, top,
       case when p_high - p_low < 0.1 then 'low' when p_high - p_low <= 0.3 then 'moderate' else 'high' end as uncertainty, f.ooc as bayes_ooc
       from pp p join wafer using (raw_row_id) join cnt using (raw_row_id) join fflags f using (raw_row_id)"""))
 def _(spark, sf):

@@ -177,23 +177,32 @@ def _auc_sql(src: str, tag: str, keys: str) -> tuple[str, str]:
     )
 
 
-@query("gate_conditional", with_(*BASE, *PCA, FLAGS, GSCORES,
+CONDITIONAL = (
+    *BASE, *PCA, FLAGS, GSCORES,
     "js as (select g.*, t2_ooc or q_ooc as ooc from gscores g join flags f on f.raw_row_id = g.id)", "ins as (select * from js where not ooc)",
     *_auc_sql("js", "g", "pipeline"), *_auc_sql("ins", "c", "pipeline"),
     "n as (select pipeline, count(*) as n_total, count(*) filter (not ooc) as n_in_control, sum(y_true)::bigint as n_fails_total, coalesce(sum(y_true) filter (not ooc), 0)::bigint as n_fails_in_control, sum(1 - y_true) filter (not ooc) as negs from js group by 1)",
-    final=f"""select n.pipeline, n_total, n_in_control, n_fails_total, n_fails_in_control, {sql.r6('n_in_control / n_total::double')} as coverage, n_total - n_in_control as n_flagged_ooc, n_fails_total - n_fails_in_control as n_fails_flagged_ooc,
-      {sql.r6('ap_g.pr_auc')} as global_pr_auc, {sql.r6('auc_g.roc_auc')} as global_roc_auc, {sql.r6('case when n_fails_in_control >= 5 and negs > 0 then ap_c.pr_auc end')} as conditional_pr_auc, {sql.r6('case when n_fails_in_control >= 5 and negs > 0 then auc_c.roc_auc end')} as conditional_roc_auc
-      from n join ap_g using (pipeline) join auc_g using (pipeline) left join ap_c using (pipeline) left join auc_c using (pipeline)"""))
+)
+CONDITIONAL_ROW = f"""select n.pipeline, n_total, n_in_control, n_fails_total, n_fails_in_control, {sql.r6('n_in_control / n_total::double')} as coverage, n_total - n_in_control as n_flagged_ooc, n_fails_total - n_fails_in_control as n_fails_flagged_ooc,
+      {sql.r6('ap_g.pr_auc')} as global_pr_auc, {sql.r6('auc_g.roc_auc')} as global_roc_auc, {sql.r6('case when n_fails_in_control >= 5 and negs > 0 then ap_c.pr_auc end')} as conditional_pr_auc, {sql.r6('case when n_fails_in_control >= 5 and negs > 0 then auc_c.roc_auc end')} as conditional_roc_auc"""
+CONDITIONAL_FROM = "from n join ap_g using (pipeline) join auc_g using (pipeline) left join ap_c using (pipeline) left join auc_c using (pipeline)"
+
+
+@query("gate_conditional", with_(*CONDITIONAL, final=f"{CONDITIONAL_ROW} {CONDITIONAL_FROM}"))
 def _(spark, sf):
     flags = _flags(spark, sf).select(F.col("raw_row_id").alias("id"), "ooc")
     out = gates.gate_conditional(_gscores(spark, sf), flags)
     return out.withColumns({c: r6(c) for c, t in out.dtypes if t == "double"})
 
 
-@query("gate_conditional_interval")
+@query("gate_conditional_interval", with_(*CONDITIONAL, "flagged as (select *, y_score >= 0.5 as hit from ins)", *sql.bootstrap("flagged", 1000),
+    f"bands as (select pipeline, {sql.intervals(('pr_auc',))} from per_draw group by pipeline)",
+    final=f"""{CONDITIONAL_ROW}, case when n_fails_in_control >= 5 and negs > 0 then pr_auc_ci_low end as conditional_pr_auc_ci_low,
+      case when n_fails_in_control >= 5 and negs > 0 then pr_auc_ci_high end as conditional_pr_auc_ci_high {CONDITIONAL_FROM} left join bands using (pipeline)"""))
 def _(spark, sf):
     flags = _flags(spark, sf).select(F.col("raw_row_id").alias("id"), "ooc")
-    return gates.gate_conditional(_gscores(spark, sf), flags, n_boot=1000)
+    out = gates.gate_conditional(_gscores(spark, sf), flags, n_boot=1000)
+    return out.withColumns({c: r6(c) for c, t in out.dtypes if t == "double"})
 
 
 KEPT = (

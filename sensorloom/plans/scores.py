@@ -306,9 +306,14 @@ def _holdout(spark, sf, n_boot=1000):
     return metrics.holdout_benchmark(_scores(spark, sf), _fixed_profiles(spark, sf), n_boot)
 
 
+def _profiles_only(spark, sf):
+    """The benchmark rows without intervals, for tables that show none."""
+    return _holdout(spark, sf, n_boot=0)
+
+
 @query("confusion_by_profile", with_(SCORES, *P_ROWS, final="select pipeline, profile, tn, fp, fn, tp from pc"))
 def _(spark, sf):
-    out = metrics.confusion_by_profile(_holdout(spark, sf))
+    out = metrics.confusion_by_profile(_profiles_only(spark, sf))
     return out.select("pipeline", "profile", *[F.col(c).cast("long").alias(c) for c in ("tn", "fp", "fn", "tp")])
 
 
@@ -316,20 +321,30 @@ def _(spark, sf):
      round_even(100 * coalesce(tp / nullif(tp + fp, 0)::double, 0), 1) as precision_pct, tp || '/' || (tp + fn) as fails_caught, fp || '/' || (tn + fp) as good_flagged,
      round_even(100 * (1 - (tp / (tp + fn)::double + tn / (tn + fp)::double) / 2), 1) as ber_pct from pc"""))
 def _(spark, sf):
-    return metrics.operating_table(_holdout(spark, sf))
+    return metrics.operating_table(_profiles_only(spark, sf))
 
 
-@query("holdout_benchmark", with_(SCORES, *P_ROWS, *AUC,
+BOOT_STATS = ("pr_auc", "roc_auc", "ber_percent")
+HOLDOUT = (
+    *P_ROWS, *AUC, "flagged as (select s.*, y_score >= threshold as hit from scores s join prof using (pipeline) where profile = 'ber')", *sql.bootstrap("flagged", 1000),
     "wide as (select pipeline, " + ", ".join(
         f"max(threshold) filter (profile = '{p}') as {p}_threshold, max(100 * (1 - (tp / (tp + fn)::double + tn / (tn + fp)::double) / 2)) filter (profile = '{p}') as {p}_ber_percent" for p in metrics.PROFILES) + " from pc group by pipeline)",
-    final=f"select pipeline, {sql.r6('pr_auc')} as pr_auc, {sql.r6('roc_auc')} as roc_auc, " + ", ".join(f"{sql.r6(f'{p}_{c}')} as {p}_{c}" for p in metrics.PROFILES for c in ("threshold", "ber_percent")) + f", {sql.r6('ber_ber_percent')} as ber_percent from ap join auc using (pipeline) join wide using (pipeline)"))
+    f"bands as (select pipeline, {sql.intervals(BOOT_STATS)} from per_draw group by pipeline)",
+)
+BANDS = [f"{s}_{t}" for s in BOOT_STATS for t in ("median", "ci_low", "ci_high")]
+
+
+@query("holdout_benchmark", with_(SCORES, *HOLDOUT,
+    final=f"select pipeline, {sql.r6('pr_auc')} as pr_auc, {sql.r6('roc_auc')} as roc_auc, " + ", ".join(f"{sql.r6(f'{p}_{c}')} as {p}_{c}" for p in metrics.PROFILES for c in ("threshold", "ber_percent"))
+    + f", {sql.r6('ber_ber_percent')} as ber_percent, {', '.join(BANDS)} from ap join auc using (pipeline) join wide using (pipeline) join bands using (pipeline)"))
 def _(spark, sf):
     h = _holdout(spark, sf)
-    keep = ["pipeline", "pr_auc", "roc_auc", "ber_percent", *[f"{p}_{c}" for p in metrics.PROFILES for c in ("threshold", "ber_percent")]]
+    keep = ["pipeline", "pr_auc", "roc_auc", "ber_percent", *[f"{p}_{c}" for p in metrics.PROFILES for c in ("threshold", "ber_percent")], *BANDS]
     return _round(h.select(keep))
 
 
-@query("auc_summary")
+@query("auc_summary", with_(SCORES, *HOLDOUT, final="select pipeline, " + ", ".join(f"round_even({c}, 3) as {c}" for c in ("pr_auc", "pr_auc_ci_low", "pr_auc_ci_high", "roc_auc", "roc_auc_ci_low", "roc_auc_ci_high"))
+    + " from ap join auc using (pipeline) join bands using (pipeline)"))
 def _(spark, sf):
     return metrics.auc_summary(_holdout(spark, sf))
 

@@ -68,22 +68,10 @@ def _(spark, sf):
 
 N_BOOT = 1000
 
-BOOT = (
-    "classed as (select pipeline, y_true, id, y_score, row_number() over (partition by pipeline, y_true order by id) as rank, count(*) over (partition by pipeline, y_true) as n_class from scores)",
-    f"""slots as (select pipeline, y_true, draw, ('0x' || substr(md5('42:' || pipeline || ':' || draw || ':' || y_true || ':' || rank), 1, 15))::bigint % n_class + 1 as rank
-       from classed, generate_series(1, {N_BOOT}) g(draw))""",
-    "drawn as (select s.pipeline, s.draw, s.y_true, c.y_score from slots s join classed c using (pipeline, y_true, rank))",
-    """merged as (select pipeline, draw, y_score, sum(y_true) as pos, sum(1 - y_true) as neg from drawn group by all)""",
-    """ranked as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over (partition by pipeline, draw) as p, sum(neg) over (partition by pipeline, draw) as n
-       from merged window w as (partition by pipeline, draw order by y_score desc rows unbounded preceding))""",
-    """per_draw as (select pipeline, draw, sum(pos * tp::double / (tp + fp)) / min(p) as pr_auc, sum(pos * (n - fp + neg / cast(2 as double))) / (min(p)::double * min(n)) as roc_auc,
-       100 * (1 - (sum(pos) filter (y_score >= 0.1) / min(p)::double + sum(neg) filter (y_score < 0.1) / min(n)::double) / 2) as ber_percent from ranked group by all)""",
-)
-
-
-@query("stratified_bootstrap", with_(sql.SCORES, *BOOT, final="select pipeline, " + ", ".join(
-    f"{sql.r6(f'quantile_cont({s}, {q})')} as {s}_{t}" for s in ("pr_auc", "roc_auc", "ber_percent") for t, q in (("median", 0.5), ("ci_low", 0.025), ("ci_high", 0.975)))
-    + " from per_draw group by pipeline"))
+
+
+@query("stratified_bootstrap", with_(sql.SCORES, "flagged as (select *, y_score >= 0.1 as hit from scores)", *sql.bootstrap("flagged", N_BOOT),
+    final=f"select pipeline, {sql.intervals(('pr_auc', 'roc_auc', 'ber_percent'))} from per_draw group by pipeline"))
 def _(spark, sf):
     out = metrics.bootstrap_metrics(fx.label_scores(spark, sf), ["pipeline"], 0.1, N_BOOT)
     return out.select("pipeline", *[r6(c).alias(c) for c in out.columns[1:]])

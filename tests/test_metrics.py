@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorloom.operators import metrics, split, thresholds
+from sensorloom.operators import metrics, thresholds
 
 
 def brute_ap(y, s):
@@ -77,13 +77,6 @@ def test_cost_optimum_ties_go_low(spark):
     assert thresholds.cost_optimal(rates, ["pipeline"]).first().economic == 0.1
 
 
-def test_bootstrap_draws_keep_class_sizes(scored):
-    y, _, df = scored
-    d = split.bootstrap_samples(df, ["pipeline"], 5)
-    for r in d.groupBy("draw").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y_true")).alias("p")).collect():
-        assert (r.n, r.p) == (len(y), y.sum())
-
-
 def test_bootstrap_interval_contains_median(scored):
     y, s, df = scored
     r = metrics.bootstrap_metrics(df, ["pipeline"], 0.1, 60).first()
