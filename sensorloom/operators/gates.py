@@ -113,7 +113,7 @@ def factor_score(df: DataFrame, sensors: Sequence[str], w: np.ndarray, psi: np.n
     def score(x: np.ndarray) -> dict:
         z = x @ proj.T
         resid = x - z @ w.T
-        return {"z": list(z), "q": (resid * resid).sum(1)}
+        return {"z": z, "q": (resid * resid).sum(1)}
 
     return with_struct(df, dense(score, "z array<double>, q double")(vector(sensors)))
 

@@ -10,12 +10,12 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from .frame import sensor_stats
 
@@ -62,6 +62,20 @@ def vector(cols: Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in cols])
 
 
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """Rows of an array column of one length as a matrix, from the flat buffer: no Python object per row."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def arrays_of(values: np.ndarray) -> pa.Array:
+    """A column of numbers, or of arrays for a matrix."""
+    if values.ndim == 1:
+        return pa.array(values, pa.float64())
+    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(values, np.float64).ravel()))
+
+
 def dense(fn: Callable[[np.ndarray], np.ndarray], schema: str) -> Callable[[Column], Column]:
     """Arrow-batched matrix function of a vector column.
 
@@ -69,14 +83,14 @@ def dense(fn: Callable[[np.ndarray], np.ndarray], schema: str) -> Callable[[Colu
     schema to a dict of columns.
     """
 
-    @pandas_udf(schema)
-    def apply(x: pd.Series) -> pd.Series:
-        out = fn(np.stack(x.to_numpy()))
-        return pd.Series(list(out) if out.ndim == 2 else out)
+    @arrow_udf(schema)
+    def apply(x: pa.Array) -> pa.Array:
+        return arrays_of(fn(matrix_of(x)))
 
-    @pandas_udf(schema)
-    def apply_struct(x: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(fn(np.stack(x.to_numpy())))
+    @arrow_udf(schema)
+    def apply_struct(x: pa.Array) -> pa.Array:
+        out = fn(matrix_of(x))
+        return pa.StructArray.from_arrays([arrays_of(v) for v in out.values()], list(out))
 
     return apply_struct if " " in schema else apply
 

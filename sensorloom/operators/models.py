@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -18,9 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import CALENDAR, ID, MISSING_FLAG, SENSOR_VALUE, TARGET
-from ..functions.scalar import hash_draw, hash_order, logistic
 from ..session import spool
-from .linalg import dense, vector
+from .batched import Problems, fit_batch, rows_of
+from .linalg import arrays_of, dense, matrix_of, vector
 from .metrics import auc_metrics, confusion, holdout_metrics
 from .prep import (
     corr_prune,
@@ -43,6 +45,7 @@ from .split import class_balance_weights, positive_weights, repeated_stratified_
 # Forest settings, calibration folds, draws.
 TREES, DEPTH, LEAF = 1000, 5, 10
 CALIBRATION_FOLDS = 5
+DRAWS = 1000
 LOGIT_BOUND = 30.0
 
 
@@ -100,75 +103,99 @@ def fit_rf(df: DataFrame, features: Sequence[str], trees: int = TREES, label: st
     return _ml_scorer(model, features, dict(zip(features, map(float, model.featureImportances.toArray()))))
 
 
-def hash_fold(k: int, seed: int = 42, id_col: str = ID) -> Column:
-    return (hash_draw(hash_order(seed, id_col)) % k).cast("int")
-
-
-def fit_sigmoid(scored: DataFrame, base: str = "base", label: str = TARGET) -> tuple[float, float]:
-    """(a, b) of p = 1 / (1 + exp(a * base + b)), with smoothed targets.
-
-    A smoothed target t is two rows of weights t (label 1) and 1 - t (label 0).
-    """
-    n = {r[0]: r[1] for r in scored.groupBy(label).count().collect()}  # two rows
-    hi, lo = (n.get(1, 0) + 1.0) / (n.get(1, 0) + 2.0), 1.0 / (n.get(0, 0) + 2.0)
-    t = F.when(F.col(label) == 1, F.lit(hi)).otherwise(F.lit(lo))
-    pair = F.array(F.struct(F.lit(1.0).alias("y"), t.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - t).alias("w")))
-    rows = _assemble(scored.select(base, F.inline(pair)), [base])
-    m = _settled(LogisticRegression(featuresCol="_x", labelCol="y", weightCol="w", standardization=True, maxIter=MOST_STEPS).fit(rows))
-    return -float(m.coefficients[0]), -float(m.intercept)
-
-
 def fit_calibrated(df: DataFrame, fit: Callable[[DataFrame], Scorer], k: int = CALIBRATION_FOLDS, label: str = TARGET, id_col: str = ID) -> tuple[Scorer, list[tuple[float, float]]]:
     """k models, each fitted without one fold and calibrated on it; the score is their mean."""
     # Folds hold the same share of fails each, so that no sigmoid sees one class only.
     numbered = repeated_stratified_folds(df, k, 1, label=label, id_col=id_col)
     folds = spool(numbered.withColumnRenamed("fold", "_fold").drop("repeat"))
-    parts = []
-    for i in range(k):
-        model = fit(folds.where(F.col("_fold") != i))
-        parts.append((model, fit_sigmoid(model.score(folds.where(F.col("_fold") == i), "base"), label=label)))
+    parts = [fit(folds.where(F.col("_fold") != i)) for i in range(k)]
+    sigmoids = fold_sigmoids(folds, parts, label, id_col)
 
     def transform(rows: DataFrame, name: str) -> DataFrame:
         out = rows
-        for i, (model, _) in enumerate(parts):
+        for i, model in enumerate(parts):
             out = model.score(out, f"_p{i}")
-        mean = sum((1 / (1 + F.exp(a * F.col(f"_p{i}") + b)) for i, (_, (a, b)) in enumerate(parts)), F.lit(0.0)) / len(parts)
+        mean = sum((1 / (1 + F.exp(a * F.col(f"_p{i}") + b)) for i, (a, b) in enumerate(sigmoids)), F.lit(0.0)) / len(parts)
         return out.withColumn(name, mean).drop(*[f"_p{i}" for i in range(len(parts))])
 
-    first = parts[0][0]
+    first = parts[0]
     coefs = None
     if first.coefficients is not None:
-        coefs = {f: float(np.mean([m.coefficients[f] for m, _ in parts])) for f in first.coefficients}
-    return Scorer(transform, coefs), [s for _, s in parts]
+        coefs = {f: float(np.mean([m.coefficients[f] for m in parts])) for f in first.coefficients}
+    return Scorer(transform, coefs), sigmoids
+
+
+def fold_sigmoids(folds: DataFrame, models: Sequence[Scorer], label: str, id_col: str) -> list[tuple[float, float]]:
+    """(a, b) of each model on the fold that it was not fitted on, with smoothed targets; all curves at once."""
+    k = len(models)
+    scored = None
+    for i, model in enumerate(models):
+        part = model.score(folds.where(F.col("_fold") == i), "_base").select(id_col, label, "_base", F.array("_fold").alias("_folds"))
+        scored = part if scored is None else scored.unionByName(part)
+    rows = rows_of(scored, ["_base"], label, id_col, "_folds")
+    n = {(r["f"], r["y"]): r["count"] for r in rows.groupBy(F.col("folds")[0].alias("f"), "y").count().collect()}  # two rows a fold
+    pos, neg = (np.array([n.get((i, y), 0) for i in range(k)], float) for y in (1, 0))
+    problems = Problems(c=np.full(k, np.inf), l1_ratio=0.0, repeat=0, fold=np.arange(k), inside=True, low=1 / (neg + 2), high=(pos + 1) / (pos + 2))
+    return [(-float(slope), -float(shift)) for slope, shift in fit_batch(rows, 1, problems)]
+
+
+def balanced(n: Mapping[tuple, int], repeat: int, fold: int) -> tuple[float, float]:
+    """Class weights n / (2 n_class) of the rows outside a fold, from counts by (repeat, fold, label)."""
+    by = [sum(c for (r, f, y), c in n.items() if r == repeat and f != fold and y == cls) for cls in (0, 1)]
+    return tuple(sum(by) / (2 * x) if x else 1.0 for x in by)
+
 
+def enet_fold_scores(folds: DataFrame, features: Sequence[str], grid: Sequence[Mapping[str, float]], label: str = TARGET, id_col: str = ID) -> DataFrame:
+    """Out-of-fold scores of every setting (`c`, `l1_ratio`): (place in `grid`, repeat, fold, id, y_true, y_score).
 
-def poisson_weight(seed: int, draw: int, id_col: str = ID) -> Column:
-    """Copies of a row in a bootstrap draw: Poisson(1) from the md5 of (seed, draw, id)."""
-    u = hash_draw(hash_order(f"{seed}:{draw}", id_col)) / F.lit(2.0**60)
-    out, cum, p, k = F.lit(0), 0.0, float(np.exp(-1.0)), 0
-    while cum + p > cum:  # until the next chance no longer shows in a double
-        cum += p
-        out = F.when(u >= cum, F.lit(k + 1)).otherwise(out)
-        k += 1
-        p /= k
-    return out.cast("double")
+    `folds` has one row per row and repeat. All settings, repeats and folds are fitted at once, and rows are scored in one
+    pass by the fits that did not see them.
+    """
+    folds = spool(folds)
+    first = folds.agg(F.min("repeat")).first()[0]
+    each = folds.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("repeat", "fold"))).alias("_f"))  # one entry a repeat
+    once = folds.where(F.col("repeat") == first).drop("repeat", "fold").join(each, id_col)
+    once = spool(once.withColumn("_folds", F.col("_f.fold")).drop("_f"))
+    n = {(r["repeat"], r["fold"], r[label]): r["count"] for r in folds.groupBy("repeat", "fold", label).count().collect()}
+    repeats = sorted({r for r, _, _ in n})
+    kinds = 1 + max(f for _, f, _ in n)
+    cells = [(g, i, f) for g in range(len(grid)) for i in range(len(repeats)) for f in range(kinds)]
+    weigh = [balanced(n, repeats[i], f) for _, i, f in cells]
+    problems = Problems(
+        c=np.array([grid[g]["c"] for g, _, _ in cells], float), l1_ratio=np.array([grid[g]["l1_ratio"] for g, _, _ in cells], float),
+        neg=np.array([w[0] for w in weigh]), pos=np.array([w[1] for w in weigh]),
+        repeat=np.array([i for _, i, _ in cells]), fold=np.array([f for _, _, f in cells]),
+    )
+    beta = fit_batch(rows_of(once, features, label, id_col, "_folds"), len(features), problems).reshape(len(grid), len(repeats), kinds, -1)
+
+    @F.arrow_udf("array<double>")
+    def unseen(x: pa.Array, fold: pa.Array) -> pa.Array:
+        x, fold = matrix_of(x), matrix_of(fold).astype(int)
+        x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+        eta = np.stack([(x * beta[g, i, fold[:, i]]).sum(axis=1) for g in range(len(grid)) for i in range(len(repeats))], axis=1)
+        return arrays_of(1 / (1 + np.exp(-np.clip(eta, -700, 700))))
+
+    scored = once.select(F.col(id_col).alias("id"), F.col(label).alias("y_true"), "_folds", F.posexplode(unseen(vector(features), F.col("_folds"))).alias("_at", "y_score"))
+    which = F.expr(f"_at % {len(repeats)}")
+    return scored.select(
+        F.expr(f"_at div {len(repeats)}").cast("int").alias("setting"), F.element_at(F.lit(repeats), (which + 1).cast("int")).alias("repeat"),
+        F.element_at("_folds", (which + 1).cast("int")).alias("fold"), "id", "y_true", "y_score",
+    )
 
 
 def coef_draws(df: DataFrame, features: Sequence[str], n_draws: int, c: float, l1_ratio: float, pos_weight: float = 15.0, label: str = TARGET, id_col: str = ID, seed: int = 42) -> DataFrame:
-    """`(draw, feature, beta)`, intercept included: refits under bootstrap row weights.
+    """`(draw, feature, beta)`, intercept included: refits under bootstrap row weights, all draws at once.
 
-    Poisson weights resample every partition on its own, so a draw costs one fit and no shuffle.
+    Poisson weights resample every partition on its own, so draws cost no shuffle.
     """
-    base = positive_weights(df, pos_weight, label).withColumnRenamed("weight", "_base").persist()
-    rows = []
-    try:
-        for d in range(n_draws):
-            drawn = base.withColumn("weight", F.col("_base") * poisson_weight(seed, d, id_col)).where("weight > 0")
-            m = fit_enet(drawn, features, c, l1_ratio, label)
-            rows += [(d, f, b) for f, b in m.coefficients.items()] + [(d, "(intercept)", m.intercept)]
-    finally:
-        base.unpersist()
-    return df.sparkSession.createDataFrame(rows, "draw int, feature string, beta double")
+    n = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # two rows
+    mean = (n.get(0, 0) + pos_weight * n.get(1, 0)) / max(sum(n.values()), 1)
+    draws = np.arange(n_draws)
+    problems = Problems(c=np.full(n_draws, float(c)), l1_ratio=l1_ratio, neg=1 / mean, pos=pos_weight / mean, draw=draws)
+    beta = fit_batch(rows_of(df, features, label, id_col), len(features), problems, seed)
+    names = np.array([*features, "(intercept)"], object)
+    table = pd.DataFrame({"draw": np.repeat(draws, len(names)).astype(np.int32), "feature": np.tile(names, n_draws), "beta": beta.ravel()})
+    return df.sparkSession.createDataFrame(table, "draw int, feature string, beta double")
 
 
 def draws_matrix(draws: DataFrame, features: Sequence[str]) -> np.ndarray:
@@ -260,7 +287,7 @@ def fit_design(train: DataFrame, front: str, k: int = 20, hubs: int = 0, corr_th
 HEADS: Mapping[str, Callable[..., Scorer]] = {
     "enet": lambda df, f, label, id_col, **p: fit_enet(class_balance_weights(df, label), f, p.get("c", 0.1), p.get("l1_ratio", 0.3), label),
     "rf": lambda df, f, label, id_col, **p: fit_rf(class_balance_weights(df, label), f, p.get("trees", TREES), label),
-    "bayes": lambda df, f, label, id_col, **p: fit_draws(df, f, p.get("draws", 20), p.get("c", 0.05), p.get("l1_ratio", 0.3), label=label, id_col=id_col),
+    "bayes": lambda df, f, label, id_col, **p: fit_draws(df, f, p.get("draws", DRAWS), p.get("c", 0.05), p.get("l1_ratio", 0.3), label=label, id_col=id_col),
 }
 FRONTS = ("hsic", "rfsel", "pls")
 MODEL_GRID = tuple(f"{f}_{h}" for f in FRONTS for h in HEADS)
@@ -298,10 +325,15 @@ def holdout_scores(train: DataFrame, test: DataFrame, specs: Mapping[str, dict],
     return out
 
 
+def last_repeat(scored: DataFrame) -> DataFrame:
+    """`(id, y_true, y_score)` of the last repeat that scored the row."""
+    return scored.groupBy("id").agg(F.max_by("y_true", "repeat").alias("y_true"), F.max_by("y_score", "repeat").alias("y_score"))
+
+
 def oof_scores(folds: DataFrame, fit: Callable[[DataFrame], Scorer], label: str = TARGET, id_col: str = ID) -> DataFrame:
     """Out-of-fold `(id, y_true, y_score)`; the last repeat wins, rows never scored are absent.
 
-    `folds` carries `repeat` and `fold`. One fit per (repeat, fold).
+    `folds` carries `repeat` and `fold`. One fit per (repeat, fold); `enet_fold_scores` fits all at once.
     """
     pairs = sorted((r.repeat, r.fold) for r in folds.select("repeat", "fold").distinct().collect())
     out = None
@@ -310,13 +342,30 @@ def oof_scores(folds: DataFrame, fit: Callable[[DataFrame], Scorer], label: str
         scored = fit(here.where(F.col("fold") != fold)).score(here.where(F.col("fold") == fold), "y_score")
         part = scored.select(F.col(id_col).alias("id"), F.col(label).alias("y_true"), "y_score", "repeat")
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("id").agg(F.max_by("y_true", "repeat").alias("y_true"), F.max_by("y_score", "repeat").alias("y_score"))
+    return last_repeat(out)
 
 
 # What a fit raises when its numbers, not the cluster, are at fault.
 NUMERIC_ERRORS = (ArithmeticError, ValueError, np.linalg.LinAlgError)
 
 
+FOLD_METRICS = ("pr_auc", "roc_auc", "balanced_accuracy", "tpr", "tnr")
+
+
+def fold_metrics_of(scored: DataFrame, keys: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    m = holdout_metrics(confusion(scored, keys, threshold)).select(*keys, "balanced_accuracy", "tpr", "tnr")
+    return auc_metrics(scored, keys).join(m, list(keys)).select(*keys, *FOLD_METRICS)
+
+
+def enet_grid_search(folds: DataFrame, features: Sequence[str], grid: Mapping[str, Sequence[float]], label: str = TARGET, id_col: str = ID, threshold: float = 0.5) -> DataFrame:
+    """All settings of the elastic net x folds, fitted at once: one row each with the five metrics."""
+    settings = [dict(zip(grid, values)) for values in product(*grid.values())]
+    scored = spool(enet_fold_scores(folds, features, settings, label, id_col))
+    rows = [(i, *[float(s[n]) for n in grid]) for i, s in enumerate(settings)]
+    named = folds.sparkSession.createDataFrame(rows, "setting int, " + ", ".join(f"{n} double" for n in grid))  # one row a setting
+    return fold_metrics_of(scored, ["setting", "repeat", "fold"], threshold).join(F.broadcast(named), "setting").select(*grid, "repeat", "fold", *FOLD_METRICS)
+
+
 def grid_search(
     folds: DataFrame, fit: Callable[..., Scorer], grid: Mapping[str, Sequence], label: str = TARGET, id_col: str = ID, threshold: float = 0.5,
     tolerate: tuple[type[Exception], ...] = (),
@@ -346,14 +395,9 @@ def grid_search(
             )
             out = part if out is None else out.unionByName(part)
     keys = [*names, "repeat", "fold"]
-    cols = ["pr_auc", "roc_auc", "balanced_accuracy", "tpr", "tnr"]
-    result = None
-    if out is not None:
-        scored = spool(out)
-        m = holdout_metrics(confusion(scored, keys, threshold)).select(*keys, "balanced_accuracy", "tpr", "tnr")
-        result = auc_metrics(scored, keys).join(m, keys).select(*keys, *cols)
+    result = None if out is None else fold_metrics_of(spool(out), keys, threshold)
     if failed:
         schema = ", ".join([f"{n} double" for n in names] + ["repeat int", "fold int"])
-        lost = spark.createDataFrame(failed, schema).select(*keys, *[F.lit(None).cast("double").alias(c) for c in cols])
+        lost = spark.createDataFrame(failed, schema).select(*keys, *[F.lit(None).cast("double").alias(c) for c in FOLD_METRICS])
         result = lost if result is None else result.unionByName(lost)
     return result

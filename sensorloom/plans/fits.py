@@ -45,20 +45,20 @@ def _(spark, sf):
 @query("coef_draws")
 def _(spark, sf):
     train, _ = _train_test(spark, sf)
-    return models.coef_draws(train, NAMES, 10, 0.05, 0.3)
+    return models.coef_draws(train, NAMES, models.DRAWS, 0.05, 0.3)
 
 
 @query("oof_scores")
 def _(spark, sf):
     train, _ = _train_test(spark, sf)
-    return models.oof_scores(split.repeated_stratified_folds(train, 3, 1), _enet)
+    scored = models.enet_fold_scores(split.repeated_stratified_folds(train, 5, 2), NAMES, [{"c": 0.1, "l1_ratio": 0.3}])
+    return models.last_repeat(scored)
 
 
 @query("grid_search")
 def _(spark, sf):
     train, _ = _train_test(spark, sf)
-    folds = split.repeated_stratified_folds(train, 3, 1)
-    return models.grid_search(folds, _enet, {"c": [0.05, 1.0], "l1_ratio": [0.3]})
+    return models.enet_grid_search(split.repeated_stratified_folds(train, 5, 2), NAMES, {"c": [0.01, 0.05, 0.1], "l1_ratio": [0.2, 0.3, 0.5]})
 
 
 def _mart_split(spark, sf):

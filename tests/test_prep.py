@@ -163,12 +163,6 @@ def test_enet_separates_and_calibrates(data):
     assert abs(p.mean() - y.mean()) < 0.06
 
 
-def test_poisson_weight_mean(spark):
-    df = spark.range(4000).withColumnRenamed("id", "raw_row_id").select(models.poisson_weight(1, 0).alias("w"))
-    r = df.agg(F.avg("w").alias("m"), F.var_pop("w").alias("v")).first()
-    assert abs(r.m - 1) < 0.06 and abs(r.v - 1) < 0.12
-
-
 def test_failed_fit_gives_null_row(data):
     _, _, df = data
     folds = split.repeated_stratified_folds(df, 2, 1)
