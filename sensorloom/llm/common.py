@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +71,19 @@ class _Powers:
         return cls.up, cls.down
 
 
+def give_back(*broadcasts) -> None:
+    """Let go of what a task leaves in its worker for the next one: loaded broadcasts, tables of powers, free memory.
+
+    A worker lives on after its stage; without this the next stage's tasks find its memory half full.
+    """
+    for b in broadcasts:
+        vars(b).pop("_value", None)  # read again from its file when next needed
+    _Powers.up = _Powers.down = np.ones(0, np.uint64)
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def space_table() -> np.ndarray:
     """True for the bytes that end a word under `WORD`."""
     out = np.zeros(256, bool)

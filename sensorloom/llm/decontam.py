@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import hash_words, pair_hash, text_slices, words_of
+from sensorloom.llm.common import give_back, hash_words, pair_hash, text_slices, words_of
 
 WALKS, SAMPLES = 16, 4
 # Share of equal walk times, at the largest edit distance allowed, that the number of repetitions reckons with.
@@ -191,6 +191,7 @@ def _scanner(held, name: str):
                     hits[begin + t] = [*hits[begin + t], {"item_id": int(items.ids[i]), "edits": e}]
             kind = batch.schema.field(name).type
             yield batch.set_column(batch.schema.get_field_index(name), name, pa.array(hits, kind))
+        give_back(held)
 
     return scan
 

@@ -12,6 +12,8 @@ table gives no rows. Extra columns pass through untouched.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,17 +59,16 @@ def shared_targets(sizes: list[tuple[str | None, int]], share: float, most: floa
 
 
 def mix_sources(
-    docs: DataFrame, *, share: float = SHARE, most_copies: float = MOST_COPIES, seed: int = 7, weights=WEIGHTS, whole: bool = False
+    docs: DataFrame, *, share: float = SHARE, most_copies: float = MOST_COPIES, seed: int = 7, weights=WEIGHTS, carry: Sequence[str] = ()
 ) -> DataFrame:
     """One row per row of `docs` (doc_id, text, source): doc_id, source, size, source_size, target, copies.
 
-    With `whole`, the row itself comes along as the struct `doc`. Ranks come from a range partition by (source, size,
-    id): each task numbers its own rows, and only one count per source and partition is summed up, so a source of any
-    size is spread over many tasks.
+    Columns named in `carry` come along. Ranks come from a range partition by (source, size, id): each task numbers its own
+    rows, and only one count per source and partition is summed up, so a source of any size is spread over many tasks.
     """
     spark = docs.sparkSession
     mine = [F.col("doc_id"), F.col("source"), F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size")]
-    slim = docs.select(*mine, *([F.struct(*docs.columns).alias("doc")] if whole else []))
+    slim = docs.select(*mine, *carry)
     order = ["source", "size", "doc_id", "text_hash"]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     place = F.monotonically_increasing_id()
@@ -90,11 +91,16 @@ def mix_sources(
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = random_offset(F.col("source"), seed)
     copies = F.floor(start + (F.col("rank") + 1) * rate) - F.floor(start + F.col("rank") * rate)
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *(["doc"] if whole else []))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *carry)
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs` as often as the mix takes them, with their own columns only."""
-    takes = mix_sources(docs, whole=True, **how).where("copies > 0")
+    """The rows of `docs` as often as the mix takes them, with their own columns only.
+
+    Rows are stored with a number; only the number is ranked, and whole rows meet their copies by it.
+    """
+    stored = spool(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
+    slim = stored.select("doc.doc_id", "doc.source", "doc.text", "row")
+    takes = spool(mix_sources(slim, carry=["row"], **how).where("copies > 0").select("row", "copies"))
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return takes.select("doc", copy.alias("copy")).select("doc.*")
+    return join_counted(stored, takes, "row", "inner").select("doc", copy.alias("copy")).select("doc.*")

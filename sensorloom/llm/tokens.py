@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import text_slices
+from sensorloom.llm.common import give_back, text_slices
 from sensorloom.session import spool_root
 
 # Pieces whose ids a worker remembers, about 200 bytes each; it only saves work, and is emptied when full. What a task
@@ -67,10 +67,12 @@ def _encode_texts(path: str, texts: list[str], memory: int = 0) -> list[bytes]:
             out[i] = _as_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
         else:
             cut.append((i, text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")))
-    new = set().union(*(pieces for _, pieces in cut)).difference(known)
-    if len(known) + len(new) > max(memory, MEMORY):
+    every = set().union(*(pieces for _, pieces in cut))
+    new = every.difference(known)
+    if len(known) + len(new) > max(memory, MEMORY):  # pieces of this run stay: the common ones are among them
+        kept = {piece: known[piece] for piece in every if piece in known}
         known.clear()
-        new = set().union(*(pieces for _, pieces in cut))
+        known.update(kept)
     batch = list(new)
     if batch:
         encoded = tokenizer.encode_batch_fast(batch, add_special_tokens=False)
@@ -114,10 +116,29 @@ def _encoder(path: str, end_id: int, memory: int):
                 start += int(offsets[-1])
         if not memory:
             _tokenizer(path)[1].clear()
+        give_back()
 
     return encode
 
 
+def _dealt(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows (doc_id, text) in `parts` sorted ranges of ids.
+
+    The bounds are quantiles of the ids, found without reading a text. Where an id repeats, a hash of the text takes part in
+    order and bounds, so that its rows, however many, are split among tasks.
+    """
+    ids = docs.select("doc_id")
+    if not ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+        slim = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+        return slim.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    cuts = [i / parts for i in range(1, parts)]
+    found = ids.agg(F.percentile_approx(F.col("doc_id").cast("long"), cuts, 10 * parts)).first()[0] if cuts else None
+    bounds = sorted(set(found or []))
+    below = F.size(F.filter(F.lit(bounds).cast("array<long>"), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
+    place = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(below).cast("int")
+    return docs.select("doc_id", "text").repartitionById(parts, place).sortWithinPartitions("doc_id")
+
+
 def write_tokens(
     docs: DataFrame,
     path: str,
@@ -132,10 +153,7 @@ def write_tokens(
     """Encode `docs` (doc_id, text) and write them in ascending doc_id order below `path`."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # The text's hash only cuts runs of one id; without it such a run could not be split among tasks.
-    slim = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    dealt = slim.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ready = dealt.select("doc_id", F.spark_partition_id().alias("part"), "text")
+    ready = _dealt(docs, parts).select("doc_id", F.spark_partition_id().alias("part"), "text")
     rows = ready.mapInArrow(
         _encoder(vocabulary or vocabulary_path(), end_id, memory),
         "doc_id long, part int, part_start long, n_tokens long, tokens array<int>",

@@ -67,6 +67,20 @@ def test_gibberish_is_rejected(spark):
     assert not ok.any()
 
 
+def test_garbage_among_the_learning_rows_does_not_open_the_gate(spark):
+    rng = np.random.default_rng(11)
+
+    def noise(n):
+        return ["".join(chr(c) for c in rng.integers(0x61, 0x7B, 300)) for _ in range(n)]
+
+    clean = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    wrong = clean.where("lang = 'de' and doc_id % 10 = 0").selectExpr("doc_id + 500000", "text", "'en'")
+    dirty = spark.createDataFrame([(10**6 + i, t, "en") for i, t in enumerate(noise(10))], clean.schema)
+    model = langid.fit(clean.unionByName(dirty).union(wrong))
+    assert not model.predict(noise(20))[3].any()
+    assert langid.accepted_only(clean, model).count() == clean.count()
+
+
 def _log_likelihood(model, text):
     cp, first, end = langid.symbols([text])
     return model.log_likelihood(cp, np.arange(first[0], end[0])) if isinstance(model, langid.Parts) else langid.log_likelihood(model, cp, np.arange(first[0], end[0]))
