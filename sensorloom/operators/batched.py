@@ -15,13 +15,12 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ID, TARGET
 from ..session import spool
-from .linalg import matrix_of, vector
+from .linalg import matrix_of, records_of, summed, vector
 from .resample import uniform
 
 # Numbers of curvature that the driver and a task hold at once.
@@ -116,8 +115,8 @@ def blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, n
         yield np.concatenate([x, np.ones((len(x), 1))], axis=1), part["y"].to_numpy(), part["key"].to_numpy(), folds
 
 
-def _pass(p: Problems, beta: np.ndarray, curve: np.ndarray, seed: int):
-    """Sums of one task: loss of every problem, and gradient and curvature of those in `curve`."""
+def _pass(p: Problems, beta: np.ndarray, seed: int):
+    """Sums of one task: loss, gradient and curvature of every problem."""
     wide = beta.shape[1]
     upper = np.triu_indices(wide)
     target = np.stack([p.low, p.high])
@@ -135,45 +134,18 @@ def _pass(p: Problems, beta: np.ndarray, curve: np.ndarray, seed: int):
                 slope += (w * (mu - t)).T @ x
                 bend += (w * mu * (1 - mu)).T @ (x[:, upper[0]] * x[:, upper[1]])
         told = np.concatenate([loss[:, None], slope, bend], axis=1)
-        part = TaskContext.get().partitionId()
-        cuts = range(0, len(p), RECORD)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part] * len(cuts), pa.int32()), pa.array(list(range(len(cuts))), pa.int32()), pa.array([told[i : i + RECORD].tobytes() for i in cuts], pa.binary())],
-            ["lane", "record", "sums"],
-        )
+        yield records_of({i // RECORD: told[i : i + RECORD] for i in range(0, len(p), RECORD)})
 
     return run
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum of the records of one number that reach this task."""
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for record, sums in zip(batch["record"].to_pylist(), batch["sums"], strict=True):
-            part = np.frombuffer(sums.as_buffer(), np.float64)
-            if record in held:
-                held[record] += part
-            else:
-                held[record] = part.copy()
-    lane = TaskContext.get().partitionId()
-    for record, total in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lane], pa.int32()), pa.array([record], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["lane", "record", "sums"])
-
-
 def _sums(rows: DataFrame, p: Problems, beta: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    shape = "lane int, record int, sums binary"
-    parts = rows.mapInArrow(_pass(p, beta, None, seed), shape)
-    # Two levels: the records of some tasks first, then those sums; a task adds to one record at a time.
-    lanes = max(1, math.isqrt(rows.rdd.getNumPartitions()))
-    added = parts.withColumn("lane", F.col("lane") % lanes).repartition("record", "lane").mapInArrow(_add, shape)
-    if lanes > 4:
-        added = added.repartition("record").mapInArrow(_add, shape)
     wide = beta.shape[1]
     size = 1 + wide + wide * (wide + 1) // 2
     told = np.zeros((len(p), size))
-    for r in added.collect():  # a few records of RECORD problems each
-        part = np.frombuffer(r.sums, np.float64).reshape(-1, size)
-        told[r.record * RECORD : r.record * RECORD + len(part)] += part
+    for record, part in summed(rows, _pass(p, beta, seed)).items():  # records of RECORD problems each
+        part = part.reshape(-1, size)
+        told[record * RECORD : record * RECORD + len(part)] = part
     upper = np.triu_indices(wide)
     bend = np.zeros((len(p), wide, wide))
     bend[:, upper[0], upper[1]] = told[:, 1 + wide :]

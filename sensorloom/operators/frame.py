@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROW_LIMIT, GROUP_ROW_LIMIT, spool
+from ..session import BROADCAST_ROW_LIMIT, spool
+from .quantile import quantile_table
 
 _INDEX_BITS = 33  # monotonically_increasing_id keeps the partition number above bit 33
 
@@ -117,39 +119,19 @@ def row_number_within(
     return joined.withColumn(name, F.col("_all") - F.col("_before")).drop("_all", "_before")
 
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows in the biggest group (one number to the driver)."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
-def running_totals(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[Column | str],
-    sums: Mapping[str, str],
-    limit: int = GROUP_ROW_LIMIT,
-) -> DataFrame:
+def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], sums: Mapping[str, str]) -> DataFrame:
     """Add, per group, running sums `{new column: summed column}` up to and with each row.
 
-    `order` must be unique inside a group: merge ties by groupBy first. Groups up to `limit`
-    rows use one window per group. Larger ones are cut into range partitions: a running sum
-    inside each piece plus the total of the pieces before it.
+    `order` must be unique inside a group: merge ties by groupBy first. Rows are cut into range partitions of (group, order):
+    a running sum inside each piece plus the total of the group's pieces before it, so no task sorts a whole group.
     """
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    if largest_group(df, by) <= limit:
-        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
-    pieces = spool(
-        df.repartitionByRange(*by, *order).withColumn("_piece", F.spark_partition_id())
-    )
+    pieces = spool(df.repartitionByRange(*by, *order).withColumn("_piece", F.spark_partition_id()))
     before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     totals = pieces.groupBy(*by, "_piece").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     offsets = totals.select(
         *by, "_piece", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in sums]
     )
-    inner = (
-        Window.partitionBy(*by, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
+    inner = Window.partitionBy(*by, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     cols = df.columns
     return (
         pieces.select("*", *[F.sum(c).over(inner).alias(f"_in_{n}") for n, c in sums.items()])
@@ -158,112 +140,36 @@ def running_totals(
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    limit: int = GROUP_ROW_LIMIT,
-    accuracy: int = 10_000,
-    largest: int | None = None,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact, linearly interpolated quantiles per group: one row, one column per probability."""
-    q = exact_quantile_array(df, by, value, list(probs.values()), "_q", limit, accuracy, largest)
+    q = exact_quantile_array(df, by, value, list(probs.values()), "_q")
     return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
 
 
-def exact_quantile_array(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    name: str,
-    limit: int = GROUP_ROW_LIMIT,
-    accuracy: int = 10_000,
-    largest: int | None = None,
-) -> DataFrame:
+def exact_quantile_array(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], name: str) -> DataFrame:
     """Exact, linearly interpolated quantiles per group as one array column, in the order given.
 
-    Small groups use `percentile`. Where a group exceeds `limit` rows a sketch first brackets
-    each quantile, then only the values inside the bracket are counted and ordered; the values
-    below it are merely counted. Nulls are ignored; a group without values gives null. `largest`
-    is an upper bound of the group size where the caller knows one, which saves counting.
+    Nulls are ignored; a group without values gives null. `by` names a handful of groups.
     """
     by = list(by)
-    p = [float(x) for x in probs]
-    if (largest_group(df, by) if largest is None else largest) <= limit:
-        q = F.percentile(value, F.array(*[F.lit(x) for x in p])).alias(name)
-        return df.groupBy(*by).agg(q) if by else df.agg(q)
-    pad = 4.0 / accuracy
-    edges = [max(0.0, x - pad) for x in p] + [min(1.0, x + pad) for x in p]
-    sketch = (
-        df.groupBy(*by)
-        .agg(
-            F.count(value).alias("_n"),
-            F.min(value).alias("_min"),
-            F.max(value).alias("_max"),
-            F.percentile_approx(value, F.array(*[F.lit(e) for e in edges]), accuracy).alias("_e"),
-        )
-        .where("_n > 0")
-    )
-    k = len(p)
-    few = F.col("_n") < 2 / pad  # one place matters there: take the whole range
-    bracket = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("_i"),
-                (F.lit(x) * (F.col("_n") - 1)).alias("_rank"),
-                (F.col("_min") if x - pad <= 0 else F.when(few, F.col("_min")).otherwise(F.col("_e")[i])).alias("_lo"),
-                (F.col("_max") if x + pad >= 1 else F.when(few, F.col("_max")).otherwise(F.col("_e")[k + i])).alias("_hi"),
-            )
-            for i, x in enumerate(p)
-        ]
-    )
-    brackets = spool(sketch.select(*by, F.inline(bracket)))
-    n_brackets = brackets.count()
-    keys = [*by, "_i"]
-    rows = df.select(*by, F.col(value).alias("_v")).where("_v is not null")
-    # without groups the brackets are one row per probability
-    hit = rows.join(small(brackets, n_brackets), by) if by else rows.crossJoin(F.broadcast(brackets))
-    below = hit.groupBy(*keys).agg(F.count(F.when(F.col("_v") < F.col("_lo"), 1)).alias("_below"))
-    inside = (
-        hit.where("_v between _lo and _hi")
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    ranked = running_totals(inside, keys, ["_v"], {"_cum": "_c"}, limit)
-    placed = ranked.join(below, keys).join(brackets.select(*keys, "_rank"), keys)
-    last = F.col("_below") + F.col("_cum") - 1  # 0-based rank of the last copy of the value
-    first = last - F.col("_c") + 1
+    kinds = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by), f"`{name}` array<double>"])
+    rows = [(*group, q) for group, _, _, q in quantile_table(df, [value], probs, by)]
+    if not by:
+        return df.sparkSession.createDataFrame(rows or [(None,)], kinds)
+    found = df.sparkSession.createDataFrame(rows, kinds)
+    groups, there = df.select(*by).distinct().alias("a"), found.alias("b")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by])
+    return groups.join(F.broadcast(there), same, "left").select(*[F.col(f"a.{c}") for c in by], F.col(f"b.{name}"))
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank <= last), F.col("_v")))
 
-    low, high = F.floor("_rank"), F.ceil("_rank")
-    picked = placed.groupBy(*keys).agg(
-        at(low).alias("_a"), at(high).alias("_b"), F.max(F.col("_rank") - low).alias("_f")
-    )
-    picked = spool(picked)
-    if not picked.where("_a is null or _b is null").isEmpty():
-        if accuracy <= 16:
-            raise ValueError("no value at a quantile's rank")
-        return exact_quantile_array(df, by, value, probs, name, limit, accuracy // 16, largest)  # wider brackets
-    value_at = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
-    # one entry per probability
-    listed = F.array_sort(F.collect_list(F.struct("_i", value_at.alias("_q"))))
-    out = picked.groupBy(*by).agg(F.transform(listed, lambda s: s["_q"]).alias(name))
-    return df.select(*by).distinct().join(out, by, "left") if by else out
-
-
-def average_ranks(
-    df: DataFrame, by: Sequence[str], value: str, name: str, limit: int = GROUP_ROW_LIMIT
-) -> DataFrame:
+def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
     """Rank of each non-null value in its group; tied values share the mean of their places."""
-    ties = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    cum = running_totals(ties, by, [value], {"_cum": "_c"}, limit)
-    ranks = cum.select(*by, value, (F.col("_cum") - (F.col("_c") - 1) / F.lit(2.0)).alias(name))
+    ranks = rank_dictionary(df, by, value, name)
     return df.join(ranks, [*by, value], "left")
+
+
+def rank_dictionary(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """Rank of each different non-null value of a group: one row a value, whatever the number of copies."""
+    ties = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    cum = running_totals(ties, by, [value], {"_cum": "_c"})
+    return cum.select(*by, value, (F.col("_cum") - (F.col("_c") - 1) / F.lit(2.0)).alias(name))

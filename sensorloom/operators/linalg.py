@@ -6,11 +6,13 @@ the rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
@@ -68,6 +70,50 @@ def matrix_of(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+SUMS = "lane int, record int, sums binary"
+
+
+def records_of(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """Numbered arrays of a task's sums, for `summed`."""
+    lane = TaskContext.get().partitionId()
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lane] * len(parts), pa.int32()), pa.array(list(parts), pa.int32()), pa.array([np.ascontiguousarray(x, np.float64).tobytes() for x in parts.values()], pa.binary())],
+        ["lane", "record", "sums"],
+    )
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the records of one number that reach this task."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for record, sums in zip(batch["record"].to_pylist(), batch["sums"], strict=True):
+            part = np.frombuffer(sums.as_buffer(), np.float64)
+            if record in held:
+                held[record] += part
+            else:
+                held[record] = part.copy()
+    if held:
+        yield records_of(held)
+
+
+def summed(rows: DataFrame, fn: Callable) -> dict[int, np.ndarray]:
+    """What `fn`, a function of Arrow batches that yields `records_of`, gives over all tasks, added up by record number.
+
+    Two levels where there are many tasks: the records of some first, then those sums. The driver gets one sum a record, or
+    a few.
+    """
+    parts = rows.mapInArrow(fn, SUMS)
+    lanes = max(1, math.isqrt(rows.rdd.getNumPartitions()))
+    added = parts.withColumn("lane", F.col("lane") % lanes).repartition("record", "lane").mapInArrow(_add, SUMS)
+    if lanes > 4:
+        added = added.repartition("record").mapInArrow(_add, SUMS)
+    out: dict[int, np.ndarray] = {}
+    for r in added.collect():
+        part = np.frombuffer(r.sums, np.float64)
+        out[r.record] = out[r.record] + part if r.record in out else part
+    return out
+
+
 def arrays_of(values: np.ndarray) -> pa.Array:
     """A column of numbers, or of arrays for a matrix."""
     if values.ndim == 1:

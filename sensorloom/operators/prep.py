@@ -7,11 +7,12 @@ literals of a projection, so applying never shuffles.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import ID, SENSOR, TARGET, sensor_columns
 from ..functions.scalar import clip
 from ..session import spool
-from .frame import average_ranks, melt, sensor_stats, widen
-from .linalg import Moments, correlation_matrix, dense, moments, vector
+from .frame import melt, rank_dictionary, sensor_stats
+from .linalg import Moments, dense, moments, records_of, summed, vector
 from .profile import sensor_quantiles
 
 
@@ -70,19 +71,72 @@ def robust_scale(df: DataFrame, params: DataFrame, bound: float | None = None) -
     return df.withColumns({c: scaled(c) for c in df.columns if c in rows})
 
 
-def rank_transform(df: DataFrame, sensors: Sequence[str], id_col: str = ID) -> DataFrame:
-    """Long `(id, sensor, value, rank)` with average ranks per sensor.
+# Entries (sensor, value, rank) of a dictionary that goes to every task, 24 bytes each; a larger one is joined.
+DICTIONARY_ROWS = 2_000_000
+
+
+def _lookup(names: Sequence[str], held):
+    """Replace the values of the named columns by their ranks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, ranks = held.value
+        for batch in batches:
+            for c in names:
+                i = batch.schema.get_field_index(c)
+                x = batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+                has = ~np.isnan(x)
+                out = np.zeros(len(x))
+                out[has] = ranks[c][np.searchsorted(values[c], x[has])]
+                batch = batch.set_column(i, pa.field(c, pa.float64()), pa.array(out, mask=~has))
+            yield batch
+
+    return run
 
-    Ranks come from counts of distinct values; the join back is on (sensor, value), where a value
-    shared by very many rows is split by the adaptive skew join.
+
+def rank_columns(df: DataFrame, sensors: Sequence[str], id_col: str = ID) -> DataFrame:
+    """`(id, sensors...)` with each value replaced by its average rank in the column; nulls stay.
+
+    Ranks belong to different values, counted once and ranked in range pieces. A dictionary of up to DICTIONARY_ROWS
+    entries is looked up by every task, so no cell moves; beyond, non-null cells are joined with it and put together by row.
     """
-    return average_ranks(melt(df.select(id_col, *sensors), [id_col], sensors), ["sensor"], "value", "rank")
+    sensors = list(sensors)
+    wide = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in sensors])
+    ranks = spool(rank_dictionary(melt(wide.select(*sensors), [], sensors), ["sensor"], "value", "rank"))
+    if ranks.count() <= DICTIONARY_ROWS:
+        t = ranks.toPandas().sort_values(["sensor", "value"])
+        nothing = np.zeros(0)
+        by = {s: (g["value"].to_numpy(), g["rank"].to_numpy()) for s, g in t.groupby("sensor")}
+        held = df.sparkSession.sparkContext.broadcast(tuple({s: by.get(s, (nothing, nothing))[i] for s in sensors} for i in (0, 1)))
+        return wide.mapInArrow(_lookup(sensors, held), wide.schema)
+    cells = melt(wide, [id_col], sensors).where("value is not null").join(ranks, ["sensor", "value"])
+    of = F.map_from_entries(F.collect_list(F.struct("sensor", "rank")))  # one entry a column
+    rows = cells.groupBy(id_col).agg(of.alias("_r"))
+    return wide.select(id_col).join(rows, id_col, "left").select(id_col, *[F.col("_r")[c].alias(c) for c in sensors])
+
+
+def rank_transform(df: DataFrame, sensors: Sequence[str], id_col: str = ID) -> DataFrame:
+    """Long `(id, sensor, rank)` with average ranks per sensor, null for null."""
+    return melt(rank_columns(df, sensors, id_col), [id_col], sensors).withColumnRenamed("value", "rank")
 
 
 def spearman_matrix(df: DataFrame, sensors: Sequence[str], id_col: str = ID) -> np.ndarray:
-    """Rank correlation of complete columns: Pearson on the average ranks."""
-    ranks = rank_transform(df, sensors, id_col).select(id_col, "sensor", F.col("rank").alias("value"))
-    return correlation_matrix(widen(ranks, [id_col], sensors), sensors)
+    """Rank correlation of complete columns: Pearson on the average ranks, whose mean is known; 0 where a column is constant."""
+    ranks = rank_columns(df, sensors, id_col).select(*sensors)
+    middle = (df.count() + 1) / 2
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(sensors), len(sensors)))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) - middle
+            total += x.T @ x
+        yield records_of(dict(enumerate(total)))
+
+    rows = summed(ranks, gram)
+    g = np.stack([rows[i] for i in range(len(sensors))])
+    sd = np.sqrt(np.diag(g))
+    r = np.divide(g, np.outer(sd, sd), out=np.zeros_like(g), where=np.outer(sd, sd) > 0)
+    np.fill_diagonal(r, 1.0)
+    return r
 
 
 def edges_from_matrix(spark, r: np.ndarray, names: Sequence[str], threshold: float) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ID, TARGET, TS, require_columns, sensor_columns
 from ..functions.scalar import ratio
-from .frame import exact_quantiles, global_row_number, melt, sensor_stats
+from .frame import global_row_number, melt, sensor_stats
+from .quantile import quantile_table
 
 MAX_MISSING = 0.10
 
@@ -289,9 +290,10 @@ def split_summary(df: DataFrame) -> DataFrame:
 
 
 def sensor_quantiles(df: DataFrame, sensors: Sequence[str], probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles of each sensor (and group) from the long form.
-
-    No group is larger than the table, whose count reads no sensor column.
-    """
-    long = melt(df.select(*by, *sensors), by, sensors)
-    return exact_quantiles(long, [*by, "sensor"], "value", probs, largest=df.count())
+    """Exact quantiles of each sensor (and group), found once; null where a sensor has no value."""
+    found = {(group, j): q for group, j, _, q in quantile_table(df, sensors, list(probs.values()), by)}
+    groups = sorted({g for g, _ in found}, key=str) or ([()] if not by else [])
+    nothing = [None] * len(probs)
+    rows = [(*g, s, *found.get((g, j), nothing)) for g in groups for j, s in enumerate(sensors)]
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by]
+    return df.sparkSession.createDataFrame(rows, ", ".join([*kinds, "sensor string", *[f"{n} double" for n in probs]]))

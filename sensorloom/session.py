@@ -1,4 +1,4 @@
-"""Session helpers: where intermediate tables go, and the size limits that pick a plan."""
+"""Session helpers: where intermediate tables go, and what may be broadcast."""
 
 from __future__ import annotations
 
@@ -9,10 +9,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows of one group that a single task may sort or hold. Beyond it the operators switch to
-# their range-partitioned form, which gives the same result.
-GROUP_ROW_LIMIT = 4_000_000
-
 # Rows of a parameter table that may be broadcast by hint. Larger tables are joined by shuffle.
 BROADCAST_ROW_LIMIT = 200_000
 

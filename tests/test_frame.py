@@ -1,4 +1,4 @@
-"""The ordered primitives: both plans of each against a plain calculation."""
+"""The ordered primitives against a plain calculation."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from sensorloom.operators.frame import (
     row_number_within,
     running_totals,
 )
+from sensorloom.operators.quantile import quantile_table
 
 
 @pytest.fixture(scope="module")
@@ -45,10 +46,9 @@ def test_row_number_within(rows):
     assert got == want
 
 
-@pytest.mark.parametrize("limit", [10**9, 10])
-def test_running_totals(rows, limit):
+def test_running_totals(rows):
     data, df = rows
-    got = {r.id: r.t for r in running_totals(df, ["g"], ["v", "id"], {"t": "w"}, limit).collect()}
+    got = {r.id: r.t for r in running_totals(df, ["g"], ["v", "id"], {"t": "w"}).collect()}
     want = {}
     for g in {d[1] for d in data}:
         t = 0
@@ -58,37 +58,48 @@ def test_running_totals(rows, limit):
     assert got == want
 
 
-@pytest.mark.parametrize("limit", [10**9, 10])
-def test_exact_quantiles(rows, limit):
+def test_exact_quantiles(rows):
     data, df = rows
     probs = {"p0": 0.0, "p1": 0.01, "p25": 0.25, "p50": 0.5, "p995": 0.995, "p100": 1.0}
-    got = {r.g: [r[n] for n in probs] for r in exact_quantiles(df, ["g"], "v", probs, limit).collect()}
+    got = {r.g: [r[n] for n in probs] for r in exact_quantiles(df, ["g"], "v", probs).collect()}
     for g, q in got.items():
         vals = [d[2] for d in data if d[1] == g]
         np.testing.assert_allclose(q, np.quantile(vals, list(probs.values())), atol=1e-9)
-    total = exact_quantile_array(df, [], "v", [0.3, 0.9], "q", limit).first().q
+    total = exact_quantile_array(df, [], "v", [0.3, 0.9], "q").first().q
     np.testing.assert_allclose(total, np.quantile([d[2] for d in data], [0.3, 0.9]), atol=1e-9)
 
 
-def test_exact_quantiles_inside_bracket(spark):
-    """Enough rows for the sketch to leave most of them outside the bracket, ties included."""
-    df = spark.range(40_000).select(((F.col("id") * 7919) % 10_007).cast("double").alias("v"))
-    want = np.quantile([(i * 7919) % 10_007 for i in range(40_000)], [0.003, 0.5, 0.97])
-    got = exact_quantile_array(df, [], "v", [0.003, 0.5, 0.97], "q", 100).first().q
-    np.testing.assert_allclose(got, want, atol=1e-9)
-
-
-def test_exact_quantiles_empty_group(spark):
-    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", None)], "g string, v double")
-    for limit in (10, 1):
-        got = {r.g: r.m for r in exact_quantiles(df, ["g"], "v", {"m": 0.5}, limit).collect()}
-        assert got == {"a": 1.5, "b": None}
-
-
-@pytest.mark.parametrize("limit", [10**9, 10])
-def test_average_ranks(rows, limit):
+def test_exact_quantiles_need_every_bit(spark):
+    """Values that differ in their last bits only, of both signs, with ties and no-values."""
+    rng = np.random.default_rng(3)
+    near = np.repeat(np.nextafter(1.0, 2.0) + np.arange(500) * 2.0**-52, rng.integers(1, 4, 500))
+    v = np.concatenate([near, -near, [0.0, -0.0, 1e-300, -1e300, 1e300]])
+    rng.shuffle(v)
+    rows = [(float(x), None if i % 3 else float(-x), float("nan")) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(6)
+    probs = [0.0, 0.003, 0.25, 0.5, 0.75, 0.97, 1.0]
+    t = {j: (n, np.array(q)) for _, j, n, q in quantile_table(df, ["a", "b", "c"], probs)}
+    assert {j: n for j, (n, _) in t.items()} == {0: len(v), 1: sum(r[1] is not None for r in rows)}
+    for j in (0, 1):
+        x = np.array([r[j] for r in rows if r[j] is not None])
+        s = np.sort(x)
+        got = t[j][1]
+        at = np.array(probs) * (len(s) - 1)
+        low, high = s[np.floor(at).astype(int)], s[np.ceil(at).astype(int)]
+        assert ((low <= got) & (got <= high)).all() and got[0] == s[0] and got[-1] == s[-1]
+
+
+def test_exact_quantiles_by_two_keys(spark):
+    rows = [("a", 1, 1.0), ("a", 1, 2.0), ("a", None, 7.0), (None, 1, None), ("b", 2, 5.0)]
+    df = spark.createDataFrame(rows, "g string, h int, v double").repartition(3)
+    got = {(r.g, r.h): r.m for r in exact_quantiles(df, ["g", "h"], "v", {"m": 0.5}).collect()}
+    assert got == {("a", 1): 1.5, ("a", None): 7.0, (None, 1): None, ("b", 2): 5.0}
+    assert exact_quantile_array(df.where("v > 100"), [], "v", [0.5], "q").first().q is None
+
+
+def test_average_ranks(rows):
     data, df = rows
-    got = {r.id: r.k for r in average_ranks(df, ["g"], "v", "k", limit).collect()}
+    got = {r.id: r.k for r in average_ranks(df, ["g"], "v", "k").collect()}
     for g in {d[1] for d in data}:
         vals = np.array([d[2] for d in data if d[1] == g])
         for d in data:
