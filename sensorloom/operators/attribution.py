@@ -6,18 +6,24 @@ one entry per feature), so it needs no shuffle; parameter tables have one row pe
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import logistic
-from ..session import spool
-from .linalg import dense, vector
+from .drift import spc_vector
+from .linalg import correlation_matrix, dense, vector, with_struct
 from .metrics import outcome
 
 LOCAL_TOP, GLOBAL_TOP = 5, 15
+# Sensor groups shown; marks of a sensor without group and of the direction of a driver; clip of a draw's logit.
+GROUPS = 8
+NO_GROUP = "—"
+DIRECTIONS = ("toward Fail", "toward Pass")
+LOGIT_BOUND = 30.0
+# Numbers that a kernel holds at once.
+HELD = 4_000_000
 # Widths that separate low, moderate and high uncertainty.
 NARROW, WIDE = 0.10, 0.30
 
@@ -28,20 +34,29 @@ def _top_structs(cells: Column, k: int) -> Column:
     return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s: s["c"])
 
 
-def linear_contributions(df: DataFrame, coefs: DataFrame, keep: Sequence[str], k: int = LOCAL_TOP) -> DataFrame:
-    """Per row the k largest products coefficient x scaled value, `rank` 1 first.
+def contributors(coefs: DataFrame, value: Callable[[str], Column] = F.col, k: int = LOCAL_TOP) -> Column:
+    """The row's k largest products coefficient x scaled value, as an array of (feature, contribution, coefficient).
 
-    `coefs` is `(feature, coefficient)`, one row per model input.
+    `coefs` is `(feature, coefficient)`, one row per model input; `value` gives the scaled value of a feature.
     """
-    beta = {r.feature: r.coefficient for r in coefs.collect()}
     cells = F.array(
         *[
-            F.struct(F.lit(f).alias("feature"), (F.col(f) * F.lit(b)).alias("contribution"), F.lit(b).alias("coefficient"))
-            for f, b in beta.items()
+            F.struct(F.lit(r.feature).alias("feature"), (value(r.feature) * F.lit(r.coefficient)).alias("contribution"), F.lit(r.coefficient).alias("coefficient"))
+            for r in coefs.collect()
         ]
     )
-    top = df.select(*keep, F.posexplode(_top_structs(cells, k)).alias("_i", "_c"))
-    return top.select(*keep, (F.col("_i") + 1).alias("rank"), "_c.feature", "_c.contribution", "_c.coefficient")
+    return _top_structs(cells, k)
+
+
+def listed(rows: DataFrame, array: str, keep: Sequence[str]) -> DataFrame:
+    """One row per entry of a row's array, `rank` 1 first."""
+    top = rows.select(*keep, F.posexplode(array).alias("_i", "_c"))
+    return top.select(*keep, (F.col("_i") + 1).alias("rank"), "_c.*")
+
+
+def linear_contributions(df: DataFrame, coefs: DataFrame, keep: Sequence[str], k: int = LOCAL_TOP) -> DataFrame:
+    """`contributors` as rows `(keep..., rank, feature, contribution, coefficient)`."""
+    return listed(df.select(*keep, contributors(coefs, k=k).alias("_c")), "_c", keep)
 
 
 def _named_cells(v: Column, names: Sequence[str]) -> Column:
@@ -100,31 +115,30 @@ def posterior_backproject_rows(df: DataFrame, components: Sequence[str], draws:
                                keep: Sequence[str], top: int = LOCAL_TOP) -> DataFrame:
     """The same for every row: draws (S x K) times the row's scores, spread by the local weights."""
     weights = local_weights(loadings).T
-    p = len(sensors)
-
-    def score(s: np.ndarray) -> np.ndarray:
-        out = np.empty((len(s), 3 * p))
-        for i, row in enumerate(s):  # S x p numbers at a time
-            d = (draws * row) @ weights
-            out[i, :p] = d.mean(0)
-            out[i, p:] = np.quantile(d, [0.025, 0.975], axis=0).ravel()
+    by_name = np.argsort(np.argsort(np.array(sensors)))
+    top = min(top, len(sensors))
+
+    def score(x: np.ndarray) -> np.ndarray:
+        out = np.empty((len(x), 4 * top))
+        mean = (x * draws.mean(axis=0)) @ weights
+        at = np.lexsort((np.broadcast_to(by_name, mean.shape), -np.abs(mean)), axis=1)[:, :top]
+        step = max(1, HELD // (len(draws) * top))
+        for i in range(0, len(x), step):  # rows x draws x top numbers at a time, for the chosen sensors only
+            part, of = x[i : i + step], at[i : i + step]
+            d = np.einsum("rk,sk,krt->rst", part, draws, weights[:, of], optimize=True)
+            low, high = np.quantile(d, [0.025, 0.975], axis=1)
+            out[i : i + step] = np.concatenate([of, np.take_along_axis(mean[i : i + step], of, axis=1), low, high], axis=1)
         return out
 
     v = dense(score, "array<double>")(vector(components))
     named = F.lit(np.array(list(sensors)))
-    cells = F.transform(
-        F.sequence(F.lit(1), F.lit(p)),
-        lambda i: F.struct(
-            F.element_at(named, i).alias("feature"),
-            F.element_at(F.col("_v"), i).alias("contribution"),
-            F.element_at(F.col("_v"), i + p).alias("hdi_low"),
-            F.element_at(F.col("_v"), i + 2 * p).alias("hdi_high"),
-        ),
-    )
-    rows = df.select(*keep, v.alias("_v")).select(*keep, F.posexplode(_top_structs(cells, top)).alias("_i", "_c"))
-    return _interval(
-        rows.select(*keep, (F.col("_i") + 1).alias("rank"), "_c.feature", F.col("_c.contribution").alias("mean"), "_c.hdi_low", "_c.hdi_high")
-    )
+
+    def entry(i: Column) -> Column:
+        at = [F.get(F.col("_v"), i + j * top) for j in range(4)]
+        return F.struct(F.get(named, at[0].cast("int")).alias("feature"), at[1].alias("mean"), at[2].alias("hdi_low"), at[3].alias("hdi_high"))
+
+    cells = F.transform(F.sequence(F.lit(0), F.lit(top - 1)), entry)
+    return _interval(listed(df.select(*keep, v.alias("_v")).select(*keep, cells.alias("_c")), "_c", keep))
 
 
 def robust_sensor_map(loadings: DataFrame, components: DataFrame) -> DataFrame:
@@ -141,85 +155,135 @@ def robust_sensor_map(loadings: DataFrame, components: DataFrame) -> DataFrame:
     )
 
 
-def calibrated_interval(logits: DataFrame, calibrators: DataFrame, keep: Sequence[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Draw logits `(keep..., fold, draw, logit)` through their fold's sigmoid, pooled per row.
+def calibrated_interval(df: DataFrame, logits: Column, calibrators: DataFrame, keep: Sequence[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """`(keep..., probability, p_low, p_high)`: each fold's draw logits through its sigmoid, pooled in the row.
 
-    `calibrators` is `(fold, a, b)`: p = 1 / (1 + exp(a * base + b)).
+    `logits` is the row's array of folds x draws, fold by fold; `calibrators` is `(fold, a, b)`: p = 1 / (1 + exp(a * base + b)).
     """
-    base = logistic(F.col("logit"))
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("a") * base + F.col("b")))
-    pooled = logits.join(F.broadcast(calibrators), "fold")  # one row per fold
-    q = pooled.groupBy(*keep).agg(F.percentile(p, F.array(F.lit(low), F.lit(high))).alias("_q"))  # folds x draws values
-    return q.select(*keep, F.col("_q")[0].alias("p_low"), F.col("_q")[1].alias("p_high"))
+    ab = np.array([(r.a, r.b) for r in calibrators.orderBy("fold").collect()])  # one row per fold
+
+    def pool(x: np.ndarray) -> dict:
+        base = 1 / (1 + np.exp(-np.clip(x, -LOGIT_BOUND, LOGIT_BOUND))).reshape(len(x), len(ab), -1)
+        p = (1 / (1 + np.exp(ab[:, 0, None] * base + ab[:, 1, None]))).reshape(len(x), -1)
+        q = np.quantile(p, [low, high], axis=1)
+        return {"probability": p.mean(axis=1), "p_low": q[0], "p_high": q[1]}
+
+    return with_struct(df, dense(pool, "probability double, p_low double, p_high double")(logits)).select(*keep, "probability", "p_low", "p_high")
 
 
 def global_importance(coefs: DataFrame, top: int = GLOBAL_TOP) -> DataFrame:
     return coefs.withColumn("abs_coefficient", F.abs("coefficient")).orderBy(F.desc("abs_coefficient"), "feature").limit(top)
 
 
-def sensor_groups(edges: DataFrame, sensors: DataFrame) -> DataFrame:
-    """Connected components of the correlation edges `(a, b)`; the rolling twin shares the group.
+def average_linkage(distance: np.ndarray) -> list[tuple[int, int, float]]:
+    """Merges (a, b, height) of average-linkage clustering by the nearest-neighbour chain; a cluster goes by its least member."""
+    n = len(distance)
+    d = distance.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    size, alive, chain, merges = np.ones(n), np.ones(n, bool), [], []
+    while len(merges) < n - 1:
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        while True:
+            here = chain[-1]
+            near = int(np.argmin(d[here]))
+            if len(chain) > 1 and d[here, chain[-2]] <= d[here, near]:
+                near = chain[-2]
+                break
+            chain.append(near)
+        del chain[-2:]
+        a, b = sorted((here, near))
+        merges.append((a, b, float(d[a, b])))
+        mean = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        d[a], d[:, a] = mean, mean
+        d[a, a], d[b], d[:, b] = np.inf, np.inf, np.inf
+        size[a] += size[b]
+        alive[b] = False
+    return merges
+
+
+def linkage_groups(distance: np.ndarray, most: int) -> np.ndarray:
+    """Group number of each item, from 1 by first member: the merges up to the least height that leaves at most `most` groups."""
+    n = len(distance)
+    of = np.arange(n)
+    merges = sorted(average_linkage(distance), key=lambda m: m[2])
+    needed = n - max(1, min(most, n))
+    for k, (a, b, height) in enumerate(merges):
+        if k >= needed and height > merges[needed - 1][2] if needed else True:
+            break
+        ra, rb = of[a], of[b]
+        of[of == max(ra, rb)] = min(ra, rb)
+    return np.unique(of, return_inverse=True)[1] + 1
+
+
+def sensor_groups(df: DataFrame, sensors: Sequence[str], most: int = GROUPS) -> DataFrame:
+    """`(sensor, group)`: average-linkage groups on 1 - |correlation| of complete columns; the rolling twin shares its group.
 
-    Labels spread along the edges and jump to the label of their label until nothing changes.
-    Groups are numbered by their first sensor.
+    The correlations come from one aggregation of the rows; the tree is built on the columns alone.
     """
-    both = spool(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = spool(sensors.select("sensor", F.col("sensor").alias("label")))
-    while True:  # labels only fall
-        near = both.join(labels.select(F.col("sensor").alias("b"), "label"), "b").groupBy(F.col("a").alias("sensor")).agg(F.min("label").alias("_n"))
-        step = labels.join(near, "sensor", "left").select("sensor", F.least("label", "_n").alias("_l"), F.col("label").alias("_old"))
-        jump = labels.select(F.col("sensor").alias("_l"), F.col("label").alias("_j"))
-        new = spool(step.join(jump, "_l", "left").select("sensor", F.least("_l", "_j").alias("label"), "_old"))
-        changed = not new.where("label <> _old").isEmpty()
-        labels = new.drop("_old")
-        if not changed:
-            break
-    w = Window.orderBy("label")  # one row per group
-    ids = labels.select("label").distinct().withColumn("group", F.concat(F.lit("G"), F.row_number().over(w)))
-    grouped = labels.join(ids, "label").select("sensor", "group")
-    return grouped.unionByName(grouped.withColumn("sensor", F.concat("sensor", F.lit("_rz"))))
+    distance = np.clip(1 - np.abs(correlation_matrix(df, sensors)), 0, None)
+    number = linkage_groups((distance + distance.T) / 2, most)
+    rows = [(s + twin, f"G{g}") for twin in ("", "_rz") for s, g in zip(sensors, number.tolist(), strict=True)]
+    return df.sparkSession.createDataFrame(rows, "sensor string, group string")
 
 
 # --- enrichment and records -------------------------------------------------------------------
 
 
-def enrich_contributors(contrib: DataFrame, drift: DataFrame, groups: DataFrame, spc: DataFrame, id_col: str, limit: float = 2.0) -> DataFrame:
-    """Add `spc_z`, `drift_shift`, `drift_flag` and `group`; unmatched: null, null, false, "—".
+def _by_sensor(table: DataFrame, value: str, kind: str) -> Callable[[Column], Column]:
+    """Lookup of a value by sensor, null for others; `table` has one row per sensor."""
+    found = {r["sensor"]: r[value] for r in table.select("sensor", value).collect() if r[value] is not None}
+    if not found:
+        return lambda feature: F.lit(None).cast(kind)
+    held = F.create_map(*[F.lit(x) for kv in found.items() for x in kv])
+    return lambda feature: F.try_element_at(held, feature).cast(kind)
 
-    `drift` and `groups` have one row per sensor, `spc` one per (row, sensor).
-    """
-    d = drift.select(F.col("sensor").alias("feature"), F.col("shift").alias("drift_shift"))
-    g = groups.select(F.col("sensor").alias("feature"), F.col("group").alias("_g"))
-    s = spc.select(id_col, F.col("sensor").alias("feature"), "spc_z")
-    out = contrib.join(F.broadcast(d), "feature", "left").join(F.broadcast(g), "feature", "left").join(s, [id_col, "feature"], "left")
-    return out.select(
-        *contrib.columns, "spc_z", "drift_shift",
-        F.coalesce(F.abs("drift_shift") > limit, F.lit(False)).alias("drift_flag"),
-        F.coalesce("_g", F.lit("—")).alias("group"),
-    )
 
+def enrich_contributors(
+    rows: DataFrame, drift: DataFrame, groups: DataFrame, spc: DataFrame, sensors: Sequence[str], array: str = "contributors", limit: float = 2.0
+) -> DataFrame:
+    """Add `spc_z`, `drift_shift`, `drift_flag` and `group` to each entry of the row's array; unmatched: null, null, false, "—".
 
-def annotate_robust(contrib: DataFrame, robust: DataFrame) -> DataFrame:
-    """Add `robust` per feature (one row per sensor on the right), null where unknown."""
-    return contrib.join(F.broadcast(robust.select(F.col("sensor").alias("feature"), "robust")), "feature", "left")
-
-
-def key_findings(contrib: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per row: the strongest driver with direction, z and drift flag, and counts."""
-    order = F.struct(F.abs("contribution"), -F.col("rank"))
-    top = F.max_by(F.struct("feature", "contribution", "spc_z", "drift_flag"), order).alias("_t")
-    return contrib.groupBy(*by).agg(
-        top,
-        F.count(F.lit(1)).alias("n_contributors"),
-        F.count(F.when(F.col("drift_flag"), 1)).alias("n_drifting"),
-        F.count(F.when(F.col("robust"), 1)).alias("n_robust"),
-    ).select(
-        *by,
-        F.col("_t.feature").alias("top_driver"),
-        F.when(F.col("_t.contribution") > 0, "toward Fail").otherwise("toward Pass").alias("top_direction"),
-        F.col("_t.spc_z").alias("top_spc_z"),
-        F.col("_t.drift_flag").alias("top_drifting"),
-        "n_contributors", "n_drifting", "n_robust",
+    `drift` (sensor, shift), `groups` (sensor, group) and `spc` (`fit_spc`) have one row per sensor and become literals; the z
+    comes from the row's own raw `sensors`, so no row moves.
+    """
+    shift, group = _by_sensor(drift, "shift", "double"), _by_sensor(groups, "group", "string")
+    z, named = spc_vector(sensors, spc), F.lit(np.array(list(sensors)))
+
+    def entry(c: Column) -> Column:
+        s = shift(c["feature"])
+        return (
+            c.withField("spc_z", F.get(F.col("_z"), (F.array_position(named, c["feature"]) - 1).cast("int")))
+            .withField("drift_shift", s)
+            .withField("drift_flag", F.coalesce(F.abs(s) > limit, F.lit(False)))
+            .withField("group", F.coalesce(group(c["feature"]), F.lit(NO_GROUP)))
+        )
+
+    return rows.withColumn("_z", z).withColumn(array, F.transform(array, entry)).drop("_z")
+
+
+def annotate_robust(rows: DataFrame, robust: DataFrame, array: str = "contributors") -> DataFrame:
+    """Add `robust` to each entry (one row per sensor on the right), null where unknown."""
+    known = _by_sensor(robust, "robust", "boolean")
+    return rows.withColumn(array, F.transform(array, lambda c: c.withField("robust", known(c["feature"]))))
+
+
+def key_findings(rows: DataFrame, keep: Sequence[str], array: str = "contributors") -> DataFrame:
+    """Per row with contributors: the strongest, which stands first, with direction, z and drift flag, and counts."""
+    top, c = F.col(array)[0], F.col(array)
+
+    def n(flag: str) -> Column:
+        return F.size(F.filter(c, lambda e: F.coalesce(e[flag], F.lit(False)))).cast("long")
+
+    return rows.where(F.size(array) > 0).select(
+        *keep,
+        top["feature"].alias("top_driver"),
+        F.when(top["contribution"] > 0, DIRECTIONS[0]).otherwise(DIRECTIONS[1]).alias("top_direction"),
+        top["spc_z"].alias("top_spc_z"),
+        top["drift_flag"].alias("top_drifting"),
+        F.size(array).cast("long").alias("n_contributors"),
+        n("drift_flag").alias("n_drifting"),
+        n("robust").alias("n_robust"),
     )
 
 
@@ -249,22 +313,21 @@ def borderline(p: Column, threshold: Column) -> Column:
     return (p >= 0.5 * threshold) & (p <= 2.0 * threshold)
 
 
-def contributor_entry() -> Column:
+def contributor_entry(c: Column) -> Column:
     """One contributor as a record; absent facts are null and vanish from the JSON."""
-    raises = F.col("contribution") > 0
     direction = (
-        F.when(F.col("coefficient").isNotNull(), F.when(F.col("coefficient") > 0, "positive").otherwise("negative"))
-        .when(raises, "raises_fail_risk")
+        F.when(c["coefficient"].isNotNull(), F.when(c["coefficient"] > 0, "positive").otherwise("negative"))
+        .when(c["contribution"] > 0, "raises_fail_risk")
         .otherwise("lowers_fail_risk")
     )
     return F.struct(
-        F.col("feature").alias("feature"),
-        F.bround("contribution", 4).alias("contribution"),
+        c["feature"].alias("feature"),
+        F.bround(c["contribution"], 4).alias("contribution"),
         direction.alias("direction"),
-        F.bround("spc_z", 2).alias("spc_z"),
-        F.col("drift_flag").alias("drifting"),
-        F.bround("drift_shift", 2).alias("drift_shift"),
-        F.col("robust").alias("attribution_robust"),
+        F.bround(c["spc_z"], 2).alias("spc_z"),
+        c["drift_flag"].alias("drifting"),
+        F.bround(c["drift_shift"], 2).alias("drift_shift"),
+        c["robust"].alias("attribution_robust"),
     )
 
 
@@ -273,15 +336,20 @@ RAISING, LOWERING = ("positive", "raises_fail_risk"), ("negative", "lowers_fail_
 CAVEAT = "associations only: no cause is proven and no tool or chamber is known"
 
 
-def wafer_facts(outcomes: DataFrame, contrib: DataFrame, gate_facts: DataFrame | None, model_id: str, track: str, id_col: str) -> DataFrame:
+# The spaces that contributions are told in.
+SENSOR_SPACE, BACK_PROJECTED = "sensor", "sensor (PLS back-projected)"
+
+
+def wafer_facts(
+    outcomes: DataFrame, contrib: DataFrame, gate_facts: DataFrame | None, model_id: str, track: str, id_col: str,
+    model_name: str | None = None, method: str = "", array: str = "contributors",
+) -> DataFrame:
     """One fact record per row.
 
-    `outcomes`: id, y_true, y_pred, probability, threshold, p_low, p_high. `contrib`: the enriched
-    top contributors, a handful per row. `gate_facts`: id and a `bayes` struct.
+    `outcomes`: id, y_true, y_pred, probability, threshold, p_low, p_high. `contrib`: id and the array of enriched top
+    contributors. `gate_facts`: id and a `bayes` struct. `method` names how contributions were found.
     """
-    entries = contrib.withColumn("_e", contributor_entry()).groupBy(id_col).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "_e"))), lambda s: s["_e"]).alias("top_contributors")
-    )
+    entries = contrib.select(id_col, F.transform(array, contributor_entry).alias("top_contributors"))
     out = outcomes.join(entries, id_col, "left")
     if gate_facts is not None:
         out = out.join(gate_facts.select(id_col, "bayes"), id_col, "left")
@@ -298,7 +366,9 @@ def wafer_facts(outcomes: DataFrame, contrib: DataFrame, gate_facts: DataFrame |
         id_col,
         F.struct(
             F.lit(model_id).alias("model_id"),
+            F.lit(model_name or model_id).alias("model_name"),
             F.lit(track).alias("track"),
+            F.lit(BACK_PROJECTED if model_id.startswith("pls_") else SENSOR_SPACE).alias("feature_space"),
             F.col(id_col).cast("string").alias("wafer_id"),
             "actual", "predicted", "outcome",
             p.alias("fail_probability"),
@@ -307,6 +377,7 @@ def wafer_facts(outcomes: DataFrame, contrib: DataFrame, gate_facts: DataFrame |
             n(lambda e: e["drifting"]).alias("n_drifting_contributors"),
             n(lambda e: e["direction"].isin(*RAISING)).alias("n_raising_contributors"),
             n(lambda e: e["direction"].isin(*LOWERING)).alias("n_lowering_contributors"),
+            F.lit(method).alias("method"),
             F.coalesce("top_contributors", F.array().cast("array<struct<feature:string,contribution:double,direction:string,spc_z:double,drifting:boolean,drift_shift:double,attribution_robust:boolean>>")).alias("top_contributors"),
             F.lit(CAVEAT).alias("caveat"),
             interval.alias("fail_probability_credible_interval"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,19 +167,22 @@ def fit_spc(reference: DataFrame, sensors: Sequence[str], least: int = 5) -> Dat
     return q.join(s, "sensor").where(F.col("n") >= least).select("sensor", "median", scale.alias("scale")).where("scale > 0")
 
 
+def spc_vector(sensors: Sequence[str], params: DataFrame) -> Column:
+    """The row's robust z of each sensor, in order: distance from the reference median in robust SDs, null where undefined."""
+    fitted = {r.sensor: (r.median, r.scale) for r in params.collect()}  # one row per sensor
+
+    def z(c: str) -> Column:
+        return (F.col(c) - F.lit(fitted[c][0])) / F.lit(fitted[c][1]) if c in fitted else F.lit(None).cast("double")
+
+    return F.array(*[z(c) for c in sensors])
+
+
 def spc_robust_z(rows: DataFrame, sensors: Sequence[str], params: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Long `(keep..., sensor, spc_z)`: distance from the reference median in robust SDs."""
-    fitted = {r.sensor: (r.median, r.scale) for r in params.collect()}
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("sensor"),
-                ((F.col(c) - F.lit(fitted[c][0])) / F.lit(fitted[c][1]) if c in fitted else F.lit(None).cast("double")).alias("spc_z"),
-            )
-            for c in sensors
-        ]
+    """Long `(keep..., sensor, spc_z)`."""
+    named = F.lit(np.array(list(sensors)))
+    return rows.select(*keep, F.posexplode(spc_vector(sensors, params)).alias("_i", "spc_z")).select(
+        *keep, F.get(named, F.col("_i")).alias("sensor"), "spc_z"
     )
-    return rows.select(*keep, F.inline(cells))
 
 
 def spc_reference(rows: DataFrame, reference: DataFrame, sensors: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -189,17 +193,21 @@ def spc_reference(rows: DataFrame, reference: DataFrame, sensors: Sequence[str],
     return melt(rows.select(*keep, *sensors), keep, sensors).join(F.broadcast(q), "sensor", "left")
 
 
-def drift_spikes(z: DataFrame, drift: DataFrame, keep: Sequence[str], top: int = 15, limit: float = SHIFT_LIMIT) -> DataFrame:
+def drift_spikes(rows: DataFrame, sensors: Sequence[str], params: DataFrame, drift: DataFrame, keep: Sequence[str], top: int = 15, limit: float = SHIFT_LIMIT) -> DataFrame:
     """Per row its strongest robust z on the globally drifted sensors, and how many exceed 2.
 
-    A row has at most one value per sensor, so ranking inside a row stays small.
+    The z of a row's own sensors are ranked inside the row, so cells neither move nor leave their row.
     """
-    drifted = drift.where(F.abs("shift") > limit).select("sensor", F.col("shift").alias("drift_shift"))
-    hits = z.where("spc_z is not null").join(F.broadcast(drifted), "sensor")
-    w = Window.partitionBy(*keep)
-    ranked = hits.select(
-        "*",
-        F.row_number().over(w.orderBy(F.abs("spc_z").desc(), "sensor")).alias("rank"),
-        F.count(F.when(F.abs("spc_z") > 2, 1)).over(w).alias("n_beyond_2"),
+    drifted = {r["sensor"]: r["shift"] for r in drift.where(F.abs("shift") > limit).collect()}  # one row per sensor
+    names = [c for c in sensors if c in drifted]
+    cells = F.zip_with(
+        spc_vector(names, params), F.lit(np.array(names)) if names else F.array().cast("array<string>"),
+        lambda z, c: F.struct((-F.abs(z)).alias("order"), c.alias("sensor"), z.alias("robust_z")),
+    )
+    ranked = rows.select(*keep, F.array_sort(F.filter(cells, lambda c: c["robust_z"].isNotNull())).alias("_c"))
+    beyond = F.size(F.filter("_c", lambda c: F.abs(c["robust_z"]) > 2)).cast("long").alias("n_beyond_2")
+    shift = F.create_map(*[F.lit(x) for c in names for x in (c, drifted[c])]) if names else F.lit(None).cast("map<string,double>")
+    listed = ranked.select(*keep, beyond, F.posexplode(F.slice("_c", 1, top)).alias("_i", "_c"))
+    return listed.select(
+        *keep, "_c.sensor", "_c.robust_z", F.try_element_at(shift, F.col("_c.sensor")).alias("drift_shift"), (F.col("_i") + 1).alias("rank"), "n_beyond_2"
     )
-    return ranked.where(F.col("rank") <= top).withColumnRenamed("spc_z", "robust_z")

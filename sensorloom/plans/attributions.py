@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import r6
 from ..operators import attribution, models, ordering, prep, split
-from ..operators.linalg import loadings_table
+from ..operators.linalg import dense, loadings_table, vector
 from ..sources import fixtures as fx
 from . import drifts, gates as g
 from . import sql
@@ -138,7 +138,7 @@ CALIB = [(0, -4.0, 1.5), (1, -3.5, 1.2), (2, -5.0, 2.0)]
     "pp as (select raw_row_id, 1 / (1 + exp(a / (1 + exp(-greatest(least(logit, 30), -30))) + b)) as p from lg, cal)",
     final=f"select raw_row_id, {sql.r6('quantile_cont(p, 0.025)')} as p_low, {sql.r6('quantile_cont(p, 0.975)')} as p_high from pp group by 1"))
 def _(spark, sf):
-    return _round2(_interval(spark, sf))
+    return _round2(_interval(spark, sf)).select("raw_row_id", "p_low", "p_high")
 
 
 def _round2(df):
@@ -146,11 +146,10 @@ def _round2(df):
 
 
 def _interval(spark, sf):
-    cells = F.array(*[F.struct(F.lit(d).alias("draw"), (F.col("pls_0") * float(b[0]) + F.col("pls_1") * float(b[1])).alias("logit")) for d, b in enumerate(DRAWS)])
-    rows = _scored(spark, sf).select("raw_row_id", F.inline(cells))
-    logits = rows.select("*", F.explode(F.array(*[F.lit(f) for f in range(3)])).alias("fold"))
+    """Every fold has the same draws here."""
+    logits = dense(lambda x: np.tile(x @ DRAWS.T, len(CALIB)), "array<double>")(vector(["pls_0", "pls_1"]))
     cal = spark.createDataFrame(CALIB, "fold int, a double, b double")
-    return attribution.calibrated_interval(logits, cal, ["raw_row_id"])
+    return attribution.calibrated_interval(_scored(spark, sf), logits, cal, ["raw_row_id", "target"])
 
 
 @query("draws_score", with_(*BASE, *g.PCA, DRAW, "lg as (select raw_row_id, draw, sum(t * beta) + 0.1 as logit from t join draws using (k) group by 1, 2)",
@@ -186,27 +185,29 @@ def _(spark, sf):
 
 # --- groups ------------------------------------------------------------------------------------
 
+# Greedy merging by the definition: the two groups with the least mean distance, until eight are left.
 GROUPS = (
     "amed as (select sensor, median(value) as median from cells join era using (raw_row_id) where split = 'train' group by sensor)",
     "fc as materialized (select raw_row_id, sensor, coalesce(value, median) as v from cells join amed using (sensor) join era using (raw_row_id) where split = 'train')",
-    "pr as materialized (select a.sensor as a, b.sensor as b, corr(a.v, b.v) as r from fc a join fc b on a.raw_row_id = b.raw_row_id and a.sensor < b.sensor group by 1, 2)",
-    "edge as materialized (select a, b from pr where abs(r) > 0.13 and not isnan(r) union all select b, a from pr where abs(r) > 0.13 and not isnan(r))",
-    "reach(sensor, other) as (select distinct sensor, sensor from cells union select r.sensor, e.b from reach r join edge e on e.a = r.other)",
-    "lab as (select sensor, min(other) as label from reach group by 1)",
-    "gid as (select label, 'G' || row_number() over (order by label) as g from (select distinct label from lab))",
-    "groups as (select sensor, g from lab join gid using (label) union all select sensor || '_rz', g from lab join gid using (label))",
+    "pr as materialized (select a.sensor as a, b.sensor as b, corr(a.v, b.v) as r from fc a join fc b on a.raw_row_id = b.raw_row_id group by 1, 2)",
+    "dist as materialized (select a, b, 1 - abs(case when r is null or isnan(r) then 0 else r end) as d from pr where a <> b)",
+    f"""merged(step, sensor, g) as (
+        select 0, sensor, sensor from amed
+        union all
+        select step + 1, sensor, case when g = m.b then m.a else g end
+        from merged, (select x.g as a, y.g as b from merged x join merged y on x.g < y.g join dist on dist.a = x.sensor and dist.b = y.sensor
+                      group by x.g, y.g order by avg(d), x.g, y.g limit 1) m
+        where step < {len(fx.SENSORS) - attribution.GROUPS})""",
+    f"lab as (select sensor, g, min(substr(sensor, 3)::int) over (partition by g) as first from merged where step = {len(fx.SENSORS) - attribution.GROUPS})",
+    "numbered as (select sensor, 'G' || dense_rank() over (order by first) as g from lab)",
+    "groups as (select sensor, g from numbered union all select sensor || '_rz', g from numbered)",
 )
 
 
 def _groups(spark, sf):
     s = split.temporal_split(fx.wafers(spark, sf)).drop("measurement_ts")
     s = s.where("split = 'train'")
-    x = prep.median_impute(s, fx.SENSORS, prep.fit_median(s, fx.SENSORS))
-    from ..operators.linalg import correlation_matrix
-
-    r = correlation_matrix(x, fx.SENSORS)
-    edges = prep.edges_from_matrix(spark, r, fx.SENSORS, 0.13)
-    return attribution.sensor_groups(edges, spark.createDataFrame([(c,) for c in fx.SENSORS], "sensor string"))
+    return attribution.sensor_groups(prep.median_impute(s, fx.SENSORS, prep.fit_median(s, fx.SENSORS)), fx.SENSORS)
 
 
 @query("sensor_groups", "with recursive " + with_(WAFER, CELLS, ERA, *GROUPS, final='select sensor, g as "group" from groups')[5:])
@@ -227,23 +228,28 @@ REC = (WAFER, CELLS, *SHIFTS, ERA, drifts.REF, drifts.SPC, *g.PCA, *[c for c in
 
 
 def _enriched(spark, sf):
-    contrib = _contrib(spark, sf)
+    """Rows with their enriched contributors: raw sensors for the z, their scaled form for the contributions."""
+    rows = fx.wafers(spark, sf).withColumn("contributors", attribution.contributors(_coefs(spark), lambda c: 4 * F.coalesce(c, F.lit(0.0))))
     dr = drifts._drift(spark, sf).where(F.col("sensor").isin(*GIVEN))
     groups = spark.createDataFrame([(s, f"G{i % 3}") for i, s in enumerate(GIVEN[:4])], "sensor string, group string")
-    z = drifts.spc_z(spark, sf).where(F.col("sensor").isin(*GIVEN))
-    e = attribution.enrich_contributors(contrib, dr, groups, z, "raw_row_id", limit=0.05)
+    _, ref = drifts._reference(spark, sf)
+    e = attribution.enrich_contributors(rows, dr, groups, drifts.drift.fit_spc(ref, GIVEN), GIVEN, limit=0.05)
     robust = loadings_table(spark, W, GIVEN).where("k = 1").select("sensor", (F.col("w") > 0).alias("robust"))
-    return attribution.annotate_robust(e, robust)
+    return attribution.annotate_robust(e, robust).select("raw_row_id", "contributors")
+
+
+def _entries(spark, sf):
+    return attribution.listed(_enriched(spark, sf), "contributors", ["raw_row_id"])
 
 
 @query("enrich_contributors", with_(*REC, final=f"select raw_row_id, rank, feature, {sql.r6('spc_z')} as spc_z, {sql.r6('drift_shift')} as drift_shift, drift_flag, " + "coalesce(case feature " + " ".join(f"when '{s}' then 'G{i % 3}'" for i, s in enumerate(GIVEN[:4])) + " end, '—') as \"group\" from en"))
 def _(spark, sf):
-    return _enriched(spark, sf).select("raw_row_id", "rank", "feature", r6("spc_z").alias("spc_z"), r6("drift_shift").alias("drift_shift"), "drift_flag", "group")
+    return _entries(spark, sf).select("raw_row_id", "rank", "feature", r6("spc_z").alias("spc_z"), r6("drift_shift").alias("drift_shift"), "drift_flag", "group")
 
 
 @query("annotate_robust", with_(*REC, final="select raw_row_id, feature, robust from en"))
 def _(spark, sf):
-    return _enriched(spark, sf).select("raw_row_id", "feature", "robust")
+    return _entries(spark, sf).select("raw_row_id", "feature", "robust")
 
 
 @query("key_findings", with_(*REC, final=f"""select raw_row_id, arg_min(feature, rank) as top_driver, case when arg_min(contribution, rank) > 0 then 'toward Fail' else 'toward Pass' end as top_direction,
@@ -253,18 +259,14 @@ def _(spark, sf):
 
 
 def _facts(spark, sf):
-    p = _interval(spark, sf)
-    cells = F.array(*[F.struct(F.lit(d).alias("draw"), (F.col("pls_0") * float(b[0]) + F.col("pls_1") * float(b[1])).alias("logit")) for d, b in enumerate(DRAWS)])
-    base = _scored(spark, sf).select("raw_row_id", F.col("target").alias("y_true"), F.inline(cells))
-    prob = F.lit(0.0)
-    for _, a, b in CALIB:
-        prob = prob + 1 / (1 + F.exp(a / (1 + F.exp(-F.col("logit"))) + b)) / len(CALIB)
-    probs = base.groupBy("raw_row_id", "y_true").agg(F.avg(prob).alias("probability"))
-    out = probs.join(p, "raw_row_id").withColumns({"y_pred": (F.col("probability") >= THR).cast("int"), "threshold": F.lit(THR)})
+    p = _interval(spark, sf).withColumnRenamed("target", "y_true")
+    out = p.withColumns({"y_pred": (F.col("probability") >= THR).cast("int"), "threshold": F.lit(THR)})
     from ..operators import gates as gate_ops
 
     gate_facts = gate_ops.wafer_gate_facts({"bayes": g._fflags(spark, sf)}, "raw_row_id")
-    return attribution.wafer_facts(out, _enriched(spark, sf), gate_facts, "pls_bayes", "extrapolation", "raw_row_id")
+    return attribution.wafer_facts(
+        out, _enriched(spark, sf), gate_facts, "pls_bayes", "extrapolation", "raw_row_id", "PLS components, draws of coefficients", "coefficient x scaled value"
+    )
 
 
 @query("wafer_facts", with_(*REC,

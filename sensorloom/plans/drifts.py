@@ -119,6 +119,5 @@ def _(spark, sf):
     final=f"select * from (select raw_row_id, sensor, {sql.r6('z')} as robust_z, {sql.r6('shift')} as drift_shift, row_number() over (partition by raw_row_id order by abs(z) desc, sensor)::int as rank, count(*) filter (abs(z) > 2) over (partition by raw_row_id) as n_beyond_2 from hit) where rank <= 15"))
 def _(spark, sf):
     s, ref = _reference(spark, sf)
-    z = drift.spc_robust_z(s.where("split = 'test'"), fx.SENSORS, drift.fit_spc(ref, fx.SENSORS), ["raw_row_id"])
-    out = drift.drift_spikes(z, _drift(spark, sf), ["raw_row_id"], limit=0.3)
+    out = drift.drift_spikes(s.where("split = 'test'"), fx.SENSORS, drift.fit_spc(ref, fx.SENSORS), _drift(spark, sf), ["raw_row_id"], limit=0.3)
     return out.withColumns({"robust_z": r6("robust_z"), "drift_shift": r6("drift_shift")})

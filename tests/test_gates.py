@@ -96,19 +96,44 @@ def test_full_coverage_is_global(spark):
     assert out[0.8].n_kept == 160
 
 
-def test_groups_of_a_chain(spark):
-    edges = spark.createDataFrame([(f"c_{i}", f"c_{i + 1}") for i in range(8)], "a string, b string")
-    sensors = spark.createDataFrame([(f"c_{i}",) for i in range(10)], "sensor string")
-    got = {r.sensor: r.group for r in attribution.sensor_groups(edges, sensors).collect()}
-    assert len({got[f"c_{i}"] for i in range(9)}) == 1 and got["c_9"] != got["c_0"] and got["c_9_rz"] == got["c_9"]
+def brute_linkage(d, most):
+    """Merge the two groups of least mean distance until `most` are left."""
+    groups = [[i] for i in range(len(d))]
+    while len(groups) > most:
+        pairs = [(np.mean([d[i, j] for i in a for j in b]), x, y) for x, a in enumerate(groups) for y, b in enumerate(groups) if x < y]
+        _, x, y = min(pairs)
+        groups[x] += groups.pop(y)
+    return {frozenset(g) for g in groups}
+
+
+def test_average_linkage_is_greedy_merging():
+    rng = np.random.default_rng(6)
+    for n, most in ((2, 1), (5, 3), (30, 8), (40, 1), (12, 12)):
+        x = rng.normal(size=(n, 3))
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        got = attribution.linkage_groups(d, most)
+        assert {frozenset(np.flatnonzero(got == g).tolist()) for g in set(got.tolist())} == brute_linkage(d, most)
+        assert got[0] == 1 and len(set(got.tolist())) == most
+
+
+def test_correlated_sensors_share_a_group_with_their_twins(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(300, 3))
+    x = np.c_[base, base + rng.normal(0, 0.1, (300, 3))]
+    names = [f"c_{i}" for i in range(6)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in names))
+    got = {r.sensor: r.group for r in attribution.sensor_groups(df, names, 3).collect()}
+    assert [got[f"c_{i}"] for i in range(3)] == [got[f"c_{i + 3}"] for i in range(3)] == ["G1", "G2", "G3"]
+    assert all(got[f"{c}_rz"] == got[c] for c in names)
 
 
 def _facts(spark, outcome=(1, 1)):
     o = spark.createDataFrame([(1, *outcome, 0.82, 0.3, 0.6, 0.95)], "id int, y_true int, y_pred int, probability double, threshold double, p_low double, p_high double")
     c = spark.createDataFrame([(1, 1, "c_1", 0.5, 0.3, 2.5, 2.1, True, True), (1, 2, "c_2", -0.2, None, None, None, False, None)],
                               "id int, rank int, feature string, contribution double, coefficient double, spc_z double, drift_shift double, drift_flag boolean, robust boolean")
+    c = c.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*c.columns[1:]))).alias("contributors"))
     g = gates.wafer_gate_facts({"bayes": spark.createDataFrame([(1, True, False, True)], "id int, density_ooc boolean, q_ooc boolean, ooc boolean")}, "id")
-    return attribution.wafer_facts(o, c, g, "pls_bayes", "extrapolation", "id")
+    return attribution.wafer_facts(o, c, g, "pls_bayes", "extrapolation", "id", "PLS, draws", "unit test")
 
 
 def test_fact_record_round_trip(spark):
@@ -117,6 +142,7 @@ def test_fact_record_round_trip(spark):
     assert rec["outcome"] == "caught_fail" and rec["uncertainty"] == "high" and rec["borderline"] is False
     assert rec["top_contributors"][0]["direction"] == "positive" and rec["top_contributors"][1]["direction"] == "lowers_fail_risk"
     assert "spc_z" not in rec["top_contributors"][1]
+    assert (rec["model_name"], rec["feature_space"], rec["method"]) == ("PLS, draws", "sensor (PLS back-projected)", "unit test")
     assert rec["process_gates"]["bayes"] == {"out_of_control": True, "tripped": ["BGM density below limit"]}
 
 
