@@ -79,6 +79,7 @@ def give_back(*broadcasts) -> None:
     for b in broadcasts:
         vars(b).pop("_value", None)  # read again from its file when next needed
     _Powers.up = _Powers.down = np.ones(0, np.uint64)
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import glob
+import random
 import struct
 import zlib
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -26,9 +28,35 @@ def _ids(tokenizer, text):
 
 def test_pieces_give_the_ids_of_whole_texts(tokenizer):
     texts = ["a  b", "a \n b", " x", "\n\nq", "tab\tx", "nb sp  \n", "it's  we'll", "é² ³.", "", "\n", " ", "a b", "don't stop 12 ab12", "<|endoftext|> hi", "a\nb c.\nd", "x\x1cy z", "end ", "end\n", "  wide", "a\x00b c"]
-    got = tokens._encode_texts(tokens.vocabulary_path(), texts)
-    for text, data in zip(texts, got, strict=True):
-        assert list(struct.unpack(f"<{len(data) // 4}I", data)) == tokenizer.encode(text, add_special_tokens=False).ids, text
+    store = tokens.Pieces(tokens.vocabulary_path())
+    for _ in range(2):  # new pieces, then remembered ones
+        got = tokens._encode_texts(store, texts, 2)
+        for text, ids in zip(texts, got, strict=True):
+            assert ids.tolist() == _ids(tokenizer, text), text
+
+
+def test_random_texts_with_a_small_memory(tokenizer, monkeypatch):
+    rng = random.Random(4)
+    parts = ["a", "the", " the", "\n", " ", "é", "\U0001f600", "'s", "12", ".", "zzzzqx", "\t", "  ", "日本", "<s>", "\ud800"[:0]]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(3_000)]
+    texts += ["word " * 50 + f"w{i} x{i * 7}" for i in range(500)]
+    monkeypatch.setattr(tokens, "MEMORY", 300)
+    monkeypatch.setattr(tokens, "LONG", 120)
+    store = tokens.Pieces(tokens.vocabulary_path())
+    for top in range(0, len(texts), 70):
+        for text, ids in zip(texts[top : top + 70], tokens._encode_texts(store, texts[top : top + 70], 2), strict=True):
+            assert ids.tolist() == _ids(tokenizer, text), text
+    assert sum(len(t["keys"]) for t in store.tiers) < 1_000
+
+
+def test_pieces_that_share_a_key_keep_their_own_ids():
+    store = tokens.Pieces(tokens.vocabulary_path())
+    words = ["alpha", "beta", "gamma"]
+    want = [store.whole(w).tolist() for w in words]
+    for _ in range(3):
+        for k in (0, 1, 2, 1):
+            ids, begin, counts = store.ids_of(np.array([7], np.uint64), np.array([k], np.uint32), lambda _, k=k: words[k])
+            assert tokens.gathered(ids, begin, counts).tolist() == want[k]
 
 
 def test_files_against_a_plain_encoding(spark, tokenizer, tmp_path):
