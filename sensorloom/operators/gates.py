@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import TARGET
 from ..session import spool
-from .frame import exact_quantile_array, exact_quantiles, join_keys, row_number_within, running_totals
+from .frame import exact_quantile_array, exact_quantiles, global_row_number, join_keys, running_totals
 from .linalg import dense, moments, vector, with_struct
 from .metrics import MIN_POSITIVES, auc_metrics, bootstrap_metrics
 from .prep import as_dict, corr_prune, fit_median, fit_robust, median_impute, robust_scale, spearman_edges, target_priority
@@ -356,26 +356,54 @@ def gate_conditional(scores: DataFrame, flags: DataFrame, n_boot: int = 0, min_p
     return out
 
 
+def least_coverage(severity: DataFrame, coverages: Sequence[float] = COVERAGE_GRID, id_col: str = "id") -> DataFrame:
+    """`(id, need)`: place in the rising coverages of the smallest that keeps the row; rows that none keeps are left out.
+
+    Coverages are nested: a row of least severity is kept by every coverage from its own on.
+    """
+    placed = global_row_number(severity.select(id_col, "severity"), ["severity", id_col], "_rn")
+    n = placed.count()
+    kept = [round(c * n) for c in sorted(coverages)]  # halves go to the even number
+    need = F.size(F.filter(F.lit(kept).cast("array<long>"), lambda k: k < F.col("_rn")))
+    return placed.select(id_col, need.alias("need")).where(F.col("need") < len(kept))
+
+
 def keep_least_suspicious(severity: DataFrame, coverages: Sequence[float] = COVERAGE_GRID, id_col: str = "id") -> DataFrame:
     """`(id, coverage)`: for each coverage c the `round(c * n)` rows of least severity."""
-    placed = row_number_within(severity.withColumn("_g", F.lit(0)), ["_g"], ["severity", id_col], "_rn")
-    keep = F.filter(
-        F.array(*[F.lit(float(c)) for c in coverages]), lambda c: F.col("_rn") <= F.bround(c * F.col("_rn_of"))
-    )
-    return placed.select(id_col, F.explode(keep).alias("coverage"))
+    rising = F.lit([float(c) for c in sorted(coverages)])
+    kept = F.slice(rising, F.col("need") + 1, F.lit(len(coverages)))
+    return least_coverage(severity, coverages, id_col).select(id_col, F.explode(kept).alias("coverage"))
 
 
 def risk_coverage(scores: DataFrame, severity: DataFrame, coverages: Sequence[float] = COVERAGE_GRID, min_pos: int = MIN_POSITIVES, id_col: str = "id") -> DataFrame:
-    """AUCs of each pipeline on the kept share of rows, null where too few fails remain."""
-    kept = scores.join(keep_least_suspicious(severity, coverages, id_col), id_col)
-    out = auc_metrics(kept, ["pipeline", "coverage"])
-    ok = (F.col("n_pos") >= min_pos) & (F.col("n_neg") > 0)
-    return out.select(
+    """AUCs of each pipeline on the kept share of rows, null where too few fails remain.
+
+    Each row counts once, for the smallest coverage that keeps it; the counts of a distinct score at every coverage are sums
+    over the coverages up to it, and one running sum orders them all.
+    """
+    rising = sorted(float(c) for c in coverages)
+    placed = scores.select("pipeline", "y_true", "y_score", id_col).join(least_coverage(severity, coverages, id_col), id_col)
+    cells = placed.groupBy("pipeline", "y_score").agg(
+        *[F.sum(F.when(F.col("need") <= j, c).otherwise(0)).alias(f"{n}{j}") for j in range(len(rising)) for n, c in (("p", F.col("y_true")), ("n", 1 - F.col("y_true")))]
+    )
+    sums = {f"{run}{j}": f"{n}{j}" for j in range(len(rising)) for run, n in (("tp", "p"), ("fp", "n"))}
+    ordered = running_totals(cells, ["pipeline"], [F.col("y_score").desc()], sums)
+
+    def at(j: int) -> Column:
+        p, n, tp, fp = (F.col(f"{c}{j}") for c in ("p", "n", "tp", "fp"))
+        ap = F.sum(F.when(p > 0, p * tp / (tp + fp)).otherwise(F.lit(0.0)))
+        below = F.sum((p * (n / 2 - fp)).cast("double"))
+        return F.struct(F.lit(rising[j]).alias("coverage"), F.sum(p).alias("pos"), F.sum(n).alias("neg"), ap.alias("ap"), below.alias("below"))
+
+    each = ordered.groupBy("pipeline").agg(F.array(*[at(j) for j in range(len(rising))]).alias("_c")).select("pipeline", F.inline("_c"))
+    ok = (F.col("pos") >= min_pos) & (F.col("pos") > 0) & (F.col("neg") > 0)
+    pairs = F.col("pos").cast("double") * F.col("neg")
+    return each.where("pos + neg > 0").select(
         "pipeline", "coverage",
-        (F.col("n_pos") + F.col("n_neg")).alias("n_kept"),
-        F.col("n_pos").alias("n_fails_kept"),
-        F.when(ok, F.col("pr_auc")).alias("pr_auc"),
-        F.when(ok, F.col("roc_auc")).alias("roc_auc"),
+        (F.col("pos") + F.col("neg")).alias("n_kept"),
+        F.col("pos").alias("n_fails_kept"),
+        F.when(ok, F.col("ap") / F.col("pos")).alias("pr_auc"),
+        F.when(ok, (F.col("below") + pairs) / pairs).alias("roc_auc"),
     )
 
 

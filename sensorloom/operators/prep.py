@@ -158,48 +158,29 @@ def target_priority(df: DataFrame, sensors: Sequence[str], label: str = TARGET)
     return r.select(F.col("sensor").alias("feature"), F.row_number().over(w).alias("place"))
 
 
-def corr_prune(edges: DataFrame, priority: DataFrame) -> DataFrame:
-    """`(feature, leader, kept)`: walk features by place; each undecided one leads, its correlated
-    undecided neighbours drop.
+def walk_edges(order: Sequence[str], edges: Sequence[tuple[str, str]]) -> dict[str, str]:
+    """Leader of each feature: in order, each undecided one leads itself, and its undecided neighbours drop.
 
-    Done in rounds: every feature that precedes all its undecided neighbours is kept at once and
-    its neighbours drop, which gives exactly the result of the walk. A round decides at least one
-    feature, and in practice a few rounds decide all.
+    A dropped feature goes by the first in order of the leaders next to it.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    links = (
-        both.join(priority.select(F.col("feature").alias("b"), F.col("place").alias("b_place")), "b")
-        .join(priority.select(F.col("feature").alias("a"), F.col("place").alias("a_place")), "a")
-    )
-    links = spool(links)
-    open_, kept = spool(priority), None
-    while True:  # each round decides a feature
-        live = links.join(open_.select(F.col("feature").alias("b")), "b", "left_semi")
-        best = live.groupBy(F.col("a").alias("feature")).agg(F.min("b_place").alias("_best"))
-        lead = spool(
-            open_.join(best, "feature", "left")
-            .where(F.col("_best").isNull() | (F.col("place") < F.col("_best")))
-            .select("feature", "place")
-        )
-        kept = lead if kept is None else kept.unionByName(lead)
-        beaten = links.join(lead.select(F.col("feature").alias("b")), "b", "left_semi").select(F.col("a").alias("feature"))
-        open_ = spool(
-            open_.join(lead, "feature", "left_anti").join(beaten, "feature", "left_anti")
-        )
-        if open_.isEmpty():
-            break
-    leaders = (
-        links.join(kept.select(F.col("feature").alias("b")), "b", "left_semi")
-        .groupBy(F.col("a").alias("feature"))
-        .agg(F.min_by("b", "b_place").alias("_leader"))
-    )
-    marked = priority.join(kept.select("feature", F.lit(True).alias("kept")), "feature", "left").join(leaders, "feature", "left")
-    is_kept = F.coalesce("kept", F.lit(False))
-    return marked.select(
-        "feature",
-        F.when(is_kept, F.col("feature")).otherwise(F.col("_leader")).alias("leader"),
-        is_kept.alias("kept"),
-    )
+    near: dict[str, set[str]] = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    leader: dict[str, str] = {}
+    for f in order:
+        if f not in leader:
+            leader[f] = f
+            for other in near.get(f, ()):
+                leader.setdefault(other, f)
+    return leader
+
+
+def corr_prune(edges: DataFrame, priority: DataFrame) -> DataFrame:
+    """`(feature, leader, kept)` of `walk_edges`; both tables are of columns, not rows, so the driver walks them."""
+    order = [r[0] for r in priority.orderBy("place").select("feature").collect()]
+    leader = walk_edges(order, [(r.a, r.b) for r in edges.select("a", "b").collect()])
+    return edges.sparkSession.createDataFrame([(f, leader[f], leader[f] == f) for f in order], "feature string, leader string, kept boolean")
 
 
 def correlation_example(df: DataFrame, pruned: DataFrame, shown: int = 6, id_col: str = ID) -> DataFrame:
@@ -217,7 +198,7 @@ def correlation_example(df: DataFrame, pruned: DataFrame, shown: int = 6, id_col
 # --- feature front-ends ----------------------------------------------------------------------
 
 
-def rf_top_k(df: DataFrame, features: Sequence[str], k: int, label: str = TARGET, weight: str | None = None, trees: int = 100, seed: int = 42) -> DataFrame:
+def rf_top_k(df: DataFrame, features: Sequence[str], k: int, label: str = TARGET, weight: str | None = None, trees: int = 1000, seed: int = 42) -> DataFrame:
     """Features by random-forest importance, the k best marked as selected."""
     vec = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
     rf = RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=5, minInstancesPerNode=10, featureSubsetStrategy="sqrt", seed=seed)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.columns import sensor_columns
 from ..functions.scalar import r6
 from ..operators import gates, metrics, ordering, split
 from ..operators.linalg import loadings_matrix, loadings_table
@@ -269,14 +270,13 @@ def _(spark, sf):
     return gates.gate_disagreement(j, F.col("t2") > LIMITS["t2"], F.col("density") < DENSITY_LCL)
 
 
-PSI_FIT = "psi as (select sensor, var_pop(value) as psi from cells where sensor <> 'c_13' group by sensor)"
+PSI_FIT = "psi as (select sensor, var_pop(value) as psi from cells group by sensor)"
 
 
 def _psi(spark, sf):
     from ..operators.frame import sensor_stats
 
-    names = [s for s in fx.SENSORS if s != "c_13"]
-    return sensor_stats(fx.wafers(spark, sf), names, {"psi": F.var_pop})
+    return sensor_stats(fx.wafers(spark, sf), fx.SENSORS, {"psi": F.var_pop})
 
 
 @query("noise_ranking", with_(*BASE, PSI_FIT, final=f"select sensor, {sql.r6('psi')} as psi, row_number() over (order by psi desc, sensor)::int as rank, {sql.r6('max(psi) over () / min(psi) filter (psi > 0) over ()', 4)} as spread from psi"))
@@ -342,15 +342,19 @@ def _(spark, sf):
     return out.withColumns({c: r6(c) for c in ("q1", "median", "q3", "mean")})
 
 
-# the points of the ellipse satisfy its quadric, whatever the axis signs
-@query("control_ellipse", with_(*BASE, final=f"select i::int as point, {sql.r6('-2 * ln(cast(0.03 as double))')} as quadric from generate_series(0, 59) g(i), (select count(*) as n from wafer) where n > 0"))
+ELLIPSE = f"""p as (select avg(c_1) as mx, avg(c_2) as my, var_pop(c_1) as xx, covar_pop(c_1, c_2) as xy, var_pop(c_2) as yy from (select {', '.join(f'4 * coalesce({c}, 0) as {c}' for c in ('c_1', 'c_2'))} from wafer)),
+axes as (select *, sqrt((xx + yy) / 2 + sqrt(power((xx - yy) / 2, 2) + xy * xy)) as major, sqrt((xx + yy) / 2 - sqrt(power((xx - yy) / 2, 2) + xy * xy)) as minor,
+   atan2(2 * xy, xx - yy) / 2 as tilt, sqrt(-2 * ln({gates.T2_ALPHA}::double)) as r from p),
+turn as (select i::int as point, 2 * pi() * i / 59 as t, * from axes, generate_series(0, 59) g(i))"""
+
+
+@query("control_ellipse", with_(*BASE, ELLIPSE, final=f"""select point, {sql.r6('mx + r * major * cos(t) * cos(tilt) - r * minor * sin(t) * sin(tilt)')} as x,
+    {sql.r6('my + r * major * cos(t) * sin(tilt) + r * minor * sin(t) * cos(tilt)')} as y from turn"""))
 def _(spark, sf):
     x = _x(spark, sf)
     params = x.agg(F.avg("c_1").alias("mean_x"), F.avg("c_2").alias("mean_y"), F.var_pop("c_1").alias("xx"), F.covar_pop("c_1", "c_2").alias("xy"), F.var_pop("c_2").alias("yy"))
     e = gates.control_ellipse(params, gates.chi2_radius(gates.T2_ALPHA))
-    dx, dy, det = F.col("x") - F.col("mean_x"), F.col("y") - F.col("mean_y"), F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
-    quadric = (F.col("yy") * dx * dx - 2 * F.col("xy") * dx * dy + F.col("xx") * dy * dy) / det
-    return e.select("point", r6(quadric).alias("quadric"))
+    return e.select("point", r6("x").alias("x"), r6("y").alias("y"))
 
 
 @query("quadrant_points", with_(*BASE, *PCA, FLAGS, final="select raw_row_id, case when target = 1 and (t2_ooc or q_ooc) then 'caught_fail' when target = 1 then 'missed_fail' when t2_ooc or q_ooc then 'flagged_pass' else 'pass' end as quadrant from flags"))
@@ -385,13 +389,13 @@ def _(spark, sf):
 
 # the gate knows the later rows only; the others count as in control
 @query("triage_filter", with_(*BASE, ERA, *FACTOR, DENSITY, FFLAGS, GSCORES,
-    final="""select g.id from gscores g left join (select raw_row_id, ooc from fflags join era using (raw_row_id) where split = 'test') f on f.raw_row_id = g.id
-      where pipeline = 'alpha' and y_true = 0 and y_score >= 0.1 and not coalesce(ooc, false)"""))
+    final="""select g.pipeline, g.id from gscores g left join (select raw_row_id, ooc from fflags join era using (raw_row_id) where split = 'test') f on f.raw_row_id = g.id
+      where y_true = 0 and y_score >= 0.1 and not coalesce(ooc, false)"""))
 def _(spark, sf):
-    o = metrics.outcome_labels(_gscores(spark, sf).where("pipeline = 'alpha'"), 0.1)
+    o = metrics.outcome_labels(_gscores(spark, sf), 0.1)
     later = split.temporal_split(_fflags(spark, sf).drop("z")).where("split = 'test'")
     flags = later.select(F.col("raw_row_id").alias("id"), "ooc")
-    return gates.triage_filter(o, flags, "false_alarm", "in_control").select("id")
+    return gates.triage_filter(o, flags, "false_alarm", "in_control").select("pipeline", "id")
 
 
 @query("top_loading_sensors", with_(*BASE, "ld as (select sensor, 1 as k, corr(value, raw_row_id) as w from cells where value is not null and sensor <> 'c_5' group by 1 union all select sensor, 2, corr(value, target) from cells where sensor <> 'c_5' group by 1)",
@@ -415,12 +419,9 @@ def _(spark, sf):
 
 # --- fitted gates ------------------------------------------------------------------------------
 
-GATE_NAMES = prep_plans.NAMES
-
-
 def gate_space(spark, sf):
-    s = prep_plans._split(spark, sf, GATE_NAMES)
-    space = gates.fit_gate_space(s.where("split = 'train'"), GATE_NAMES)
+    s = prep_plans._split(spark, sf)
+    space = gates.fit_gate_space(s.where("split = 'train'"), sensor_columns(s))
     return s, space
 
 

@@ -4,38 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import sensor_columns
 from ..functions.scalar import r6
-from ..operators import ordering, prep, reporting, split
+from ..operators import models, ordering, prep, profile, reporting, split
 from ..session import spool
 from ..sources import fixtures as fx
 from . import sql
 from .catalog import query
-from .sql import CELLS, ERA, WAFER, with_
+from .sql import CELLS, ERA, KEPT, PROFILE, WAFER, with_
 
-# sensors that stay after the keep rule, fewer than all to keep result tables readable
-NAMES = [c for i, c in enumerate(fx.SENSORS) if i % 16 != 0 and i != 5]
+def kept(spark, sf):
+    """Sensors that the keep rule leaves, in their order."""
+    rule = profile.keep_drop_rule(profile.column_profile(fx.wafers(spark, sf)))
+    stay = {r[0] for r in rule.where("keep_in_mart").select("column_name").collect()}
+    return [c for c in fx.SENSORS if c in stay]
 
 
-def _split(spark, sf, names=NAMES):
-    """Split table, written once: the fits below read it many times."""
-    return spool(split.temporal_split(fx.wafers(spark, sf).select("raw_row_id", "measurement_ts", "target", *names)))
+def _split(spark, sf):
+    """Split table of the kept sensors, written once: the fits below read it many times."""
+    return spool(split.temporal_split(fx.wafers(spark, sf).select("raw_row_id", "measurement_ts", "target", *kept(spark, sf))))
 
 
-TRAIN_CELLS = "fitcells as (select c.* from cells c join era e using (raw_row_id) where e.split = 'train' and sensor in (" + ", ".join(f"'{c}'" for c in NAMES) + "))"
+TRAIN_CELLS = f"{PROFILE},\n{KEPT},\nfitcells as (select c.* from cells c join era e using (raw_row_id) where e.split = 'train' and sensor in (select sensor from kept))"
 MEDIANS = "med as (select sensor, median(value) as median, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from fitcells group by sensor)"
 FILLED = "filled as (select c.raw_row_id, c.measurement_ts, c.target, c.sensor, coalesce(c.value, m.median) as value from cells c join med m using (sensor))"
 
 
 def _imputed(spark, sf):
     s = _split(spark, sf)
-    return prep.median_impute(s, NAMES, prep.fit_median(s.where("split = 'train'"), NAMES))
+    names = sensor_columns(s)
+    return prep.median_impute(s, names, prep.fit_median(s.where("split = 'train'"), names))
 
 
 @query("median_impute", with_(WAFER, CELLS, ERA, TRAIN_CELLS, MEDIANS, FILLED, final=f"select raw_row_id, sensor, {sql.r6('value')} as value from filled"))
 def _(spark, sf):
     from ..operators.frame import melt
 
-    return melt(_imputed(spark, sf), ["raw_row_id"], NAMES).withColumn("value", r6("value"))
+    x = _imputed(spark, sf)
+    return melt(x, ["raw_row_id"], sensor_columns(x)).withColumn("value", r6("value"))
 
 
 @query("median_fit_rows", """select c as sensor, round(median(v), 6) as median from (unpivot (select l_quantity, l_extendedprice, l_discount, l_tax from lineitem) on * into name c value v) group by c""")
@@ -70,7 +76,8 @@ def _train(spark, sf):
 
 @query("spearman_edges", with_(WAFER, CELLS, ERA, TRAIN_CELLS, MEDIANS, FILLED, *RANKED, final=f"select a, b, {sql.r6('r')} as r from rho where abs(r) > 0.12"))
 def _(spark, sf):
-    return prep.spearman_edges(_train(spark, sf), NAMES, 0.12).withColumn("r", r6("r"))
+    t = _train(spark, sf)
+    return prep.spearman_edges(t, sensor_columns(t), 0.12).withColumn("r", r6("r"))
 
 
 PRIORITY = "prio as materialized (select sensor as feature, row_number() over (order by round(abs(coalesce(corr(value, target), 0)), 12) desc, sensor) as place from tf group by sensor)"
@@ -78,12 +85,14 @@ PRIORITY = "prio as materialized (select sensor as feature, row_number() over (o
 
 @query("target_priority", with_(WAFER, CELLS, ERA, TRAIN_CELLS, MEDIANS, FILLED, *RANKED, PRIORITY, final="select feature, place::int as place from prio"))
 def _(spark, sf):
-    return prep.target_priority(_train(spark, sf), NAMES)
+    t = _train(spark, sf)
+    return prep.target_priority(t, sensor_columns(t))
 
 
 def _pruned(spark, sf, threshold=0.12):
     t = _train(spark, sf)
-    return prep.corr_prune(prep.spearman_edges(t, NAMES, threshold), prep.target_priority(t, NAMES))
+    names = sensor_columns(t)
+    return prep.corr_prune(prep.spearman_edges(t, names, threshold), prep.target_priority(t, names))
 
 
 # a recursive walk over the places decides one feature at a time, as the definition does
@@ -113,8 +122,9 @@ def _(spark, sf):
     from ..operators.frame import melt
 
     x = _imputed(spark, sf)
-    fitted = prep.fit_robust(x.where("split = 'train'"), NAMES)
-    return melt(prep.robust_scale(x, fitted), ["raw_row_id"], NAMES).withColumn("value", r6("value"))
+    names = sensor_columns(x)
+    fitted = prep.fit_robust(x.where("split = 'train'"), names)
+    return melt(prep.robust_scale(x, fitted), ["raw_row_id"], names).withColumn("value", r6("value"))
 
 
 @query("scale_clip", with_(WAFER, CELLS, ERA, TRAIN_CELLS, MEDIANS, FILLED, TRAIN_FILLED, MED2, final=f"select raw_row_id, sensor, {sql.r6('greatest(least((value - center) / case when q3 = q1 then 1 else q3 - q1 end, 1.5), -1.5)')} as value from filled join med2 using (sensor)"))
@@ -122,14 +132,25 @@ def _(spark, sf):
     from ..operators.frame import melt
 
     x = _imputed(spark, sf)
-    fitted = prep.fit_robust(x.where("split = 'train'"), NAMES)
-    return melt(prep.robust_scale(x, fitted, 1.5), ["raw_row_id"], NAMES).withColumn("value", r6("value"))
+    names = sensor_columns(x)
+    fitted = prep.fit_robust(x.where("split = 'train'"), names)
+    return melt(prep.robust_scale(x, fitted, 1.5), ["raw_row_id"], names).withColumn("value", r6("value"))
+
+
+HUBS = 5
 
 
-@query("hub_pairs", with_(WAFER, final=f"select raw_row_id, {sql.r6('c_1 * c_2')} as interact_c_1__c_2, {sql.r6('c_1 * c_3')} as interact_c_1__c_3, {sql.r6('c_2 * c_3')} as interact_c_2__c_3 from wafer"))
+@query("hub_pairs", with_(WAFER, CELLS, ERA, TRAIN_CELLS, MEDIANS, FILLED, TRAIN_FILLED, PRIORITY, f"hubs as (select * from prio where place <= {HUBS})",
+    final=f"""select x.raw_row_id, 'interact_' || a.feature || '__' || b.feature as sensor, {sql.r6('x.value * y.value')} as value
+    from hubs a join hubs b on a.place < b.place join filled x on x.sensor = a.feature join filled y on y.sensor = b.feature and y.raw_row_id = x.raw_row_id"""))
 def _(spark, sf):
-    out = prep.hub_pairs(fx.wafers(spark, sf), ["c_1", "c_2", "c_3"])
-    return out.select("raw_row_id", *[r6(c).alias(c) for c in out.columns if c.startswith("interact_")])
+    from ..operators.frame import melt
+
+    x = _imputed(spark, sf)
+    ranked = prep.target_priority(x.where("split = 'train'"), sensor_columns(x))
+    hubs = [r[0] for r in ranked.where(F.col("place") <= HUBS).orderBy("place").select("feature").collect()]
+    out = prep.hub_pairs(x, hubs)
+    return melt(out, ["raw_row_id"], [c for c in out.columns if c.startswith("interact_")]).withColumn("value", r6("value"))
 
 
 T2_NAMES = ["c_1", "c_2", "c_3"]
@@ -164,22 +185,24 @@ def _(spark, sf):
 @query("hotelling_t2")
 def _(spark, sf):
     x = _imputed(spark, sf)
-    return prep.hotelling_t2(x, prep.fit_hotelling(x.where("split = 'train'"), NAMES)).select("raw_row_id", "hotelling_t2")
+    return prep.hotelling_t2(x, prep.fit_hotelling(x.where("split = 'train'"), sensor_columns(x))).select("raw_row_id", "hotelling_t2")
 
 
 @query("rf_top_k")
 def _(spark, sf):
-    return prep.rf_top_k(_train(spark, sf), NAMES, 30)
+    t = split.class_balance_weights(_train(spark, sf))
+    return prep.rf_top_k(t, sensor_columns(t), 30, weight="weight", trees=models.TREES)
 
 
 @query("dependence_top_k")
 def _(spark, sf):
-    return prep.dependence_top_k(_train(spark, sf), NAMES, 20)
+    t = _train(spark, sf)
+    return prep.dependence_top_k(t, sensor_columns(t), 20)
 
 
 def _pls(spark, sf):
     x = _imputed(spark, sf)
-    return prep.pls_scores(x, prep.fit_pls(x.where("split = 'train'"), NAMES, 3))
+    return prep.pls_scores(x, prep.fit_pls(x.where("split = 'train'"), sensor_columns(x), 3))
 
 
 @query("pls_scores")
@@ -199,7 +222,6 @@ MISS = "ms as (select sensor as feature, row_number() over (order by avg(value)
 
 
 def _two_rankings(spark, sf):
-    from ..operators import profile
     from ..operators.frame import sensor_stats
     from pyspark.sql import Window
 
@@ -232,8 +254,6 @@ def _(spark, sf):
 
 
 def _stages(spark, sf):
-    from ..operators import profile
-
     p = profile.keep_drop_rule(profile.column_profile(fx.wafers(spark, sf))).select("column_name", "keep_in_mart")
     kept = p.where("keep_in_mart")
     twins = F.explode(F.array("column_name", F.concat("column_name", F.lit("_rz"))))

@@ -85,10 +85,9 @@ def _(spark, sf):
     return profile.null_pattern_classes(hashes).drop("pattern_hash")
 
 
-@query("missing_flags", with_(WAFER, final="select raw_row_id, " + ", ".join(f"case when {c} is null then 1 else 0 end as {c}__missing" for c in ("c_2", "c_4", "c_6")) + " from wafer"))
+@query("missing_flags", with_(WAFER, final="select raw_row_id, " + ", ".join(f"case when {c} is null then 1 else 0 end as {c}__missing" for c in fx.SENSORS) + " from wafer"))
 def _(spark, sf):
-    names = ["c_2", "c_4", "c_6"]
-    return mart.missing_flags(fx.wafers(spark, sf), names).select("raw_row_id", *[f"{c}__missing" for c in names])
+    return mart.missing_flags(fx.wafers(spark, sf), fx.SENSORS).select("raw_row_id", *[f"{c}__missing" for c in fx.SENSORS])
 
 
 @query("n_missing_sensors", with_(WAFER, CELLS, PROFILE, KEPT, final="select raw_row_id, (count(*) - count(value))::int as n_missing_sensors from cells where sensor in (select sensor from kept) group by raw_row_id"))
