@@ -7,19 +7,18 @@ batch; everything after the scores is plain columns.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import TARGET
 from ..session import spool
-from .frame import exact_quantile_array, exact_quantiles, global_row_number, join_keys, running_totals
-from .linalg import dense, moments, vector, with_struct
+from .frame import exact_quantile_array, exact_quantiles, global_row_number, join_keys, row_number_within, running_totals
+from .linalg import dense, matrix_of, moments, records_of, summed, vector, with_struct
 from .metrics import MIN_POSITIVES, auc_metrics, bootstrap_metrics
 from .prep import as_dict, corr_prune, fit_median, fit_robust, median_impute, robust_scale, spearman_edges, target_priority
 
@@ -130,14 +129,18 @@ class Mixture:
     means: np.ndarray
     covs: np.ndarray
 
-    def log_density(self, z: np.ndarray) -> np.ndarray:
+    def log_parts(self, z: np.ndarray) -> np.ndarray:
+        """Log of weight times density of each mode, modes x rows."""
         parts = []
         for wt, mu, cov in zip(self.weights, self.means, self.covs):
             chol = np.linalg.cholesky(cov)
             d = np.linalg.solve(chol, (z - mu).T)
             logdet = 2 * np.log(np.diag(chol)).sum()
             parts.append(np.log(max(wt, 1e-300)) - 0.5 * ((d * d).sum(0) + logdet + z.shape[1] * math.log(2 * math.pi)))
-        p = np.stack(parts)
+        return np.stack(parts)
+
+    def log_density(self, z: np.ndarray) -> np.ndarray:
+        p = self.log_parts(z)
         top = p.max(0)
         return top + np.log(np.exp(p - top).sum(0))
 
@@ -189,22 +192,24 @@ def fit_pca_gate(ref: DataFrame, sensors: Sequence[str], n_components: int = N_C
     return PcaGate(list(sensors), m.mean, v, eigen, lim.t2_ucl, lim.q_ucl, m.n)
 
 
-def _factor_em(second: np.ndarray, k: int, seed: int, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """Factor analysis by EM on the p x p second-moment matrix, until the noise stands still."""
-    p = second.shape[0]
-    rng = np.random.default_rng(seed)
-    diag = np.diag(second).copy()
-    w = rng.normal(0, 0.3, (p, k)) * np.sqrt(np.clip(diag, 1e-6, None))[:, None]
-    psi = np.clip(diag, 1e-6, None).copy()
-    change = np.inf
-    while change > tolerance:
-        before = psi
-        beta = factor_projection(w, psi)
-        ezz = np.eye(k) - beta @ w + beta @ second @ beta.T
-        w = second @ beta.T @ np.linalg.inv(ezz)
-        psi = np.clip(diag - np.einsum("ij,ji->i", w, beta @ second), 1e-4, None)
-        change = float(np.max(np.abs(psi - before) / before))
-    return w, psi
+def _factor_fit(second: np.ndarray, k: int, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Factor analysis by maximum likelihood on the p x p second-moment matrix.
+
+    For given noise the best loadings are the leading eigenvectors of the matrix in units of the noise; noise and loadings
+    take turns until the log-likelihood of a row stands still.
+    """
+    diag = np.diag(second)
+    psi, value = np.clip(diag, FLOOR, None).copy(), -np.inf
+    while True:
+        unit = np.sqrt(psi)
+        values, vectors = np.linalg.eigh(second / np.outer(unit, unit))
+        values, vectors = values[::-1], vectors[:, ::-1]
+        top = np.maximum(values[:k], 1.0)
+        w = unit[:, None] * vectors[:, :k] * np.sqrt(top - 1)
+        like = -0.5 * (np.log(top).sum() + (values[:k] / top).sum() + values[k:].sum() + np.log(psi).sum())
+        if abs(like - value) <= tolerance:
+            return w, psi
+        psi, value = np.clip(diag - (w * w).sum(axis=1), 1e-4, None), like
 
 
 @dataclass(frozen=True)
@@ -232,32 +237,105 @@ def factor_gate_score(df: DataFrame, gate: FactorGate) -> DataFrame:
     return with_struct(df, dense(score, "density double, q double")(vector(gate.sensors)))
 
 
-# The mixture's likelihood may waver above its tolerance for ever on short tables.
-MIXTURE_STEPS = 50
+# Change of the mean log-likelihood of a row at which a mixture stands still, what is added to its variances.
+SETTLED, EXTRA_VARIANCE = 1e-3, 1e-4
+
+MOST_PASSES = 5_000
+
+# Rows from which the modes of a mixture are first placed, per mode.
+FIRST_ROWS = 50
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Derivative of log gamma, for positive x: shifted up, then by its series."""
+    x = np.asarray(x, float).copy()
+    out = np.zeros_like(x)
+    for _ in range(8):
+        low = x < 8
+        out[low] -= 1 / x[low]
+        x[low] += 1
+    return out + np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+
+
+def _first_modes(z: np.ndarray, modes: int, cov: np.ndarray, rng: np.random.Generator) -> Mixture:
+    """Modes placed apart: each next one at a row drawn by its squared distance from those so far."""
+    means = [z[rng.integers(len(z))]]
+    while len(means) < modes:
+        gap = np.min([((z - m) ** 2).sum(1) for m in means], axis=0)
+        means.append(z[rng.choice(len(z), p=gap / gap.sum()) if gap.sum() > 0 else rng.integers(len(z))])
+    return Mixture(np.full(modes, 1 / modes), np.array(means), np.repeat(cov[None], modes, axis=0))
+
+
+def _responsibilities(projections: Sequence[np.ndarray], mixtures: Sequence[Mixture], live: Sequence[int]):
+    """Sums of one task for every live member: log-likelihood, and weight, first and second moments of each mode."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = matrix_of(batch.column(0))
+            for s in live:
+                z = x @ projections[s].T
+                log = mixtures[s].log_parts(z)
+                top = log.max(axis=0)
+                total = top + np.log(np.exp(log - top).sum(axis=0))
+                r = np.exp(log - total)
+                second = np.einsum("kn,ni,nj->kij", r, z, z, optimize=True)
+                told = np.concatenate([[total.sum()], r.sum(axis=1), (r @ z).ravel(), second.ravel()])
+                sums[s] = sums[s] + told if s in sums else told
+        if sums:
+            yield records_of(sums)
+
+    return run
+
+
+def fit_mixtures(rows: DataFrame, n: int, projections: Sequence[np.ndarray], first: Sequence[Mixture]) -> list[Mixture]:
+    """Gaussian mixtures on several projections of the same rows, fitted together: one pass a step sums the responsibilities
+    of all members that still move.
+
+    Weights are those of a Dirichlet prior of 1 / modes each, so a mode without rows fades. `rows` is a stored table of one
+    array column.
+    """
+    mixtures, live = list(first), list(range(len(first)))
+    value = [-np.inf] * len(first)
+    for _ in range(MOST_PASSES):
+        for s, told in summed(rows, _responsibilities(projections, mixtures, live)).items():
+            k, d = mixtures[s].means.shape
+            mass, like = np.maximum(told[1 : 1 + k], 1e-10), told[0] / n
+            mean = told[1 + k : 1 + k + k * d].reshape(k, d) / mass[:, None]
+            cov = told[1 + k + k * d :].reshape(k, d, d) / mass[:, None, None] - np.einsum("ki,kj->kij", mean, mean)
+            alpha = 1 / k + mass
+            weights = np.exp(digamma(alpha) - digamma(np.array([alpha.sum()])))
+            mixtures[s] = Mixture(weights, mean, cov + EXTRA_VARIANCE * np.eye(d))
+            if abs(like - value[s]) <= SETTLED:
+                mixtures[s] = Mixture(alpha / alpha.sum(), mean, cov + EXTRA_VARIANCE * np.eye(d))
+                live.remove(s)
+            value[s] = like
+        if not live:
+            return mixtures
+    raise ArithmeticError("the mixture did not settle")
 
 
 def fit_factor_gate(ref: DataFrame, sensors: Sequence[str], k: int = N_FACTORS, modes: int = N_MODES, seeds: int = N_SEEDS,
                     density_alpha: float = DENSITY_ALPHA, q_alpha: float = Q_ALPHA, seed: int = 42) -> FactorGate:
-    """Factor analysis on the second moments plus a Gaussian mixture on the scores, per seed.
+    """Factor analysis on the second moments plus Gaussian mixtures on the scores, one per seed.
 
-    Density and Q do not depend on the rotation of the factors, so members can be averaged.
+    The factors have one optimum; members differ in where their modes start, and their densities are averaged.
     """
     m = moments(ref, sensors)
     second = m.cov * (m.n - 1) / m.n + np.outer(m.mean, m.mean)
-    k = max(1, min(k, len(sensors)))
-    members = []
-    for s in range(seeds):
-        w, psi = _factor_em(second, k, seed + s)
-        # written once: the mixture fit reads the scores many times
-        scored = spool(factor_score(ref.select(*sensors), sensors, w, psi).select("z")).select(array_to_vector("z").alias("z"))
-        gm = GaussianMixture(k=max(1, min(modes, m.n)), featuresCol="z", seed=seed + s, maxIter=MIXTURE_STEPS).fit(scored)
-        rows = gm.gaussiansDF.collect()  # one row per mode
-        covs = np.array([r["cov"].toArray() for r in rows]) + 1e-4 * np.eye(k)
-        members.append((w, psi, Mixture(np.array(gm.weights), np.array([r["mean"].toArray() for r in rows]), covs)))
-    gate = FactorGate(list(sensors), members)
+    k, modes = max(1, min(k, len(sensors))), max(1, min(modes, m.n))
+    rows = spool(ref.select(vector(sensors).alias("x")))
+    some = rows.orderBy(F.xxhash64("x")).limit(FIRST_ROWS * modes).collect()  # a bounded number of rows, at random
+    some = np.array([r.x for r in some])
+    w, psi = _factor_fit(second, k)
+    project = factor_projection(w, psi)
+    cov = project @ (m.cov * (m.n - 1) / m.n) @ project.T + EXTRA_VARIANCE * np.eye(k)
+    first = [_first_modes(some @ project.T, modes, cov, np.random.default_rng(seed + s)) for s in range(seeds)]
+    mixtures = fit_mixtures(rows, m.n, [project] * seeds, first)
+    gate = FactorGate(list(sensors), [(w, psi, mix) for mix in mixtures])
     scored = factor_gate_score(ref.select(*sensors), gate).select("density", "q")
     lim = control_limits(scored, {"q": q_alpha}, {"density": density_alpha}).first()
-    return FactorGate(gate.sensors, members, lim.density_lcl, lim.q_ucl)
+    return FactorGate(gate.sensors, gate.members, lim.density_lcl, lim.q_ucl)
 
 
 # --- flags ------------------------------------------------------------------------------------

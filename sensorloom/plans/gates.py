@@ -449,6 +449,6 @@ def _(spark, sf):
 def _(spark, sf):
     s, space = gate_space(spark, sf)
     m = gates.gate_matrix(s, space)
-    g = gates.fit_factor_gate(gates.passing_reference(m), space.sensors, k=4, modes=2, seeds=2)
+    g = gates.fit_factor_gate(gates.passing_reference(m), space.sensors)
     scored = gates.factor_gate_score(m, g)
     return gates.gate_flags(scored, {"q": g.q_ucl}, {"density": g.density_lcl}).select("raw_row_id", "split", "density", "q", "ooc")

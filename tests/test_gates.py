@@ -85,6 +85,36 @@ def test_factor_gate_recovers_loadings_span(spark):
     assert 0.02 <= share <= 0.04
 
 
+def test_mixtures_of_all_members_settle_at_their_own_optimum(spark):
+    """Against a plain NumPy EM from the same start, member by member."""
+    rng = np.random.default_rng(12)
+    x = np.r_[rng.normal(0, 1, (300, 3)), rng.normal(4, 0.5, (200, 3)), rng.normal([-4, 4, 0], 0.7, (100, 3))]
+    df = spark.createDataFrame([(list(map(float, r)),) for r in x], "x array<double>").repartition(6)
+    projections = [rng.normal(size=(2, 3)), np.eye(3)[:2]]
+    first = [gates._first_modes(x @ p.T, 4, np.cov((x @ p.T).T), np.random.default_rng(s)) for s, p in enumerate(projections)]
+    got = gates.fit_mixtures(df.cache(), len(x), projections, first)
+    assert abs(gates.digamma(np.array([1.0]))[0] + 0.5772156649015329) < 1e-9
+    for p, mix, start in zip(projections, got, first, strict=True):
+        z, m, value = x @ p.T, start, -np.inf
+        while True:
+            log = m.log_parts(z)
+            total = np.logaddexp.reduce(log, axis=0)
+            r = np.exp(log - total).T
+            n = r.sum(0)
+            mean = (r.T @ z) / n[:, None]
+            cov = np.stack([((z - mean[k]) * r[:, k : k + 1]).T @ (z - mean[k]) / n[k] for k in range(4)]) + gates.EXTRA_VARIANCE * np.eye(2)
+            done = abs(total.mean() - value) <= gates.SETTLED
+            value = total.mean()
+            alpha = 0.25 + n
+            weights = alpha / alpha.sum() if done else np.exp(gates.digamma(alpha) - gates.digamma(np.array([alpha.sum()])))
+            m = gates.Mixture(weights, mean, cov)
+            if done:
+                break
+        np.testing.assert_allclose(mix.weights, m.weights, atol=1e-6)
+        np.testing.assert_allclose(mix.means, m.means, atol=1e-5)
+        assert mix.log_density(z).mean() > start.log_density(z).mean()
+
+
 def test_full_coverage_is_global(spark):
     rows = [("m", i, int(i % 9 == 0), (i * 37 % 100) / 100) for i in range(200)]
     scores = spark.createDataFrame(rows, "pipeline string, id int, y_true int, y_score double")
