@@ -94,9 +94,9 @@ def fit_enet(df: DataFrame, features: Sequence[str], c: float, l1_ratio: float,
     return _ml_scorer(model, features, dict(zip(features, map(float, model.coefficients.toArray()))), float(model.intercept))
 
 
-def fit_rf(df: DataFrame, features: Sequence[str], trees: int = TREES, label: str = TARGET, weight: str = "weight", seed: int = 42) -> Scorer:
+def fit_rf(df: DataFrame, features: Sequence[str], trees: int = TREES, label: str = TARGET, weight: str = "weight", seed: int = 42, depth: int = DEPTH) -> Scorer:
     rf = RandomForestClassifier(
-        featuresCol="_x", labelCol=label, weightCol=weight, numTrees=trees, maxDepth=DEPTH, minInstancesPerNode=LEAF,
+        featuresCol="_x", labelCol=label, weightCol=weight, numTrees=trees, maxDepth=depth, minInstancesPerNode=LEAF,
         featureSubsetStrategy="sqrt", seed=seed,
     )
     model = rf.fit(_assemble(df, features))
@@ -286,7 +286,7 @@ def fit_design(train: DataFrame, front: str, k: int = 20, hubs: int = 0, corr_th
 
 HEADS: Mapping[str, Callable[..., Scorer]] = {
     "enet": lambda df, f, label, id_col, **p: fit_enet(class_balance_weights(df, label), f, p.get("c", 0.1), p.get("l1_ratio", 0.3), label),
-    "rf": lambda df, f, label, id_col, **p: fit_rf(class_balance_weights(df, label), f, p.get("trees", TREES), label),
+    "rf": lambda df, f, label, id_col, **p: fit_rf(class_balance_weights(df, label), f, p.get("trees", TREES), label, depth=p.get("depth", DEPTH)),
     "bayes": lambda df, f, label, id_col, **p: fit_draws(df, f, p.get("draws", DRAWS), p.get("c", 0.05), p.get("l1_ratio", 0.3), label=label, id_col=id_col),
 }
 FRONTS = ("hsic", "rfsel", "pls")

@@ -79,7 +79,7 @@ def _(spark, sf):
 @query("model_grid")
 def _(spark, sf):
     train, test = _mart_split(spark, sf)
-    specs = {m: {"k": 4, **({"trees": 20} if m.endswith("rf") else {}), **({"draws": 3} if m.endswith("bayes") else {})} for m in models.MODEL_GRID}
+    specs = {m: {"k": 4, **({"trees": 20} if m.endswith("rf") else {})} for m in models.MODEL_GRID}
     return models.holdout_scores(train, test, specs)
 
 
