@@ -191,13 +191,15 @@ class SortedHashes:
         if not len(self.keys):
             return np.full(len(wanted), -1, np.int64)
         cell = (wanted >> self.shift).astype(np.int64)
-        at, end = self.first[cell], self.first[cell + 1]
-        out = np.where((at < end) & (self.keys[np.minimum(at, len(self.keys) - 1)] == wanted), at, -1)
-        left = np.flatnonzero((out < 0) & (at + 1 < end))
+        out = np.take(self.first, cell)
+        missed = np.flatnonzero(np.take(self.keys, out, mode="clip") != wanted)
+        at, end, wanted = out[missed], self.first[cell[missed] + 1], wanted[missed]
+        out[missed] = -1
+        left = np.flatnonzero(at + 1 < end)
         while len(left):
             at[left] += 1
             hit = self.keys[at[left]] == wanted[left]
-            out[left[hit]] = at[left[hit]]
+            out[missed[left[hit]]] = at[left[hit]]
             left = left[~hit]
             left = left[at[left] + 1 < end[left]]
         return out

@@ -5,14 +5,15 @@ per language; their sums are all that the model is made of: lower orders use con
 n-grams of all languages stand in one sorted array of 64-bit hashes, beside a row of log-probabilities, one per language,
 so a text is scored for all languages with one search per character; back-off weights are looked up for unseen n-grams.
 The language with the lowest cross-entropy per character wins. It is rejected when its cross-entropy, in units that allow
-for short texts, lies SPREADS robust standard deviations above the median of a calibration sample, and TOLERANCE at least;
+for short texts, lies SPREADS robust standard deviations above the median of all learning rows, and TOLERANCE at least;
 medians, so that garbage and wrong labels among the learning rows do not move the limit.
 
 No n-gram is left out: the model grows with the different 5-grams of the input. Counts of counts and lower orders are summed
 in Spark over all of them. Beyond SHARD of them the model is cut by the two characters before the last one, which keeps
 n-grams of three and more characters, their contexts and all they back off to in one part; the different pairs of characters
-are in every part. A worker then holds one part at a time for a run of texts. The calibration sample is about CALIBRATION learning rows, a fifth
-of them at most; they are scored by a model whose counts leave them out, while the final model counts every learning row.
+are in every part. A worker then holds one part at a time for a run of texts. Every learning row belongs to one of FOLDS
+folds and is scored by a model whose counts leave its fold out; middles and limits are exact medians over all of these
+scores, taken in Spark. The models of the folds live one after another; the final model counts every learning row.
 
 Cases: a null text, or one without letters, is `und` with score 0 and is rejected; rows with a null id or a null language
 are not learned from, and a null id is not held out; without any learning row every text is `und`; an empty table gives
@@ -31,19 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.llm.common import SortedHashes, give_back, mix, sorted_lookup, text_slices
+from sensorloom.operators.frame import running_totals
+from sensorloom.operators.quantile import quantile_table
 from sensorloom.session import spool
 
 ORDER = 5
 # Different 5-grams of a part, about, counted once per language; sets the memory of the driver and of a worker only.
 SHARD = 1_500_000
-CALIBRATION = 20_000
+FOLDS = 5
 SPREADS = 20.0
 # Characters counted, and scored, at a time; both only set the memory of a task.
 COUNTED, SCORED = 1_500_000, 400_000
 # Characters beyond which a longer text is no surer, for the score and for the rejection. The second is small: a long clean
 # text may quote another language at length.
 SURE, SURE_TO_REJECT = 400, 50
-# Nats per character above a language's middle that are never a reason to reject, however even the calibration sample was.
+# Nats per character above a language's middle that are never a reason to reject, however even its learning rows are.
 TOLERANCE = 1.0
 
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(ORDER)]
@@ -94,40 +97,52 @@ def cells(before: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (mix(before.astype(np.uint64) << np.uint64(32) | last.astype(np.uint64)) >> np.uint64(44)).astype(np.int64)
 
 
-def _grams(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different ORDER-grams that end at a character, as rows of code points, and their counts."""
+def _grams(cp: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ORDER-grams that end at a character, as rows of code points, and their counts by the fold of that place."""
     at = np.flatnonzero(cp)
     there = np.zeros(0x110000, bool)
     there[cp] = True
     alphabet = np.flatnonzero(there).astype(np.uint32)
-    if len(alphabet) <= 4096:  # twelve bits a character: sorted as whole numbers
+    if len(alphabet) <= 4096:  # twelve bits a character and three for the fold: sorted as whole numbers
         code = (np.cumsum(there) - 1)[cp]
         packed = np.zeros(len(cp), np.uint64)
         for k in range(ORDER):
             packed[k:] |= code[: len(cp) - k].astype(np.uint64) << np.uint64(12 * k)
-        keys, counts = np.unique(packed[at], return_counts=True)
+        cells, n = np.unique(packed[at] << np.uint64(3) | fold[at].astype(np.uint64), return_counts=True)
+        keys = cells >> np.uint64(3)
+        first = np.r_[True, keys[1:] != keys[:-1]]
+        counts = np.zeros((int(first.sum()), FOLDS), np.int64)
+        counts[np.cumsum(first) - 1, (cells & np.uint64(7)).astype(np.int64)] = n
         shifts = np.arange(12 * (ORDER - 1), -1, -12).astype(np.uint64)
-        return alphabet[((keys[:, None] >> shifts) & np.uint64(4095)).astype(np.int64)], counts
+        return alphabet[((keys[first][:, None] >> shifts) & np.uint64(4095)).astype(np.int64)], counts
     top = mix(polynomials(cp)[-1][at] + np.uint64(ORDER - 1))
-    _, first, counts = np.unique(top, return_index=True, return_counts=True)
+    _, first, place = np.unique(top, return_index=True, return_inverse=True)
+    counts = np.bincount(place * FOLDS + fold[at], minlength=FOLDS * len(first)).reshape(-1, FOLDS)
     return cp[at[first][:, None] + np.arange(1 - ORDER, 1)], counts
 
 
+# Counts by fold, and the counts that the models are made of: of all rows, and of those outside each fold.
+_BY_FOLD = [f"n{f}" for f in range(FOLDS)]
+_COUNTS = ["n", *(f"rest{f}" for f in range(FOLDS))]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lang, chosen in set(zip(batch["lang"].to_pylist(), batch["chosen"].to_pylist(), strict=True)):
-            mine = pc.and_(pc.equal(batch["lang"], lang), pc.equal(batch["chosen"], chosen))
-            for _, run in text_slices(batch["text"].filter(mine), COUNTED):
-                cp, _, _ = symbols(run)
+        for lang in set(batch["lang"].to_pylist()):
+            mine = pc.equal(batch["lang"], lang)
+            folds = batch["fold"].filter(mine).to_numpy().astype(np.uint8)
+            for begin, run in text_slices(batch["text"].filter(mine), COUNTED):
+                cp, first, _ = symbols(run)
                 if not cp.any():
                     continue
-                grams, counts = _grams(cp)
+                sizes = np.diff(np.append(first, len(cp)))
+                fold = np.concatenate([np.zeros(first[0], np.uint8), np.repeat(folds[begin : begin + len(run)], sizes)])
+                grams, counts = _grams(cp, fold)
                 wide = 4 * ORDER
                 offsets = pa.py_buffer((np.arange(len(grams) + 1) * wide).astype(np.int32).tobytes())
                 column = pa.Array.from_buffers(pa.binary(), len(grams), [None, offsets, pa.py_buffer(grams.astype("<u4").tobytes())])
-                left_out = pa.array(counts if chosen else np.zeros_like(counts))
                 cell = pa.array(cells(grams[:, -3], grams[:, -2]))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), column, cell, pa.array(counts), left_out], ["lang", "gram", "cell", "n", "left_out"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), column, cell, *map(pa.array, counts.T.copy())], ["lang", "gram", "cell", *_BY_FOLD])
 
 
 def _discount(one: int, two: int) -> float:
@@ -217,7 +232,7 @@ def log_likelihood(model: list[dict], cp: np.ndarray, places: np.ndarray, poly:
     poly = poly or polynomials(cp)
     level = model[-1]
     found = level["keys"].find(mix(poly[-1][places] + np.uint64(ORDER - 1)))
-    out = level["logp"][found]
+    out = np.take(level["logp"], found, axis=0, mode="wrap")
     left = np.flatnonzero(found < 0)
     for k in range(ORDER - 1, 0, -1):  # what order k + 1 has not seen backs off to order k
         if not len(left):
@@ -241,7 +256,7 @@ def cross_entropies(model: Parts, run: list[str]) -> tuple[np.ndarray, np.ndarra
     sums = np.zeros((len(run), each.shape[1]))
     some = b > a
     if some.any():
-        sums[some] = np.add.reduceat(each, a[some], axis=0, dtype=np.float64)
+        sums[some] = np.add.reduceat(each.astype(np.float64), a[some], axis=0)
     letters = np.concatenate([[0], np.cumsum(cp[places] != 32)])
     n = np.where(letters[b] > letters[a], b - a, 0)
     return -sums / np.maximum(b - a, 1)[:, None], n
@@ -268,8 +283,9 @@ class LanguageModel:
         return names, np.where(n > 0, score, 0.0), np.where(n > 0, low, 0.0), ok
 
 
-def _wide(table: pa.Table, languages: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different n-grams of collected rows (lang, gram, n, rest), and their counts by language, with and without the sample."""
+def _wide(rows: DataFrame, column: str, languages: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams of rows (lang, gram, counts) that `column` counts, collected, and these counts by language."""
+    table = rows.where(F.col(column) > 0).select("lang", "gram", F.col(column).alias("n")).toArrow()
     column = table["gram"].combine_chunks()
     column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else [0, 0]
@@ -280,84 +296,107 @@ def _wide(table: pa.Table, languages: list[str], width: int) -> tuple[np.ndarray
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
     lang = np.array([code[x] for x in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
     keys, first, place = np.unique(gram_hash(grams), return_index=True, return_inverse=True)
-    every, rest = np.zeros((2, len(keys), len(languages)), np.int64)
-    every[place, lang] = table["n"].to_numpy()
-    rest[place, lang] = table["rest"].to_numpy()
-    return grams[first], every, rest
-
-
-def _models(counts: DataFrame, languages: list[str]) -> tuple[Parts, Parts]:
-    """The models of all learning rows and of those outside the calibration sample, from counts of all 5-grams."""
-    sc = counts.sparkSession.sparkContext
-    parts = max(1, ceil(counts.count() / SHARD))
-    level = counts.select("lang", "gram", "n", "rest")
-    discounts: tuple[dict, dict] = {}, {}
-    for width in range(ORDER, 0, -1):
-        if width < ORDER:
-            tail = F.expr("substring(gram, 5)").alias("gram")
-            level = spool(level.groupBy("lang", tail).agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("n", "rest")]))
-        ones = [F.sum((F.col(c) == k).cast("long")).alias(f"{c}{k}") for c in ("n", "rest") for k in (1, 2)]
-        got = {r.lang: r for r in level.groupBy("lang").agg(*ones).collect()}
-        for d, c in zip(discounts, ("n", "rest"), strict=True):
-            d[width] = np.array([_discount(got[x][f"{c}1"], got[x][f"{c}2"]) for x in languages])
-        if width == 2:
-            pairs = _wide(level.toArrow(), languages, width)
-
-    def some(grams, n):
-        return grams[n.any(1)], n[n.any(1)]
-
-    any_left = pairs[2].any()
-    base = _build(*some(pairs[0], pairs[1]), discounts[0]), _build(*some(pairs[0], pairs[2]), discounts[1]) if any_left else None
-    made: tuple[list, list] = [], []
-    for s in range(parts):
-        grams, every, rest = _wide(counts.where(F.col("cell") % parts == s).toArrow(), languages, ORDER)
-        made[0].append(sc.broadcast(_build(*some(grams, every), discounts[0], base[0])[0]))
-        if any_left:
-            made[1].append(sc.broadcast(_build(*some(grams, rest), discounts[1], base[1])[0]))
-    return Parts(made[0]), Parts(made[1] if any_left else made[0])
-
-
-def _middle(values: np.ndarray, weights: np.ndarray) -> float:
-    """Weighted median."""
-    order = np.argsort(values, kind="stable")
-    upto = np.cumsum(weights[order])
-    return float(values[order][np.searchsorted(upto, upto[-1] / 2)])
+    counts = np.zeros((len(keys), len(languages)), np.int64)
+    counts[place, lang] = table["n"].to_numpy()
+    return grams[first], counts
+
+
+class _Sums:
+    """Sums over all 5-grams of the rows (lang, gram, cell, counts): what the models of all rows and of each fold are made of."""
+
+    def __init__(self, counts: DataFrame, languages: list[str]):
+        self.counts, self.languages = counts, languages
+        self.parts = max(1, ceil(counts.count() / SHARD))
+        level = counts.select("lang", "gram", *_COUNTS)
+        self.discounts: dict[str, dict[int, np.ndarray]] = {c: {} for c in _COUNTS}
+        for width in range(ORDER, 0, -1):
+            if width < ORDER:
+                tail = F.expr("substring(gram, 5)").alias("gram")
+                level = spool(level.groupBy("lang", tail).agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in _COUNTS]))
+            if width == 2:
+                self.pairs = level
+            ones = [F.sum((F.col(c) == k).cast("long")).alias(f"{c}_{k}") for c in _COUNTS for k in (1, 2)]
+            got = {r.lang: r for r in level.groupBy("lang").agg(*ones).collect()}
+            for c in _COUNTS:
+                self.discounts[c][width] = np.array([_discount(got[x][f"{c}_1"], got[x][f"{c}_2"]) for x in languages])
+
+    def model(self, column: str) -> Parts:
+        """The model of the rows that `column` counts; without any parts where it counts none."""
+        sc = self.counts.sparkSession.sparkContext
+        grams, n = _wide(self.pairs, column, self.languages, 2)
+        if not len(grams):
+            return Parts([])
+        base = _build(grams, n, self.discounts[column])
+        made = []
+        for s in range(self.parts):
+            grams, n = _wide(self.counts.where(F.col("cell") % self.parts == s), column, self.languages, ORDER)
+            made.append(sc.broadcast(_build(grams, n, self.discounts[column], base)[0]))
+        return Parts(made)
+
+
+def _measured(rows: DataFrame, languages: list[str], model: Parts) -> DataFrame:
+    """lang (its place), cross-entropy ce of the text by its own language, and number of characters n; of rows with letters."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where = np.searchsorted(languages, batch["lang"].to_pylist())
+            for begin, run in text_slices(batch["text"], model.run):
+                ce, n = cross_entropies(model, run)
+                mine = where[begin : begin + len(run)]
+                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(ce[np.arange(len(run)), mine]), pa.array(n)], ["lang", "ce", "n"])
+        give_back(*model.parts)
+
+    return spool(rows.select("lang", "text").mapInArrow(measure, "lang long, ce double, n long").where("n > 0"))
+
+
+def _limits(scores: DataFrame, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Middle and limit of each language, from the rows (lang, ce, n) of all learning rows.
+
+    The middle is the median of ce weighted by n, up to SURE; the limit is taken from medians of all distances from it.
+    """
+    mean, limit = np.zeros(kinds), np.full(kinds, np.inf)
+    weighed = scores.groupBy("lang", "ce").agg(F.sum(F.least("n", F.lit(SURE))).alias("w"))
+    total = {r.lang: r.w for r in weighed.groupBy("lang").agg(F.sum("w").alias("w")).collect()}
+    if not total:
+        return mean, limit
+    half = F.element_at(F.create_map(*[F.lit(x) for k, w in total.items() for x in (k, w / 2)]), F.col("lang"))
+    upto = running_totals(weighed, ["lang"], ["ce"], {"upto": "w"})
+    for r in upto.where(F.col("upto") >= half).groupBy("lang").agg(F.min("ce").alias("ce")).collect():
+        mean[r.lang] = r.ce
+    middle = F.element_at(F.lit(mean.tolist()), (F.col("lang") + 1).cast("int"))
+    far = scores.select("lang", ((F.col("ce") - middle) * F.sqrt(F.least("n", F.lit(SURE_TO_REJECT)).cast("double"))).alias("far"))
+    half_way = np.zeros(kinds)
+    for (lang,), _, _, (q,) in quantile_table(far, ["far"], [0.5], ["lang"]):
+        half_way[lang] = q
+    middle = F.element_at(F.lit(half_way.tolist()), (F.col("lang") + 1).cast("int"))
+    apart = far.select("lang", F.abs(F.col("far") - middle).alias("apart"))
+    for (lang,), _, _, (q,) in quantile_table(apart, ["apart"], [0.5], ["lang"]):
+        limit[lang] = max(half_way[lang] + SPREADS * 1.4826 * q, TOLERANCE * SURE_TO_REJECT**0.5)
+    return mean, limit
 
 
 def fit(learn: DataFrame) -> LanguageModel:
     """Learn from `learn` (doc_id, text, lang): whole texts of all its rows."""
     rows = learn.where("lang is not null and text is not null and doc_id is not null")
-    share = min(0.2, CALIBRATION / max(1, rows.count()))
-    chosen = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
-    rows = rows.select("lang", "text", chosen.alias("chosen"))
-    tallies = rows.mapInArrow(_count, "lang string, gram binary, cell long, n long, left_out long")
-    sums = tallies.groupBy("lang", "gram").agg(F.first("cell").alias("cell"), F.sum("n").alias("n"), F.sum("left_out").alias("left_out"))
-    counts = spool(sums.select("lang", "gram", "cell", "n", (F.col("n") - F.col("left_out")).alias("rest")))
+    fold = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(FOLDS)).cast("int")
+    rows = rows.select("lang", "text", fold.alias("fold"))
+    tallies = rows.mapInArrow(_count, "lang string, gram binary, cell long, " + ", ".join(f"{c} long" for c in _BY_FOLD))
+    sums = tallies.groupBy("lang", "gram").agg(F.first("cell").alias("cell"), *[F.sum(c).alias(c) for c in _BY_FOLD])
+    every = sum((F.col(c) for c in _BY_FOLD[1:]), F.col(_BY_FOLD[0]))
+    counts = spool(sums.select("lang", "gram", "cell", every.alias("n"), *[(every - F.col(c)).alias(f"rest{f}") for f, c in enumerate(_BY_FOLD)]))
     languages = sorted(r.lang for r in counts.select("lang").distinct().collect())
     if not languages:
         return LanguageModel([], Parts([]), np.zeros(0), np.zeros(0))
-    model, held = _models(counts, languages)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            where = np.searchsorted(languages, batch["lang"].to_pylist())
-            for begin, run in text_slices(batch["text"], held.run):
-                ce, n = cross_entropies(held, run)
-                mine = where[begin : begin + len(run)]
-                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(ce[np.arange(len(run)), mine]), pa.array(n)], ["lang", "ce", "n"])
-        give_back(*held.parts)
-
-    got = rows.where("chosen").mapInArrow(measure, "lang long, ce double, n long").where("n > 0").toArrow()
-    lang, ce, n = (got[c].to_numpy() for c in ("lang", "ce", "n"))
-    mean, limit = np.zeros(len(languages)), np.full(len(languages), np.inf)
-    for i in range(len(languages)):
-        own = lang == i
-        if own.any():
-            mean[i] = _middle(ce[own], np.minimum(n[own], SURE))
-            far = (ce[own] - mean[i]) * np.sqrt(np.minimum(n[own], SURE_TO_REJECT))
-            spread = 1.4826 * np.median(np.abs(far - np.median(far)))
-            limit[i] = max(np.median(far) + SPREADS * spread, TOLERANCE * SURE_TO_REJECT**0.5)
-    return LanguageModel(languages, model, mean, limit)
+    told = _Sums(counts, languages)
+    model = told.model("n")
+    scores = None
+    for f in range(FOLDS):
+        held = told.model(f"rest{f}")
+        some = _measured(rows.where(F.col("fold") == f), languages, held if held.parts else model)
+        scores = some if scores is None else scores.unionByName(some)
+        for part in held.parts:
+            part.destroy()
+    return LanguageModel(languages, model, *_limits(scores, len(languages)))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -81,6 +81,46 @@ def test_garbage_among_the_learning_rows_does_not_open_the_gate(spark):
     assert langid.accepted_only(clean, model).count() == clean.count()
 
 
+def test_limits_come_from_all_learning_rows(spark, monkeypatch):
+    learn = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").where("doc_id % 3 = 0 and lang in ('de', 'en')")
+    seen = {}
+    limits = langid._limits
+    monkeypatch.setattr(langid, "_limits", lambda scores, kinds: limits(seen.setdefault("scores", scores), kinds))
+    model = langid.fit(learn)
+    got = seen["scores"].toPandas()
+    rows = learn.where("text is not null").withColumn("fold", F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(langid.FOLDS))).toPandas()
+    # Plainly: the texts of each fold against a model built from the texts of the others.
+    mean, limit = [], []
+    plain = {lang: [] for lang in model.languages}
+    for f in range(langid.FOLDS):
+        tables = []
+        for lang in model.languages:
+            cp, _, _ = langid.symbols(rows[(rows.fold != f) & (rows.lang == lang)].text.tolist())
+            at = np.flatnonzero(cp)
+            tables.append(np.unique(cp[at[:, None] + np.arange(1 - langid.ORDER, 1)], axis=0, return_counts=True))
+        grams, place = np.unique(np.concatenate([g for g, _ in tables]), axis=0, return_inverse=True)
+        counts = np.zeros((len(grams), len(tables)), np.int64)
+        np.add.at(counts, (place, np.repeat(np.arange(len(tables)), [len(g) for g, _ in tables])), np.concatenate([n for _, n in tables]))
+        built = langid.build(grams, counts)
+        for r in rows[rows.fold == f].itertuples():
+            cp, first, end = langid.symbols([r.text])
+            places = np.arange(first[0], end[0])
+            if any(c.isalpha() for c in r.text):
+                like = langid.log_likelihood(built, cp, places)[:, model.languages.index(r.lang)]
+                plain[r.lang].append((-like.astype(float).mean(), len(places)))
+    assert len(got) == sum(map(len, plain.values())) > 200
+    for lang in model.languages:
+        ce, n = np.array(plain[lang]).T
+        order = np.argsort(ce)
+        upto = np.cumsum(np.minimum(n, langid.SURE)[order])
+        mean.append(ce[order][np.searchsorted(upto, upto[-1] / 2)])
+        far = (ce - mean[-1]) * np.sqrt(np.minimum(n, langid.SURE_TO_REJECT))
+        spread = 1.4826 * np.median(np.abs(far - np.median(far)))
+        limit.append(max(np.median(far) + langid.SPREADS * spread, langid.TOLERANCE * langid.SURE_TO_REJECT**0.5))
+    np.testing.assert_allclose(model.mean, mean, rtol=1e-4)
+    np.testing.assert_allclose(model.limit, limit, rtol=1e-3)
+
+
 def _log_likelihood(model, text):
     cp, first, end = langid.symbols([text])
     return model.log_likelihood(cp, np.arange(first[0], end[0])) if isinstance(model, langid.Parts) else langid.log_likelihood(model, cp, np.arange(first[0], end[0]))
