@@ -3,22 +3,24 @@
 A page is parsed into text lines, one per block, each in a zone: what menus, headers, footers, sidebars, notices, adverts,
 forms, scripts and comments hold is out, what an article or main element holds is the article, the rest is open. Pages are
 paired with the nearest page of their host: of the two neighbours in the order of URL paths, that with more leading path
-segments in common. The open lines of both are aligned by their longest common subsequence; shared lines belong to the
-site, not to the page, and are deleted. Lines inside an article element are never deleted, since articles of one host
-share passages and whole copies; a page with such an element consists of these lines only.
+segments in common. All lines of both, of every page that has a neighbour, are aligned by their longest common
+subsequence. A shared line that lies outside the neighbour's article belongs to the site, not to the page, and is deleted,
+wherever it stands in this page; what both hold in an article is kept, since articles of one host share passages and whole
+copies. Where the neighbour marks no article, its open lines may be prose, and only open lines are deleted. Of a page with
+an article element the lines inside it are the text. Lines are compared by 64-bit hashes, so that no text is joined.
 
 Neighbours come from a range partition of the URLs alone; only the first and last row of each partition meet on the
 driver, to close the gaps between partitions. So a host with any share of all pages is spread over many tasks.
 
 Cases: null html is empty; text that is only white space makes no line; a null URL is a host of its own without
-neighbours; a page all of whose open lines are shared with an equal page keeps them; pages that repeat an id or URL are
+neighbours; a page whose text would be empty, since all of it is shared, keeps it; pages that repeat an id or URL are
 pages of their own; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
@@ -131,17 +133,27 @@ class _Lines(HTMLParser):
             self.text.append(data)
 
 
-def page_lines(html: str | None) -> list[tuple[str, int]]:
+def all_lines(html: str | None) -> list[tuple[str, int]]:
     """Text lines of a page with their zone; without those that its markup puts out."""
     parser = _Lines()
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    if any(zone == ARTICLE for _, zone in parser.lines):
-        return [x for x in parser.lines if x[1] == ARTICLE]
     return parser.lines
 
 
+def _kept_zone(zones: Iterable[int]) -> int:
+    """The zone that the text of a page comes from."""
+    return ARTICLE if ARTICLE in zones else OPEN
+
+
+def page_lines(html: str | None) -> list[tuple[str, int]]:
+    """The lines that make up a page by its markup alone: its article, or all open lines."""
+    lines = all_lines(html)
+    kept = _kept_zone([z for _, z in lines])
+    return [x for x in lines if x[1] == kept]
+
+
 def place_of(url: str | None) -> tuple[str | None, str]:
     """Host and path of a URL."""
     try:
@@ -151,38 +163,69 @@ def place_of(url: str | None) -> tuple[str | None, str]:
         return None, url or ""
 
 
-def shared_lines(mine: list[str], other: list[str]) -> set[int]:
+def shared_lines(mine: Sequence, other: Sequence) -> set[int]:
     """Places in `mine` of a longest common subsequence of both."""
+    return set(aligned(mine, other))
+
+
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of `a` and each beginning of `b`."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        step = np.where(b == x, row[:-1] + 1, 0)
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], step))
+    return row
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """A longest common subsequence as pairs of places, by halving `a`: its memory grows with the lines, not their product."""
+    found, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        if a1 - a0 == 1:
+            at = np.flatnonzero(b[b0:b1] == a[a0])
+            found += [(a0, b0 + int(at[0]))] if len(at) else []
+            continue
+        half = (a0 + a1) // 2
+        ahead = _lengths(a[a0:half], b[b0:b1])
+        back = _lengths(a[half:a1][::-1], b[b0:b1][::-1])[::-1]
+        cut = b0 + int(np.argmax(ahead + back))
+        todo += [(a0, half, b0, cut), (half, a1, cut, b1)]
+    return found
+
+
+def aligned(mine: Sequence, other: Sequence) -> dict[int, int]:
+    """A longest common subsequence of both: places in `mine` with their places in `other`."""
     both = set(mine) & set(other)
     at = [i for i, x in enumerate(mine) if x in both]
     to = [j for j, x in enumerate(other) if x in both]
-    kept: set[int] = set()
-    while at and to and mine[at[0]] == other[to[0]]:
-        kept.add(at.pop(0))
-        to.pop(0)
-    while at and to and mine[at[-1]] == other[to[-1]]:
-        kept.add(at.pop())
-        to.pop()
-    if not at or not to:
-        return kept
+    head, end = 0, min(len(at), len(to))
+    while head < end and mine[at[head]] == other[to[head]]:
+        head += 1
+    tail = 0
+    while tail < end - head and mine[at[-1 - tail]] == other[to[-1 - tail]]:
+        tail += 1
+    kept = dict(zip(at[:head], to[:head], strict=True))
+    kept.update(zip(at[len(at) - tail :], to[len(to) - tail :], strict=True))
+    at, to = at[head : len(at) - tail], to[head : len(to) - tail]
     code = {x: n for n, x in enumerate(both)}
-    right = np.array([code[other[j]] for j in to])
-    table = np.zeros((len(at) + 1, len(right) + 1), np.int32)
-    for i, a in enumerate(at, 1):
-        step = np.where(right == code[mine[a]], table[i - 1, :-1] + 1, 0)
-        np.maximum.accumulate(np.maximum(table[i - 1, 1:], step), out=table[i, 1:])
-    i, j = len(at), len(right)
-    while i and j:
-        if table[i, j] == table[i - 1, j]:
-            i -= 1
-        elif table[i, j] == table[i, j - 1]:
-            j -= 1
-        else:
-            kept.add(at[i - 1])
-            i, j = i - 1, j - 1
+    left, right = (np.array([code[x[i]] for i in places], np.int64) for x, places in ((mine, at), (other, to)))
+    kept.update((at[i], to[j]) for i, j in _pairs(left, right))
     return kept
 
 
+def site_lines(mine: Sequence, zones: Sequence[int], other: Sequence, other_zones: Sequence[int]) -> list[int]:
+    """Places in `mine` that the nearest page shows to be the site's."""
+    article = ARTICLE in other_zones
+    pairs = aligned(mine, other).items()
+    gone = {i for i, j in pairs if other_zones[j] == OPEN and (zones[i] == OPEN or article)}
+    kept = _kept_zone(zones)
+    text = {i for i, z in enumerate(zones) if z == kept}
+    return sorted(gone & text) if text - gone else []
+
+
 def _common(a: str, b: str) -> int:
     n = 0
     for x, y in zip(a.split("/"), b.split("/"), strict=False):
@@ -199,7 +242,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             some = batch.slice(at, 256)
-            lines = [[{"text": t, "zone": z} for t, z in page_lines(h)] for h in some["html"].to_pylist()]
+            lines = [[{"text": t, "zone": z} for t, z in all_lines(h)] for h in some["html"].to_pylist()]
             hosts, paths = zip(*(place_of(u) for u in some["url"].to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [some["page_id"], some["url"], pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(lines, _LINES)],
@@ -260,19 +303,18 @@ def nearest_pages(places: DataFrame) -> DataFrame:
 
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with places of lines that belong to the site, from the marks of both pages."""
     for batch in batches:
-        texts = []
-        for lines, other in zip(batch["lines"].to_pylist(), batch["other"].to_pylist(), strict=True):
-            mine = [x["text"] for x in lines]
-            if other and mine and lines[0]["zone"] == OPEN:
-                gone = shared_lines(mine, [x["text"] for x in other if x["zone"] == OPEN])
-                if len(gone) < len(mine):
-                    mine = [x for i, x in enumerate(mine) if i not in gone]
-            texts.append(" ".join(mine))
-        yield pa.RecordBatch.from_arrays(
-            [batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-            ["page_id", "url", "text", "n_chars"],
-        )
+        columns = [batch[c] for c in ("mine", "zones", "other", "other_zones")]
+        rows, gone = [], []
+        for at in range(0, batch.num_rows, 1024):
+            some = zip(batch["row"].slice(at, 1024).to_pylist(), *(c.slice(at, 1024).to_pylist() for c in columns), strict=True)
+            for row, *marks in some:
+                places = site_lines(*marks)
+                if places:
+                    rows.append(row)
+                    gone.append(places)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["row", "gone"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -282,10 +324,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     )
     parsed = spool(parsed.withColumn("row", F.monotonically_increasing_id()))
     mates = spool(nearest_pages(parsed.select("row", "host", "path")))
-    # An article element stands by itself: only pages without one are held against their neighbour's open lines.
-    loose = F.exists("lines", lambda x: x["zone"] == OPEN)
-    wanted = spool(join_counted(parsed.where(loose).select("row"), mates, "row", "inner"))
-    other = parsed.select(F.col("row").alias("mate"), F.col("lines").alias("other"))
-    held = spool(wanted.join(other, "mate").select("row", "other"))
-    whole = parsed.join(held, "row", "left").select("page_id", "url", "lines", "other")
-    return whole.mapInArrow(_differ, "page_id long, url string, text string, n_chars long")
+    # Every page with a neighbour is held against it, by hashes of lines.
+    marks = parsed.select("row", F.transform("lines", lambda x: F.xxhash64(x["text"])).alias("mine"), F.col("lines.zone").alias("zones"))
+    others = marks.select(F.col("row").alias("mate"), F.col("mine").alias("other"), F.col("zones").alias("other_zones"))
+    pairs = join_counted(marks, mates, "row", "inner").join(others, "mate")
+    gone = spool(pairs.select("row", "mine", "zones", "other", "other_zones").mapInArrow(_differ, "row long, gone array<int>"))
+    whole = join_counted(parsed, gone, "row", "left")
+    kept_zone = F.when(F.exists("lines", lambda x: x["zone"] == ARTICLE), ARTICLE).otherwise(OPEN)
+    places = F.coalesce("gone", F.array().cast("array<int>"))
+    kept = F.filter("lines", lambda x, i: (x["zone"] == F.col("kept_zone")) & ~F.array_contains(places, i))
+    text = F.array_join(F.transform(kept, lambda x: x["text"]), " ")
+    return whole.withColumn("kept_zone", kept_zone).select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

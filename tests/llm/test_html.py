@@ -60,6 +60,36 @@ def test_site_lines_go_where_no_article_is_marked(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_pages_with_articles_are_held_against_their_neighbours(spark):
+    prose = "<p>A passage that both articles hold.</p>"
+    rows = [
+        # The site's line stands in the article of one page and outside that of the other.
+        (1, "http://h/a/1", f"<article><h1>One</h1>{prose}<p>Read more on our site</p><p>End one</p></article>"),
+        (2, "http://h/a/2", f"<article><h1>Two</h1>{prose}<p>End two</p></article><div>Read more on our site</div>"),
+        # A print version marks no article: the article of the other stays whole.
+        (3, "http://k/a/3", "<div>Site</div><article><p>Story</p><p>Body</p></article>"),
+        (4, "http://k/a/3/print", "<div>Site</div><div>Story</div><div>Body</div>"),
+        # Whole copies keep everything.
+        (5, "http://l/1", f"<article>{prose}</article>"),
+        (6, "http://l/2", f"<article>{prose}</article>"),
+    ]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    both = "A passage that both articles hold."
+    assert got == {1: f"One {both} End one", 2: f"Two {both} End two", 3: "Story Body", 4: "Story Body", 5: both, 6: both}
+
+
+def test_long_pages_are_aligned_without_a_table_of_all_pairs():
+    import tracemalloc
+
+    rng = random.Random(4)
+    a, b = ([rng.randrange(1500) for _ in range(3000)] for _ in range(2))
+    tracemalloc.start()
+    assert len(html.shared_lines(a, b)) > 100
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000  # a table of all pairs takes 18 MB here
+
+
 def test_neighbours_do_not_depend_on_partitions(spark):
     rng = random.Random(1)
     places = [(n, rng.choice(("h", "h", "h", "k", None)), "/" + "/".join(rng.choice("ab") for _ in range(rng.randrange(4)))) for n in range(120)]
