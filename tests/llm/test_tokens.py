@@ -3,6 +3,7 @@ from __future__ import annotations
 import glob
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -99,3 +100,15 @@ def test_metadata_is_read_without_ids(spark, tmp_path):
     tokens.write_tokens(docs, str(tmp_path / "m"))
     plan = tokens.read_tokens(spark, str(tmp_path / "m"), ("doc_id", "n_tokens")).where("doc_id = 7")._jdf.queryExecution().toString()
     assert "tokens:array" not in plan.split("ReadSchema")[-1] and "EqualTo(doc_id,7)" in plan
+
+
+def test_gathering_ids_holds_little_beside_them():
+    counts = np.full(500_000, 4)
+    begin = np.arange(500_000)[::-1].copy()
+    values = np.arange(500_004, dtype="<u4")
+    tracemalloc.start()
+    got = tokens.gathered(values, begin, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, (begin[:, None] + np.arange(4)).ravel()) and got.dtype == values.dtype
+    assert peak < 30_000_000  # 8 MB of ids; the places of all of them at once took 36 MB
