@@ -10,8 +10,9 @@ medians, so that garbage and wrong labels among the learning rows do not move th
 
 No n-gram is left out: the model grows with the different 5-grams of the input. Counts of counts and lower orders are summed
 in Spark over all of them. Beyond SHARD of them the model is cut by the two characters before the last one, which keeps
-n-grams of three and more characters, their contexts and all they back off to in one part; the different pairs of characters
-are in every part. A worker then holds one part at a time for a run of texts. Every learning row belongs to one of FOLDS
+n-grams of three and more characters, their contexts and all they back off to in one part, beside the different pairs of
+characters, which every part needs. Tasks build the parts; the driver passes them on one at a time and holds none. Of more than
+KEPT parts a worker holds one at a time for a run of texts. Every learning row belongs to one of FOLDS
 folds and is scored by a model whose counts leave its fold out; middles and limits are exact medians over all of these
 scores, taken in Spark. The models of the folds live one after another; the final model counts every learning row.
 
@@ -22,6 +23,7 @@ no rows. Extra columns pass through `accepted_only` untouched.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from math import ceil
 
@@ -34,11 +36,12 @@ from pyspark.sql import functions as F
 from sensorloom.llm.common import SortedHashes, give_back, mix, sorted_lookup, text_slices
 from sensorloom.operators.frame import running_totals
 from sensorloom.operators.quantile import quantile_table
-from sensorloom.session import spool
+from sensorloom.session import discard, shuffles_deleted, spool
 
 ORDER = 5
-# Different 5-grams of a part, about, counted once per language; sets the memory of the driver and of a worker only.
-SHARD = 1_500_000
+# Different 5-grams of a part, about, counted once per language, and the parts that a worker keeps; both only set the memory of
+# the driver, a task and a worker.
+SHARD, KEPT = 250_000, 6
 FOLDS = 5
 SPREADS = 20.0
 # Characters counted, and scored, at a time; both only set the memory of a task.
@@ -203,25 +206,35 @@ def _build(grams: np.ndarray, counts: np.ndarray, discounts: dict[int, np.ndarra
 
 
 class Parts:
-    """A model whose parts are broadcast; where there are several, a process holds one at a time."""
+    """A model whose base, the orders of one and two characters, and parts, all others, are broadcast; of many parts a process
+    holds one at a time."""
 
-    def __init__(self, parts: list):
-        self.parts = parts
+    def __init__(self, base, parts: list):
+        self.base, self.parts = base, parts
+
+    @property
+    def broadcasts(self) -> list:
+        return [self.base, *self.parts] if self.parts else []
+
+    def destroy(self) -> None:
+        for b in self.broadcasts:
+            b.destroy()
 
     @property
     def run(self) -> int:
         """Characters to score at a time: more where parts have to be read again for each run."""
-        return SCORED if len(self.parts) == 1 else 4 * SCORED
+        return SCORED if len(self.parts) <= KEPT else 4 * SCORED
 
     def log_likelihood(self, cp: np.ndarray, places: np.ndarray) -> np.ndarray:
         if len(self.parts) == 1:
-            return log_likelihood(self.parts[0].value, cp, places)
+            return log_likelihood(self.base.value + self.parts[0].value, cp, places)
         poly, mine = polynomials(cp), cells(cp[places - 2], cp[places - 1]) % len(self.parts)
         own = [np.flatnonzero(mine == s) for s in range(len(self.parts))]
         got = []
         for part, at in zip(self.parts, own, strict=True):
-            got.append(log_likelihood(part.value, cp, places[at], poly))
-            vars(part).pop("_value", None)  # read again from its file when next needed
+            got.append(log_likelihood(self.base.value + part.value, cp, places[at], poly))
+            if len(self.parts) > KEPT:
+                vars(part).pop("_value", None)  # read again from its file when next needed
         out = np.empty((len(places), got[0].shape[1]), np.float32)
         out[np.concatenate(own)] = np.concatenate(got)
         return out
@@ -283,9 +296,8 @@ class LanguageModel:
         return names, np.where(n > 0, score, 0.0), np.where(n > 0, low, 0.0), ok
 
 
-def _wide(rows: DataFrame, column: str, languages: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Different n-grams of rows (lang, gram, counts) that `column` counts, collected, and these counts by language."""
-    table = rows.where(F.col(column) > 0).select("lang", "gram", F.col(column).alias("n")).toArrow()
+def _wide(table: pa.Table, languages: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams of rows (lang, gram, n), and their counts by language."""
     column = table["gram"].combine_chunks()
     column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else [0, 0]
@@ -323,15 +335,31 @@ class _Sums:
     def model(self, column: str) -> Parts:
         """The model of the rows that `column` counts; without any parts where it counts none."""
         sc = self.counts.sparkSession.sparkContext
-        grams, n = _wide(self.pairs, column, self.languages, 2)
+        languages, discounts, told = self.languages, self.discounts[column], ["lang", "gram", F.col(column).alias("n")]
+        grams, n = _wide(self.pairs.where(F.col(column) > 0).select(*told).toArrow(), languages, 2)
         if not len(grams):
-            return Parts([])
-        base = _build(grams, n, self.discounts[column])
-        made = []
-        for s in range(self.parts):
-            grams, n = _wide(self.counts.where(F.col("cell") % self.parts == s), column, self.languages, ORDER)
-            made.append(sc.broadcast(_build(grams, n, self.discounts[column], base)[0]))
-        return Parts(made)
+            return Parts(None, [])
+        base = _build(grams, n, discounts)
+        below = sc.broadcast(base)
+
+        def pack(key: tuple, table: pa.Table) -> pa.Table:
+            part = _build(*_wide(table, languages, ORDER), discounts, below.value)[0][2:]
+            out = pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "model": pa.array([pickle.dumps(part, 5)], pa.binary())})
+            del part, table
+            give_back(below)
+            return out
+
+        rows = self.counts.where(F.col(column) > 0).select(*told, (F.col("cell") % self.parts).alias("part"))
+        with shuffles_deleted(self.counts.sparkSession):
+            packed = spool(rows.groupBy("part").applyInArrow(pack, "part long, model binary"))
+        made = {r["part"]: sc.broadcast(pickle.loads(r["model"])) for r in packed.toLocalIterator()}
+        discard(packed)
+        below.destroy()
+        nothing = np.zeros((0, ORDER), np.uint32), np.zeros((0, len(languages)), np.int64)
+        parts = [made[s] if s in made else sc.broadcast(_build(*nothing, discounts, base)[0][2:]) for s in range(self.parts)]
+        model = Parts(sc.broadcast(base[0]), parts)
+        give_back(*model.broadcasts)
+        return model
 
 
 def _measured(rows: DataFrame, languages: list[str], model: Parts) -> DataFrame:
@@ -344,7 +372,7 @@ def _measured(rows: DataFrame, languages: list[str], model: Parts) -> DataFrame:
                 ce, n = cross_entropies(model, run)
                 mine = where[begin : begin + len(run)]
                 yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(ce[np.arange(len(run)), mine]), pa.array(n)], ["lang", "ce", "n"])
-        give_back(*model.parts)
+        give_back(*model.broadcasts)
 
     return spool(rows.select("lang", "text").mapInArrow(measure, "lang long, ce double, n long").where("n > 0"))
 
@@ -386,7 +414,7 @@ def fit(learn: DataFrame) -> LanguageModel:
     counts = spool(sums.select("lang", "gram", "cell", every.alias("n"), *[(every - F.col(c)).alias(f"rest{f}") for f, c in enumerate(_BY_FOLD)]))
     languages = sorted(r.lang for r in counts.select("lang").distinct().collect())
     if not languages:
-        return LanguageModel([], Parts([]), np.zeros(0), np.zeros(0))
+        return LanguageModel([], Parts(None, []), np.zeros(0), np.zeros(0))
     told = _Sums(counts, languages)
     model = told.model("n")
     scores = None
@@ -394,8 +422,7 @@ def fit(learn: DataFrame) -> LanguageModel:
         held = told.model(f"rest{f}")
         some = _measured(rows.where(F.col("fold") == f), languages, held if held.parts else model)
         scores = some if scores is None else scores.unionByName(some)
-        for part in held.parts:
-            part.destroy()
+        held.destroy()
     return LanguageModel(languages, model, *_limits(scores, len(languages)))
 
 
@@ -407,7 +434,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 names, score, ce, ok = model.predict(run)
                 ids = batch["doc_id"][begin : begin + len(run)]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(names), pa.array(score), pa.array(ce), pa.array(ok)], ["doc_id", "lang_pred", "score", "cross_entropy", "accepted"])
-        give_back(*model.model.parts)
+        give_back(*model.model.broadcasts)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double, cross_entropy double, accepted boolean")
 
@@ -418,6 +445,6 @@ def accepted_only(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             for begin, run in text_slices(batch["text"], model.model.run):
                 yield batch.slice(begin, len(run)).filter(pa.array(model.predict(run)[3]))
-        give_back(*model.model.parts)
+        give_back(*model.model.broadcasts)
 
     return docs.mapInArrow(keep, docs.schema)

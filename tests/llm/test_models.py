@@ -155,6 +155,23 @@ def test_rare_5_grams_stay_in_the_model(spark, monkeypatch):
         assert all(r.lang_pred == ("de" if r.doc_id == 101 else "en") for r in got)
 
 
+def test_5_grams_do_not_reach_the_driver(spark, monkeypatch):
+    seen, wide, build = [], langid._wide, langid._build
+    monkeypatch.setattr(langid, "SHARD", 60)
+    monkeypatch.setattr(langid, "_wide", lambda *a: seen.append(a[-1]) or wide(*a))  # the driver's; tasks load the module anew
+    monkeypatch.setattr(langid, "_build", lambda grams, *a: seen.append(grams.shape[1] if len(grams) else 0) or build(grams, *a))
+    rows = [(0, "the cat and the dog sat on the mat", "en"), (1, "der hund und die katze auf dem dach", "de"), (2, "a dog", "en")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(seen) <= {0, 2} and 2 in seen
+    assert len(model.model.parts) > 1 and not any("_value" in vars(b) for b in model.model.broadcasts)
+    monkeypatch.setattr(langid, "KEPT", 0)
+    few = _log_likelihood(model.model, "the dog on the dach")
+    assert not any("_value" in vars(b) for b in model.model.parts)
+    monkeypatch.setattr(langid, "KEPT", len(model.model.parts))
+    assert np.array_equal(few, _log_likelihood(model.model, "the dog on the dach"))
+    assert all("_value" in vars(b) for b in model.model.parts)
+
+
 def test_toxicity_on_held_out_rows(spark):
     labels = spark.read.parquet(f"{BIG}/labels.parquet")
     rows = queries.op8(spark, BIG).join(labels, "doc_id").where("held_out").collect()
