@@ -120,3 +120,19 @@ def test_problems_in_parts_give_the_same(data, monkeypatch):
     whole = batched.fit_batch(rows, 6, p)
     monkeypatch.setattr(batched, "HELD", 49 * 40)
     np.testing.assert_allclose(batched.fit_batch(rows, 6, p), whole, atol=1e-6)
+
+
+def test_grid_cells_share_pruning_and_prepared_rows(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 3))
+    rows = [(i, int(x[i, 0] + rng.normal() > 0), *map(float, x[i])) for i in range(60)]
+    df = spark.createDataFrame(rows, "raw_row_id long, target int, c_0 double, c_1 double, c_2 double")
+    train, test = df.where("raw_row_id < 45"), df.where("raw_row_id >= 45")
+    edges, calls = models.spearman_edges, []
+    monkeypatch.setattr(models, "spearman_edges", lambda *a: calls.append(1) or edges(*a))
+    specs = {"pls_enet": {"k": 2}, "hsic_enet": {"k": 2}}
+    got = {(r.pipeline, r.id): r.y_score for r in models.holdout_scores(train, test, specs).collect()}
+    assert len(calls) == 1 and len(got) == 30
+    design, scorer = models.fit_model(train, "pls_enet", k=2)
+    for r in scorer.score(design.apply(test), "y_score").collect():
+        assert abs(got["pls_enet", r.raw_row_id] - r.y_score) < 1e-12
