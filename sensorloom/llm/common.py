@@ -183,8 +183,11 @@ class SortedHashes:
     def __init__(self, keys: np.ndarray):
         self.keys = keys
         self.shift = np.uint64(64 - max(8, int(len(keys)).bit_length() + 1))
-        bounds = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
-        self.first = np.append(np.searchsorted(keys, bounds), len(keys))
+        each = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << (64 - int(self.shift)))
+        self.first = np.append(0, np.cumsum(each))
+
+    def __reduce__(self):
+        return SortedHashes, (self.keys,)  # the first places take more room than the hashes: made again where these are read
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Place of each wanted hash, or -1."""

@@ -332,34 +332,45 @@ class _Sums:
             for c in _COUNTS:
                 self.discounts[c][width] = np.array([_discount(got[x][f"{c}_1"], got[x][f"{c}_2"]) for x in languages])
 
-    def model(self, column: str) -> Parts:
-        """The model of the rows that `column` counts; without any parts where it counts none."""
+    def models(self) -> Iterator[Parts]:
+        """The models of the rows that each of _COUNTS counts, in this order, one at a time; without any parts where it counts none.
+
+        One shuffle makes the parts of all models, so the driver plans and passes on no more than it has to.
+        """
         sc = self.counts.sparkSession.sparkContext
-        languages, discounts, told = self.languages, self.discounts[column], ["lang", "gram", F.col(column).alias("n")]
-        grams, n = _wide(self.pairs.where(F.col(column) > 0).select(*told).toArrow(), languages, 2)
-        if not len(grams):
-            return Parts(None, [])
-        base = _build(grams, n, discounts)
-        below = sc.broadcast(base)
+        languages, discounts = self.languages, self.discounts
+        pairs = self.pairs.select("lang", "gram", *_COUNTS).toArrow()
+        bases = []
+        for c in _COUNTS:
+            some = pairs.filter(pc.greater(pairs[c], 0))
+            grams, n = _wide(some.select(["lang", "gram", c]).rename_columns(["lang", "gram", "n"]), languages, 2)
+            bases.append(_build(grams, n, discounts[c]) if len(grams) else None)
+        below = sc.broadcast(bases)
 
         def pack(key: tuple, table: pa.Table) -> pa.Table:
-            part = _build(*_wide(table, languages, ORDER), discounts, below.value)[0][2:]
-            out = pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "model": pa.array([pickle.dumps(part, 5)], pa.binary())})
-            del part, table
+            part, of = (k.as_py() for k in key)
+            made = _build(*_wide(table, languages, ORDER), discounts[_COUNTS[of]], below.value[of])[0][2:]
+            out = pa.table({"part": pa.array([part], pa.int64()), "of": pa.array([of], pa.int32()), "model": pa.array([pickle.dumps(made, 5)], pa.binary())})
+            del made, table
             give_back(below)
             return out
 
-        rows = self.counts.where(F.col(column) > 0).select(*told, (F.col("cell") % self.parts).alias("part"))
+        each = F.array(*[F.struct(F.lit(i).alias("of"), F.col(c).alias("n")) for i, c in enumerate(_COUNTS)])
+        rows = self.counts.select("lang", "gram", (F.col("cell") % self.parts).alias("part"), F.inline(each)).where("n > 0")
         with shuffles_deleted(self.counts.sparkSession):
-            packed = spool(rows.groupBy("part").applyInArrow(pack, "part long, model binary"))
-        made = {r["part"]: sc.broadcast(pickle.loads(r["model"])) for r in packed.toLocalIterator()}
-        discard(packed)
+            packed = spool(rows.groupBy("part", "of").applyInArrow(pack, "part long, of int, model binary"))
         below.destroy()
         nothing = np.zeros((0, ORDER), np.uint32), np.zeros((0, len(languages)), np.int64)
-        parts = [made[s] if s in made else sc.broadcast(_build(*nothing, discounts, base)[0][2:]) for s in range(self.parts)]
-        model = Parts(sc.broadcast(base[0]), parts)
-        give_back(*model.broadcasts)
-        return model
+        for of, base in enumerate(bases):
+            if base is None:
+                yield Parts(None, [])
+                continue
+            made = {r["part"]: sc.broadcast(pickle.loads(r["model"])) for r in packed.where(F.col("of") == of).select("part", "model").toLocalIterator()}
+            parts = [made[s] if s in made else sc.broadcast(_build(*nothing, discounts[_COUNTS[of]], base)[0][2:]) for s in range(self.parts)]
+            model = Parts(sc.broadcast(base[0]), parts)
+            give_back(*model.broadcasts)
+            yield model
+        discard(packed)
 
 
 def _measured(rows: DataFrame, languages: list[str], model: Parts) -> DataFrame:
@@ -415,11 +426,10 @@ def fit(learn: DataFrame) -> LanguageModel:
     languages = sorted(r.lang for r in counts.select("lang").distinct().collect())
     if not languages:
         return LanguageModel([], Parts(None, []), np.zeros(0), np.zeros(0))
-    told = _Sums(counts, languages)
-    model = told.model("n")
+    models = _Sums(counts, languages).models()
+    model = next(models)
     scores = None
-    for f in range(FOLDS):
-        held = told.model(f"rest{f}")
+    for f, held in enumerate(models):
         some = _measured(rows.where(F.col("fold") == f), languages, held if held.parts else model)
         scores = some if scores is None else scores.unionByName(some)
         held.destroy()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 from collections import Counter
 from math import log
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sensorloom.llm import langid, queries, toxicity
-from sensorloom.llm.common import pair_hash, words_of
+from sensorloom.llm.common import SortedHashes, pair_hash, sorted_lookup, words_of
 
 from .data import SF, awkward_documents, no_documents
 
@@ -172,6 +173,28 @@ def test_5_grams_do_not_reach_the_driver(spark, monkeypatch):
     assert all("_value" in vars(b) for b in model.model.parts)
 
 
+def test_all_language_models_come_from_one_shuffle(spark, monkeypatch):
+    made, spool = [], langid.spool
+    monkeypatch.setattr(langid, "spool", lambda df: made.append(df.columns) or spool(df))
+    rows = [(i, t, l) for i, (t, l) in enumerate([("the cat and the dog sat", "en"), ("der hund und die katze", "de"), ("a dog", "en")] * 3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sum("model" in columns for columns in made) == 1
+    assert [r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).orderBy("doc_id").collect()] == [r[2] for r in rows]
+
+
+def test_sorted_hashes_travel_without_their_first_places():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 300, 20_000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        table = SortedHashes(keys)
+        sent = pickle.dumps(table, 5)
+        assert len(sent) < keys.nbytes + 1000
+        got = pickle.loads(sent)
+        wanted = np.concatenate([keys, keys + np.uint64(1), rng.integers(0, 1 << 64, 100, dtype=np.uint64)])
+        assert np.array_equal(got.first, np.append(np.searchsorted(keys, np.arange(len(table.first) - 1, dtype=np.uint64) << table.shift), n))
+        assert np.array_equal(got.find(wanted), sorted_lookup(keys, wanted))
+
+
 def test_toxicity_on_held_out_rows(spark):
     labels = spark.read.parquet(f"{BIG}/labels.parquet")
     rows = queries.op8(spark, BIG).join(labels, "doc_id").where("held_out").collect()
